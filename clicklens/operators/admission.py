@@ -173,6 +173,33 @@ def admit_clicks(
     return Admission(admitted, scanned, totals)
 
 
+def totals_of(runs: DataFrame, start: DataFrame | None) -> DataFrame:
+    """The totals of an admission pass whose ``runs`` are already at hand."""
+    zero = F.lit(0).cast("bigint")
+    new = (
+        runs.groupBy(*K.BUCKET_KEYS)
+        .agg(
+            F.coalesce(F.sum(F.when(is_impression(), F.col("accepted"))), zero).alias("impressions"),
+            F.coalesce(F.sum(F.when(is_click(), F.col("accepted"))), zero).alias("clicks"),
+            F.sum("rejected").alias("rejected"),
+            F.sum("accepted").alias("accepted"),
+        )
+        .filter("accepted > 0")
+    )
+    if start is None:
+        return new
+    stored = start.select(
+        *K.BUCKET_KEYS, F.col("impressions").alias("_imp0"), F.col("clicks").alias("_clk0")
+    )
+    return new.join(stored, K.BUCKET_KEYS, "left").select(
+        *K.BUCKET_KEYS,
+        (F.col("impressions") + F.coalesce("_imp0", zero)).alias("impressions"),
+        (F.col("clicks") + F.coalesce("_clk0", zero)).alias("clicks"),
+        "rejected",
+        "accepted",
+    )
+
+
 def rejected_clicks(admission: Admission) -> DataFrame:
     """Dead letters of rejected clicks. Copies of one event share a row."""
     return admission.runs.filter("rejected > 0").select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clicklens import constants as K
 from clicklens.functions import checks, scalar
+from clicklens.functions.plan import evaluated_once
 from clicklens.functions.payload import bucket_json, store_key
 from clicklens.operators.model import Head, prior_mean
 from clicklens.operators.posterior import Trust, bucket_rows
@@ -22,7 +23,7 @@ def decode_buckets(store: DataFrame) -> DataFrame:
     """Bucket rows of all keys with the bucket prefix, with ``valid``."""
     rows = store.filter(F.col("key").startswith(f"{K.STORE_PREFIX}:"))
     decoded = rows.select("key", F.from_json("value", BUCKET).alias("_b")).select("key", "_b.*")
-    return decoded.withColumn("valid", checks.valid_bucket())
+    return evaluated_once(decoded.withColumn("valid", checks.valid_bucket()))
 
 
 def scan_buckets(store: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from clicklens.operators.learning import Learning
 from clicklens.operators.model import Head, Model, with_priors
 from clicklens.operators.posterior import bucket_rows
 from clicklens.sources import adapters as X
+from clicklens.sources.tables import staged
 
 # Known click rate of the star tables and weight step per family. The steps differ, so that no two
 # triplets share a prior by accident of rounding.
@@ -97,6 +98,11 @@ def partial_model(spark: SparkSession, folder: str) -> Model:
     return Model(star_head(), known.unionByName(unseen))
 
 
+def staged_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The star evidence for queries that read it several times."""
+    return staged(X.star_evidence(spark, folder), "evidence")
+
+
 def star_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Bucket rows of the whole star evidence."""
     counts = X.star_evidence(spark, folder)
@@ -106,7 +112,7 @@ def star_buckets(spark: SparkSession, folder: str) -> DataFrame:
 def star_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Evidence shipped before the split date as seed, and the rest as new batch."""
     early = F.col("shown_at") < F.lit(SPLIT).cast("timestamp")
-    counts = (
+    counts = staged(
         X.star_opportunities(spark, folder)
         .groupBy(*K.BUCKET_KEYS)
         .agg(
@@ -114,7 +120,8 @@ def star_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
             F.count_if(early & F.col("clicked")).alias("_c0"),
             F.count_if(~early).alias("_i1"),
             F.count_if(~early & F.col("clicked")).alias("_c1"),
-        )
+        ),
+        "star-split",
     )
     pick = lambda i, c: counts.select(
         *K.BUCKET_KEYS, F.col(i).alias("impressions"), F.col(c).alias("clicks")
@@ -125,12 +132,12 @@ def star_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
     seed, batch = star_split(spark, folder)
-    return V.analysis_frame(seed, batch, digits=DIGITS)
+    return staged(V.analysis_frame(seed, batch, digits=DIGITS), "analysis")
 
 
 def key_value_store(spark: SparkSession, folder: str) -> DataFrame:
     """Star buckets as a keyed store in which some payloads are damaged, plus a foreign key."""
-    buckets = star_buckets(spark, folder)
+    buckets = staged(star_buckets(spark, folder), "store")
     excess = buckets.filter("impressions % 11 = 3").withColumn("clicks", F.col("impressions") + 1)
     sound = S.as_key_values(buckets.filter("impressions % 11 <> 3")).withColumn(
         "value",
@@ -165,6 +172,11 @@ RUNS = [
 
 
 def run_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The progress records, reduced from the events once."""
+    return staged(_run_records(spark, folder), "records")
+
+
+def _run_records(spark: SparkSession, folder: str) -> DataFrame:
     """Progress records of three runs over the event log that differ in parallelism and mode."""
     runs = F.array(
         *[
@@ -185,9 +197,9 @@ def run_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def run_results(spark: SparkSession, folder: str) -> DataFrame:
+def run_results(spark: SparkSession, folder: str, records: DataFrame | None = None) -> DataFrame:
     """The three runs as experiment results: one nested row per run."""
-    records = run_records(spark, folder)
+    records = run_records(spark, folder) if records is None else records
     fields = [c for c in records.columns if c not in ("run_id", "seq")]
     # A result document holds the records of its run: one per subtask and day.
     per_run = records.groupBy("run_id").agg(

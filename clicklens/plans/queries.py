@@ -31,7 +31,7 @@ from clicklens.session import configure, shared_folder
 from clicklens.sources import adapters as X
 from clicklens.sources import events as E
 from clicklens.sources import logs
-from clicklens.sources.tables import AppendTable, ModelStore, SnapshotTable
+from clicklens.sources.tables import AppendTable, ModelStore, SnapshotTable, staged
 from clicklens.streaming.evidence import EvidenceStream, Recalibrator
 from clicklens.streaming.realtime import PER_EVENT, RealtimeCtr
 
@@ -278,7 +278,7 @@ def global_ctr(spark, folder):
 
 @query
 def baseline_proposal(spark, folder):
-    totals = L.global_totals(X.star_evidence(spark, folder))
+    totals = L.global_totals(B.staged_evidence(spark, folder))
     rows = [L.baseline_proposal(totals, B.star_head(), c) for c in (B.ACCEPT, B.REFUSE, B.FEATURES_ONLY)]
     return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
@@ -305,13 +305,18 @@ def family_centering(spark, folder):
     return rounded(L.center_families(weights, "weight", "centered_weight"))
 
 
-def _recalibration(spark, folder, config) -> L.Recalibration:
-    return L.recalibrate(X.star_evidence(spark, folder), B.partial_model(spark, folder), config)
+def _recalibration(spark, folder, config, evidence=None) -> L.Recalibration:
+    evidence = B.staged_evidence(spark, folder) if evidence is None else evidence
+    return L.recalibrate(evidence, B.partial_model(spark, folder), config)
 
 
 @query
 def update_metrics(spark, folder):
-    rows = [_recalibration(spark, folder, c).metrics for c in (B.ACCEPT, B.REFUSE, B.FEATURES_ONLY)]
+    evidence = B.staged_evidence(spark, folder)
+    rows = [
+        _recalibration(spark, folder, c, evidence).metrics
+        for c in (B.ACCEPT, B.REFUSE, B.FEATURES_ONLY)
+    ]
     return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
@@ -431,7 +436,7 @@ def model_snapshot_append(spark, folder):
 @query
 def experiment_append(spark, folder):
     table = AppendTable(spark, shared_folder(spark, "experiments"), EXPERIMENT_RESULT)
-    results = B.run_results(spark, folder)
+    results = staged(B.run_results(spark, folder), "results")
     for run_id, *_ in B.RUNS:
         table.append(results.filter(F.col("config.run_id") == run_id))
     rows = table.read()
@@ -519,6 +524,19 @@ def average_rank(spark, folder):
     return rounded(ranks)
 
 
+def _merged(seed: DataFrame, batch: DataFrame) -> DataFrame:
+    """Bucket rows after the new evidence; the priors stay."""
+    both = V.merge_counts(seed, batch)
+    return bucket_rows(
+        both.withColumns(
+            {
+                "impressions": F.col("impressions") + F.col("batch_impressions"),
+                "clicks": F.col("clicks") + F.col("batch_clicks"),
+            }
+        )
+    )
+
+
 @query
 def reconciliation(spark, folder):
     early = F.col("shown_at") < F.lit(B.SPLIT).cast("timestamp")
@@ -533,15 +551,7 @@ def reconciliation(spark, folder):
         one(clicked).alias("after clicks"),
     )
     seed, batch = B.star_split(spark, folder)
-    merged = V.merge_counts(seed, batch)
-    final = bucket_rows(
-        merged.withColumns(
-            {
-                "impressions": F.col("impressions") + F.col("batch_impressions"),
-                "clicks": F.col("clicks") + F.col("batch_clicks"),
-            }
-        )
-    )
+    final = _merged(seed, batch)
     width = F.col("ci_high") - F.col("ci_low")
     before = seed.agg(F.avg(width).alias("average CI width before"))
     after = final.agg(F.avg(width).alias("average CI width after"), F.max(width).alias("maximum CI width after"))
@@ -560,7 +570,7 @@ def _snapshots(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     models = _model_history(spark, folder).agg(F.count("*")).scalar()
     valid = lambda b: b.withColumn("valid", checks.valid_bucket())
     before = S.runtime_snapshot(valid(seed), model, models)
-    after = S.runtime_snapshot(valid(B.star_buckets(spark, folder)), model, models)
+    after = S.runtime_snapshot(valid(_merged(seed, batch)), model, models)
     produced = batch.agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"))
     return before, after, produced
 
@@ -650,8 +660,8 @@ def phase_totals(spark, folder):
 
 
 def _summary(spark, folder) -> DataFrame:
-    results = B.run_results(spark, folder)
-    return P.performance_summary(results, B.run_records(spark, folder))
+    records = B.run_records(spark, folder)
+    return P.performance_summary(B.run_results(spark, folder, records), records)
 
 
 @query

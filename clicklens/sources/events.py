@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clicklens import constants as K
 from clicklens.functions import checks
+from clicklens.functions.plan import evaluated_once
 from clicklens.schemas import EVENT
 
 _FIELDS = EVENT.fieldNames()
@@ -70,8 +71,8 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     typed = parsed.select(
         "raw", *[c.alias(name) for name, c in fields.items()], optional_ok.alias("_optional_ok")
     )
-    return typed.select(
-        "raw", *_FIELDS, (checks.valid_event() & F.col("_optional_ok")).alias("valid")
+    return evaluated_once(
+        typed.select("raw", *_FIELDS, (checks.valid_event() & F.col("_optional_ok")).alias("valid"))
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from clicklens.operators.model import Head, Model
 from clicklens.schemas import WEIGHTS
+from clicklens.session import shared_folder
 
 
 def _read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -20,6 +21,17 @@ def _read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         raise
 
 
+def staged(rows: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    For a reduced result that several later steps read, so that its big inputs are scanned once.
+    The written table also cuts the lineage and survives the loss of executors.
+    """
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class SnapshotTable:
     """A table that is replaced as a whole, one version at a time, by a single writer.
 
@@ -37,12 +49,8 @@ class SnapshotTable:
 
     def versions(self) -> list[int]:
         """Versions that can be read, oldest first (at most ``SLOTS`` small rows)."""
-        found = []
-        for slot in range(self.SLOTS):
-            row = _read_or_none(self.spark, f"{self.path}/manifest/slot{slot}", self._MANIFEST)
-            if row is not None:
-                found += [r["version"] for r in row.limit(1).collect()]
-        return sorted(found)
+        rows = _read_or_none(self.spark, f"{self.path}/manifest", self._MANIFEST)
+        return [] if rows is None else sorted(r["version"] for r in rows.limit(self.SLOTS).collect())
 
     def read(self, version: int | None = None, before: int | None = None) -> DataFrame | None:
         """The newest version, a given one, or the newest below ``before``; None if there is none."""
@@ -52,7 +60,7 @@ class SnapshotTable:
         if version is None or version not in known:
             return None
         return self.spark.read.schema(self.schema).parquet(
-            f"{self.path}/data/slot{version % self.SLOTS}"
+            f"{self.path}/data/slot={version % self.SLOTS}"
         )
 
     def write(self, rows: DataFrame, version: int | None = None) -> int:
@@ -61,11 +69,11 @@ class SnapshotTable:
             version = known[-1] + 1 if known else 0
         slot = version % self.SLOTS
         rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
-            f"{self.path}/data/slot{slot}"
+            f"{self.path}/data/slot={slot}"
         )
         self.spark.createDataFrame([(version,)], self._MANIFEST).coalesce(1).write.mode(
             "overwrite"
-        ).parquet(f"{self.path}/manifest/slot{slot}")
+        ).parquet(f"{self.path}/manifest/slot={slot}")
         return version
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -95,9 +96,12 @@ class RealtimeCtr:
         """One micro-batch; may be repeated for the same id."""
         # Parsing is the costly part and feeds several outputs. A lost block is parsed again.
         parsed = parse_events(batch).persist()
+        before = self.state.read(before=batch_id + 1)
+        admission = A.admit_clicks(valid_events(parsed), before, self.slot_seconds)
+        # One admission pass serves the dead letters, the writes and the new state.
+        runs = admission.runs.persist()
         try:
-            before = self.state.read(before=batch_id + 1)
-            admission = A.admit_clicks(valid_events(parsed), before, self.slot_seconds)
+            admission = replace(admission, runs=runs, totals=A.totals_of(runs, before))
             letters = A.invalid_dead_letters(invalid_events(parsed)).unionByName(
                 A.rejected_clicks(admission)
             )
@@ -116,6 +120,7 @@ class RealtimeCtr:
             self.state.write(state, version=batch_id + 1)
             self._write(self._metrics(parsed, batch_id), "metrics", batch_id)
         finally:
+            runs.unpersist()
             parsed.unpersist()
 
     def _metrics(self, parsed: DataFrame, batch_id: int) -> DataFrame:
