@@ -1,7 +1,7 @@
 """Re-learning of the prior model from bucket evidence.
 
-Everything is one long table ``(family, feature)``; the families are never separate jobs. Single
-row results are attached as scalar subqueries, so the pass stays one lazy plan.
+Everything is one long table ``(family, feature)``; the families are never separate jobs. Only one
+row of scalars, which decides whether the pass is accepted, reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,12 +10,31 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clicklens import constants as K
 from clicklens.functions import checks, scalar
 from clicklens.operators.model import Head, Model
 from clicklens.operators.posterior import Trust, bucket_rows
 from clicklens.operators.model import with_priors
+from clicklens.sources.tables import staged
+
+_DOUBLES = """max_absolute_weight_delta learning_rate evidence_smoothing ridge max_delta
+max_feature_ci_width old_w0 new_w0 baseline_delta aggregate_observed_ctr posterior_baseline_ctr
+baseline_ci_low baseline_ci_high baseline_ci_width new_baseline_ctr""".split()
+_FLAGS = """accepted dry_run w0_unchanged baseline_update_enabled baseline_update_applied""".split()
+_TEXTS = ["skipped_reason", "baseline_guard_reason"]
+_LONGS = """input_bucket_count valid_bucket_count invalid_bucket_count ad_feature_bucket_count
+domain_feature_bucket_count context_feature_bucket_count updated_feature_bucket_count
+skipped_feature_bucket_count insufficient_impression_feature_count wide_ci_feature_count
+unknown_feature_count min_feature_impressions aggregate_impressions aggregate_clicks
+valid_baseline_bucket_count invalid_baseline_bucket_count""".split()
+METRICS = T.StructType(
+    [T.StructField(n, T.BooleanType()) for n in _FLAGS]
+    + [T.StructField(n, T.StringType()) for n in _TEXTS]
+    + [T.StructField(n, T.LongType()) for n in _LONGS]
+    + [T.StructField(n, T.DoubleType()) for n in _DOUBLES]
+)
 
 NO_EVIDENCE, INSUFFICIENT, WIDE_CI, UPDATED = "no_evidence", "insufficient", "wide_ci", "updated"
 
@@ -133,6 +152,7 @@ def baseline_proposal(totals: DataFrame, head: Head, config: Learning) -> DataFr
             "ci_low",
             "ci_high",
             "ci_width",
+            scalar.sigmoid("new_w0").alias("new_baseline_ctr"),
             F.when(~enabled, F.lit("baseline_update_disabled"))
             .when(F.col("update_applied"), F.lit("baseline_guards_passed"))
             .otherwise(F.lit("baseline_ci_width_too_wide"))
@@ -219,19 +239,6 @@ def center_families(rows: DataFrame, column: str, into: str) -> DataFrame:
     )
 
 
-def require_families(weights: DataFrame) -> DataFrame:
-    """The weights; an error at run time when a family has no feature at all."""
-    missing = F.array_except(
-        F.array(*[F.lit(f) for f in K.FAMILY_COLUMNS]), F.collect_set("family")
-    )
-    check = weights.agg(
-        F.when(F.size(missing) > 0, F.raise_error(F.lit("cannot center an empty weight family")).cast("boolean"))
-        .otherwise(F.lit(True))
-        .alias("ok")
-    )
-    return weights.filter(check.scalar())
-
-
 def family_updates(marginals: DataFrame, model: Model, config: Learning) -> DataFrame:
     """Steps with the re-centred weight of every feature, also of those not updated."""
     steps = family_steps(marginals, model, config)
@@ -240,12 +247,20 @@ def family_updates(marginals: DataFrame, model: Model, config: Learning) -> Data
 
 @dataclass(frozen=True)
 class Recalibration:
-    """Lazy frames of one pass: features, the metrics row, and the weights to use afterwards."""
+    """Outcome of one pass: stored features, the metrics row, and the weights to use afterwards.
+
+    ``metrics`` is one row of scalars; it decides what to write and is the only thing collected.
+    """
 
     features: DataFrame
-    metrics: DataFrame
+    metrics: dict
     weights: DataFrame
 
+    def metrics_frame(self) -> DataFrame:
+        return self.features.sparkSession.createDataFrame(
+            [tuple(self.metrics[f] for f in METRICS.fieldNames())], METRICS
+        )
+
 
 def recalibrate(
     buckets: DataFrame,
@@ -256,110 +271,111 @@ def recalibrate(
     """One full pass over valid bucket rows.
 
     ``scan_counts`` has one row (scanned, valid, invalid) of the scan that produced the buckets;
-    without it the buckets themselves are the scan.
+    without it the buckets themselves are the scan. Runs three small jobs over the buckets; the
+    feature table is written once and everything else is read from it.
     """
-    c = F.col
     if scan_counts is None:
         scan_counts = buckets.agg(
             F.count("*").alias("scanned"),
             F.count("*").alias("valid"),
             F.lit(0).cast("bigint").alias("invalid"),
         )
-    marginals = feature_marginals(buckets)
-    features = family_updates(marginals, model, config)
-    proposal = baseline_proposal(global_totals(buckets), model.head, config)
-
-    has = c("impressions").isNotNull()
-    per_family = [
-        F.count_if(has & (c("family") == f)).alias(f"{f}_feature_bucket_count")
-        for f in K.FAMILY_COLUMNS
-    ]
-    rolled = features.agg(
-        *per_family,
-        F.count_if(c("status") == UPDATED).alias("_updated"),
-        F.count_if(c("status") == INSUFFICIENT).alias("_insufficient"),
-        F.count_if(c("status") == WIDE_CI).alias("_wide"),
-        F.count_if(c("unknown")).alias("_unknown"),
-        F.coalesce(F.max(F.abs("delta")), F.lit(0.0)).alias("_max_delta"),
+    base = baseline_proposal(global_totals(buckets), model.head, config).collect()[0]
+    scan = scan_counts.select("scanned", "valid", "invalid").collect()[0]
+    features = staged(family_updates(feature_marginals(buckets), model, config), "features")
+    rolled = _roll_up(features)
+    if any(rolled[f"{f}_features"] == 0 for f in K.FAMILY_COLUMNS) and not (
+        config.baseline_update and not base["update_applied"]
+    ):
+        raise ValueError("cannot center an empty weight family")
+
+    guard_failed = config.baseline_update and not base["update_applied"]
+    # Without a baseline update something must have been learnt from the features.
+    accepted = not guard_failed and (base["update_applied"] or rolled["updated"] > 0)
+    reason = None
+    if guard_failed:
+        reason = f"baseline_guard_failed:{base['guard_reason']}"
+    elif not accepted:
+        reason = "no_feature_buckets_passed_guards"
+    buckets_per_family = {f: rolled[f"{f}_buckets"] for f in K.FAMILY_COLUMNS}
+    learned = {} if guard_failed else rolled
+    skipped = (
+        sum(buckets_per_family.values())
+        if guard_failed
+        else rolled["insufficient"] + rolled["wide"]
     )
-    scan = scan_counts.select(F.struct("scanned", "valid", "invalid").alias("s")).scalar()
-    base = proposal.select(F.struct("*").alias("b")).scalar()
-    joined = rolled.withColumns({"_s": scan, "_b": base})
-
-    enabled = F.lit(config.baseline_update)
-    guard_failed = enabled & ~c("_b.update_applied")
-    nothing = ~enabled & (c("_updated") == 0)
-    buckets_total = sum((c(f"{f}_feature_bucket_count") for f in K.FAMILY_COLUMNS), F.lit(0).cast("bigint"))
-    zero = F.lit(0).cast("bigint")
+    invalid = scan["invalid"] + base["invalid_bucket_count"]
+    metrics = {
+        "accepted": accepted,
+        "skipped_reason": reason,
+        "input_bucket_count": scan["scanned"],
+        "valid_bucket_count": scan["valid"],
+        "invalid_bucket_count": invalid,
+        **{f"{f}_feature_bucket_count": n for f, n in buckets_per_family.items()},
+        "updated_feature_bucket_count": learned.get("updated", 0),
+        "skipped_feature_bucket_count": skipped,
+        "insufficient_impression_feature_count": learned.get("insufficient", 0),
+        "wide_ci_feature_count": learned.get("wide", 0),
+        "unknown_feature_count": learned.get("unknown", 0),
+        "max_absolute_weight_delta": rolled["max_delta"] if accepted else 0.0,
+        "learning_rate": float(config.learning_rate),
+        "evidence_smoothing": float(config.evidence_smoothing),
+        "ridge": float(config.ridge),
+        "max_delta": float(config.max_delta),
+        "min_feature_impressions": config.min_feature_impressions,
+        "max_feature_ci_width": float(config.max_feature_ci_width),
+        "dry_run": config.dry_run,
+        "w0_unchanged": base["new_w0"] == base["old_w0"],
+        "old_w0": base["old_w0"],
+        "new_w0": base["new_w0"],
+        "baseline_delta": base["baseline_delta"],
+        "baseline_update_enabled": base["update_enabled"],
+        "baseline_update_applied": base["update_applied"],
+        "aggregate_impressions": base["aggregate_impressions"],
+        "aggregate_clicks": base["aggregate_clicks"],
+        "aggregate_observed_ctr": base["aggregate_observed_ctr"],
+        "posterior_baseline_ctr": base["posterior_baseline_ctr"],
+        "baseline_ci_low": base["ci_low"],
+        "baseline_ci_high": base["ci_high"],
+        "baseline_ci_width": base["ci_width"],
+        "baseline_guard_reason": base["guard_reason"],
+        "valid_baseline_bucket_count": base["valid_bucket_count"],
+        "invalid_baseline_bucket_count": invalid,
+        # The baseline follows the new intercept only when baseline updates are enabled.
+        "new_baseline_ctr": (
+            base["new_baseline_ctr"]
+            if accepted and config.baseline_update
+            else float(model.head.baseline_ctr)
+        ),
+    }
+    # A skipped pass leaves the model as it is, without the features it did not know.
+    weights = (
+        features.select("family", "feature", F.col("new_weight").alias("weight"))
+        if accepted
+        else features.filter("NOT unknown").select(
+            "family", "feature", F.col("old_weight").alias("weight")
+        )
+    )
+    return Recalibration(features, metrics, weights)
 
-    def unless(condition: Column, value: Column, other: Column = zero) -> Column:
-        return F.when(condition, other).otherwise(value)
 
-    metrics = (
-        joined.withColumn("_guard_failed", guard_failed)
-        .withColumn("_accepted", ~guard_failed & ~nothing)
-        .select(
-            c("_accepted").alias("accepted"),
-            F.when(
-                c("_guard_failed"), F.concat(F.lit("baseline_guard_failed:"), c("_b.guard_reason"))
-            )
-            .when(~c("_accepted"), F.lit("no_feature_buckets_passed_guards"))
-            .alias("skipped_reason"),
-            c("_s.scanned").alias("input_bucket_count"),
-            c("_s.valid").alias("valid_bucket_count"),
-            (c("_s.invalid") + c("_b.invalid_bucket_count")).alias("invalid_bucket_count"),
-            *[c(f"{f}_feature_bucket_count") for f in K.FAMILY_COLUMNS],
-            unless(c("_guard_failed"), c("_updated")).alias("updated_feature_bucket_count"),
-            unless(
-                c("_guard_failed"), c("_insufficient") + c("_wide"), buckets_total
-            ).alias("skipped_feature_bucket_count"),
-            unless(c("_guard_failed"), c("_insufficient")).alias(
-                "insufficient_impression_feature_count"
-            ),
-            unless(c("_guard_failed"), c("_wide")).alias("wide_ci_feature_count"),
-            unless(c("_guard_failed"), c("_unknown")).alias("unknown_feature_count"),
-            unless(~c("_accepted"), c("_max_delta"), F.lit(0.0)).alias("max_absolute_weight_delta"),
-            F.lit(config.learning_rate).alias("learning_rate"),
-            F.lit(float(config.evidence_smoothing)).alias("evidence_smoothing"),
-            F.lit(float(config.ridge)).alias("ridge"),
-            F.lit(float(config.max_delta)).alias("max_delta"),
-            F.lit(config.min_feature_impressions).cast("bigint").alias("min_feature_impressions"),
-            F.lit(float(config.max_feature_ci_width)).alias("max_feature_ci_width"),
-            F.lit(config.dry_run).alias("dry_run"),
-            (c("_b.new_w0") == c("_b.old_w0")).alias("w0_unchanged"),
-            c("_b.old_w0").alias("old_w0"),
-            c("_b.new_w0").alias("new_w0"),
-            c("_b.baseline_delta").alias("baseline_delta"),
-            c("_b.update_enabled").alias("baseline_update_enabled"),
-            c("_b.update_applied").alias("baseline_update_applied"),
-            c("_b.aggregate_impressions").alias("aggregate_impressions"),
-            c("_b.aggregate_clicks").alias("aggregate_clicks"),
-            c("_b.aggregate_observed_ctr").alias("aggregate_observed_ctr"),
-            c("_b.posterior_baseline_ctr").alias("posterior_baseline_ctr"),
-            c("_b.ci_low").alias("baseline_ci_low"),
-            c("_b.ci_high").alias("baseline_ci_high"),
-            c("_b.ci_width").alias("baseline_ci_width"),
-            c("_b.guard_reason").alias("baseline_guard_reason"),
-            c("_b.valid_bucket_count").alias("valid_baseline_bucket_count"),
-            (c("_s.invalid") + c("_b.invalid_bucket_count")).alias("invalid_baseline_bucket_count"),
+def _roll_up(features: DataFrame) -> dict:
+    """Counts by status over the features, one row."""
+    c = F.col
+    per_family = []
+    for f in K.FAMILY_COLUMNS:
+        mine = c("family") == f
+        per_family.append(F.count_if(mine).alias(f"{f}_features"))
+        per_family.append(F.count_if(mine & c("impressions").isNotNull()).alias(f"{f}_buckets"))
+    return (
+        features.agg(
+            *per_family,
+            F.count_if(c("status") == UPDATED).alias("updated"),
+            F.count_if(c("status") == INSUFFICIENT).alias("insufficient"),
+            F.count_if(c("status") == WIDE_CI).alias("wide"),
+            F.count_if(c("unknown")).alias("unknown"),
+            F.coalesce(F.max(F.abs("delta")), F.lit(0.0)).alias("max_delta"),
         )
+        .collect()[0]
+        .asDict()
     )
-    # The baseline is set to sigmoid(new intercept) only when baseline updates are enabled.
-    metrics = metrics.withColumn(
-        "new_baseline_ctr",
-        F.when(
-            c("accepted") & c("baseline_update_enabled"), scalar.sigmoid("new_w0")
-        ).otherwise(F.lit(float(model.head.baseline_ctr))),
-    )
-    accepted = metrics.select("accepted").scalar()
-    weights = require_families(
-        features.select(
-            "family",
-            "feature",
-            "unknown",
-            F.when(accepted, c("new_weight")).otherwise(c("old_weight")).alias("weight"),
-        )
-        # A skipped pass leaves the model as it is, without the features it did not know.
-        .filter(accepted | ~c("unknown"))
-    ).select("family", "feature", "weight")
-    return Recalibration(features, metrics, weights)

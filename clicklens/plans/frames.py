@@ -73,9 +73,10 @@ def star_weights(spark: SparkSession, folder: str) -> DataFrame:
     for family, value in STAR_STEPS.items():
         step = F.when(F.col("family") == family, F.lit(value)).otherwise(step)
     offset = F.col("position").cast("double") - (F.col("features") - 1).cast("double") / F.lit(2.0)
-    return star_dimensions(spark, folder).select(
+    weights = star_dimensions(spark, folder).select(
         "family", "position", "feature", (step * offset).alias("weight")
     )
+    return staged(weights, "star-weights")
 
 
 def star_head() -> Head:

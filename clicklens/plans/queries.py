@@ -232,7 +232,8 @@ def state_bootstrap(spark, folder):
     log = X.valid_event_log(spark, folder)
     model = seed_model(spark)
     cut = F.lit(B.EVENT_SPLIT).cast("timestamp")
-    stored = A.new_buckets(A.admit_clicks(log.filter(F.col("occurred_at") < cut)), None, model)
+    first = A.admit_clicks(log.filter(F.col("occurred_at") < cut))
+    stored = staged(A.new_buckets(first, None, model), "stored")
     later = A.admit_clicks(log.filter(F.col("occurred_at") >= cut), stored)
     return rounded(S.upsert(stored, A.new_buckets(later, stored, model)))
 
@@ -314,7 +315,7 @@ def _recalibration(spark, folder, config, evidence=None) -> L.Recalibration:
 def update_metrics(spark, folder):
     evidence = B.staged_evidence(spark, folder)
     rows = [
-        _recalibration(spark, folder, c, evidence).metrics
+        _recalibration(spark, folder, c, evidence).metrics_frame()
         for c in (B.ACCEPT, B.REFUSE, B.FEATURES_ONLY)
     ]
     return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
@@ -323,8 +324,8 @@ def update_metrics(spark, folder):
 @query
 def recalibrate(spark, folder):
     done = _recalibration(spark, folder, B.ACCEPT)
-    head = done.metrics.select(F.struct("accepted", "new_w0", "new_baseline_ctr").alias("h")).scalar()
-    return rounded(done.weights.withColumn("_h", head).select("family", "feature", "weight", "_h.*"))
+    head = {n: F.lit(done.metrics[n]) for n in ("accepted", "new_w0", "new_baseline_ctr")}
+    return rounded(done.weights.withColumns(head))
 
 
 @query
@@ -428,7 +429,7 @@ def model_snapshot_append(spark, folder):
     first = B.partial_model(spark, folder)
     store.append(first)
     done = _recalibration(spark, folder, B.ACCEPT)
-    store.append(type(first)(first.head, done.weights).renamed("relearned"), done.metrics)
+    store.append(type(first)(first.head, done.weights).renamed("relearned"), done.metrics_frame())
     model = store.current()
     return rounded(model.weights.withColumn("snapshot_name", F.lit(model.head.snapshot_name)))
 

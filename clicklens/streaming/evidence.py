@@ -132,8 +132,7 @@ def recalibrate_once(
     """
     model = models.current()
     outcome = L.recalibrate(buckets, model, config, scan_counts)
-    row = outcome.metrics.collect()[0].asDict()
-    row |= {"snapshot_name": None, "snapshot_id": None, "write_applied": False}
+    row = outcome.metrics | {"snapshot_name": None, "snapshot_id": None, "write_applied": False}
     if not row["accepted"]:
         return row
     name = f"{prefix}_{(at or datetime.now(timezone.utc)).strftime('%Y%m%d_%H%M%S')}"
@@ -148,6 +147,6 @@ def recalibrate_once(
             old.triplet_strength,
             old.family_strengths,
         )
-        row["snapshot_id"] = models.append(Model(head, outcome.weights), outcome.metrics)
+        row["snapshot_id"] = models.append(Model(head, outcome.weights), outcome.metrics_frame())
         row["write_applied"] = True
     return row
