@@ -11,21 +11,32 @@ from clicklens.functions.plan import evaluated_once
 from clicklens.schemas import EVENT
 
 _FIELDS = EVENT.fieldNames()
-# Variant fields keep the JSON type, which a plain string schema would silently coerce.
-_VARIANTS = ", ".join(f"{name} VARIANT" for name in _FIELDS)
+# A plain string schema would silently turn a JSON number into text, so fields that must be JSON
+# strings are parsed as variants. The type and the time need no such care: only fixed words match
+# the one, and the other may be a number as well.
+_STRICT = ["event_id", *K.BUCKET_KEYS, "impression_event_id"]
+_JSON_SCHEMA = ", ".join(
+    f"{name} {'VARIANT' if name in _STRICT else 'STRING'}" for name in _FIELDS
+)
+# Text that a number, boolean, object or array would give as well.
+_AMBIGUOUS = r"^([-+.0-9{\[]|true$|false$)"
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"
-_NUMBER = r"^[+-]?\d+(\.\d+)?$"
+_NUMBER = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
 # Epoch numbers beyond this are milliseconds.
 _SECONDS_LIMIT = 2e10
 _MAX_EPOCH = 253402300799.0
 
 
-def _kind(v: str) -> Column:
-    return F.expr(f"schema_of_variant({v})")
+def _variant_text(field: str) -> Column:
+    return F.expr(f"try_variant_get(_json.{field}, '$', 'string')")
 
 
-def _text(v: str) -> Column:
-    return F.when(_kind(v) == "STRING", F.expr(f"try_variant_get({v}, '$', 'string')"))
+def _is_string(field: str) -> Column:
+    """Whether the JSON value was a string; its type is looked up only where the text leaves doubt."""
+    kind = F.expr(f"schema_of_variant(_json.{field})")
+    return F.when(F.col(field).rlike(_AMBIGUOUS), kind == "STRING").otherwise(
+        F.col(field).isNotNull()
+    )
 
 
 def _from_epoch(number: Column) -> Column:
@@ -33,20 +44,14 @@ def _from_epoch(number: Column) -> Column:
     return F.when(F.abs(seconds) <= _MAX_EPOCH, F.timestamp_seconds(seconds))
 
 
-def _timestamp(v: str) -> Column:
-    text = F.expr(f"try_variant_get({v}, '$', 'string')")
+def _timestamp(text: Column) -> Column:
+    """ISO text or an epoch number; NULL for anything else."""
     iso = F.coalesce(
         F.try_to_timestamp(text),
         F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")),
     )
-    kind = _kind(v)
-    return (
-        F.when((kind == "STRING") & text.rlike(_ISO_DATE), iso)
-        .when((kind == "STRING") & text.rlike(_NUMBER), _from_epoch(text.try_cast("double")))
-        .when(
-            kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-            _from_epoch(F.expr(f"try_variant_get({v}, '$', 'double')")),
-        )
+    return F.when(text.rlike(_ISO_DATE), iso).when(
+        text.rlike(_NUMBER), _from_epoch(text.try_cast("double"))
     )
 
 
@@ -57,19 +62,24 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     absent or null, and the time may be ISO text or epoch numbers. One pass over the text.
     """
     parsed = raw.select(
-        F.col(column).alias("raw"), F.from_json(F.col(column), _VARIANTS).alias("_json")
+        F.col(column).alias("raw"), F.from_json(F.col(column), _JSON_SCHEMA).alias("_json")
+    )
+    texts = parsed.select(
+        "raw",
+        "_json",
+        F.col("_json.event_type").alias("event_type"),
+        F.col("_json.occurred_at").alias("_time"),
+        *[_variant_text(name).alias(name) for name in _STRICT],
     )
-    fields = {
-        name: _timestamp(f"_json.{name}") if name == "occurred_at" else _text(f"_json.{name}")
-        for name in _FIELDS
-    }
     optional_ok = (
         F.col("_json.impression_event_id").isNull()
         | F.expr("is_variant_null(_json.impression_event_id)")
-        | (_kind("_json.impression_event_id") == "STRING")
+        | _is_string("impression_event_id")
     )
-    typed = parsed.select(
-        "raw", *[c.alias(name) for name, c in fields.items()], optional_ok.alias("_optional_ok")
+    fields = {name: F.when(_is_string(name), F.col(name)) for name in _STRICT}
+    fields |= {"event_type": F.col("event_type"), "occurred_at": _timestamp(F.col("_time"))}
+    typed = texts.select(
+        "raw", *[fields[name].alias(name) for name in _FIELDS], optional_ok.alias("_optional_ok")
     )
     return evaluated_once(
         typed.select("raw", *_FIELDS, (checks.valid_event() & F.col("_optional_ok")).alias("valid"))
