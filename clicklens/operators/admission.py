@@ -88,10 +88,15 @@ def admit_clicks(
     inside = W.partitionBy(*_SLOT).orderBy(*_order())
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
+    micros = "unix_micros(occurred_at)"
+    slotted = runs.withColumn(
+        "slot", F.expr(f"{micros} div {width} - if({micros} % {width} < 0, 1, 0)")
+    )
+    # Always true for valid events. Stated once here, because the join below would add it to one
+    # of its two readers only, and the shuffle could then not be shared between them.
+    known = " AND ".join(f"{c} IS NOT NULL" for c in _SLOT)
     placed = (
-        runs.withColumn(
-            "slot", F.expr(f"unix_micros(occurred_at) div {width} - if(unix_micros(occurred_at) % {width} < 0, 1, 0)")
-        )
+        slotted.filter(known)
         .withColumn("_slack", F.sum(sign).over(so_far))
         .withColumn("_shown", F.sum(shown).over(so_far))
         .withColumn("_low", F.min("_slack").over(so_far))

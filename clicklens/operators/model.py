@@ -11,6 +11,7 @@ from clicklens import constants as K
 from clicklens.functions import scalar
 from clicklens.schemas import WEIGHTS
 
+MAX_BROADCAST_FEATURES = 100_000
 _MAPS = {"ad": "w_ad", "domain": "w_dom", "context": "w_ctx"}
 
 
@@ -39,13 +40,18 @@ class Head:
 
 @dataclass(frozen=True)
 class Model:
-    """Head and weights ``(family, feature, weight)``; the weights are never collected."""
+    """Head and weights ``(family, feature, weight)``; the weights are never collected.
+
+    ``features`` is the number of weights where it is known to be small, as for a configured
+    model. Such weights are broadcast; otherwise their stored size decides.
+    """
 
     head: Head
     weights: DataFrame
+    features: int | None = None
 
     def renamed(self, name: str) -> "Model":
-        return Model(replace(self.head, snapshot_name=name), self.weights)
+        return replace(self, head=replace(self.head, snapshot_name=name))
 
     def snapshot_row(self) -> DataFrame:
         """The model as one row with a map per family.
@@ -87,7 +93,7 @@ def seed_model(spark: SparkSession, baseline_ctr: float = K.SEED_BASELINE_CTR) -
     import math
 
     head = Head(K.SEED_SNAPSHOT_NAME, math.log(baseline_ctr / (1.0 - baseline_ctr)), baseline_ctr)
-    return Model(head, seed_weights(spark))
+    return Model(head, seed_weights(spark), sum(len(v) for v in K.SEED_WEIGHTS.values()))
 
 
 def weights_from_maps(snapshot: DataFrame) -> DataFrame:
@@ -135,16 +141,18 @@ def prior_mean(w0: float | Column, *weights: Column) -> Column:
 def with_priors(buckets: DataFrame, model: Model) -> DataFrame:
     """Look the three keys up in the weight families (absent means 0) and add the Beta priors.
 
-    Applied to buckets, after counting, so each triplet is looked up once. Catalyst broadcasts a
-    family only if its size is below the session threshold and shuffles it otherwise.
+    Applied to buckets, after counting, so each triplet is looked up once. Weights of a known small
+    number are broadcast. Others are broadcast by Catalyst only if their size is below the session
+    threshold, and shuffled otherwise.
     """
     columns = buckets.columns
+    small = model.features is not None and model.features <= MAX_BROADCAST_FEATURES
     found = buckets
     for family, key in K.FAMILY_COLUMNS.items():
         side = model.weights.filter(F.col("family") == family).select(
             F.col("feature").alias(key), F.col("weight").alias(f"_w_{family}")
         )
-        found = found.join(side, key, "left")
+        found = found.join(F.broadcast(side) if small else side, key, "left")
     strength = F.lit(float(model.head.triplet_strength))
     mean = prior_mean(model.head.w0, *[F.col(f"_w_{f}") for f in K.FAMILY_COLUMNS])
     return found.select(*columns, mean.alias("prior_ctr")).select(

@@ -1,9 +1,9 @@
 """Positions of values in a total order without a single-task window.
 
 ``positions`` gives each distinct value its number of rows and the number of rows before it. Equal
-values combine first; the distinct values are cut into pieces at approximate quantiles, so no task
-ever sorts a whole column, and only the piece totals (a fixed number) are scanned in order. Ranks,
-exact quantiles and medians all follow from the positions.
+values combine first and are stored once; the distinct values are cut into pieces at approximate
+quantiles, so no task ever sorts a whole column, and only the piece totals (a fixed number per
+group) are scanned in order. Ranks, exact quantiles and medians all follow from the positions.
 """
 
 from __future__ import annotations
@@ -12,31 +12,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clicklens.sources.tables import staged
+
 PIECES = 64
+# Groups are a handful of labels. Their cuts and totals pass through the driver, so their number
+# is checked: at most this many groups times ``PIECES`` rows.
+MAX_GROUPS = 1_000
 
 
 def positions(values: DataFrame, group: str, value: str, pieces: int = PIECES) -> DataFrame:
-    """``(group, value, rows, before)`` per distinct value. There should be few groups."""
-    distinct = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(
-        F.count("*").alias("rows")
+    """``(group, value, rows, before)`` per distinct value, for few groups."""
+    spark = values.sparkSession
+    distinct = staged(
+        values.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+        .groupBy(group, value)
+        .agg(F.count("*").alias("rows")),
+        "distinct-values",
     )
     shares = [i / pieces for i in range(1, pieces)]
     cuts = distinct.groupBy(group).agg(
         F.array_distinct(F.percentile_approx(value, shares, 10_000)).alias("_cuts")
     )
+    known = cuts.limit(MAX_GROUPS + 1).collect()
+    if len(known) > MAX_GROUPS:
+        raise ValueError(f"positions are for at most {MAX_GROUPS} groups")
     placed = (
-        distinct.join(cuts, group)
+        distinct.join(F.broadcast(spark.createDataFrame(known, cuts.schema)), group)
         .withColumn("_piece", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))))
         .drop("_cuts")
     )
-    totals = placed.groupBy(group, "_piece").agg(F.sum("rows").alias("_rows"))
-    # At most ``pieces`` rows per group.
-    ahead = W.partitionBy(group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.withColumn(
-        "_start", F.coalesce(F.sum("_rows").over(ahead), F.lit(0).cast("bigint"))
-    ).drop("_rows")
+    totals = placed.groupBy(group, "_piece").agg(F.sum("rows").alias("_start"))
+    ahead: dict = {}
+    starts = []
+    for name, piece, rows in sorted(totals.collect()):
+        starts.append((name, piece, ahead.get(name, 0)))
+        ahead[name] = ahead.get(name, 0) + rows
     inside = W.partitionBy(group, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return placed.join(starts, [group, "_piece"]).select(
+    return placed.join(
+        F.broadcast(spark.createDataFrame(starts, totals.schema)), [group, "_piece"]
+    ).select(
         group,
         value,
         "rows",
@@ -57,29 +71,34 @@ def average_ranks(values: DataFrame, group: str, value: str) -> DataFrame:
 def quantiles(values: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group with an array."""
     placed = positions(values, group, value)
-    sizes = placed.groupBy(group).agg(F.sum("rows").alias("_n"))
-    sized = placed.join(sizes, group)
-    picks = []
+    # The size of a group is where its last position ends.
+    sizes = {
+        name: n
+        for name, n in placed.groupBy(group)
+        .agg(F.max(F.col("before") + F.col("rows")))
+        .collect()
+    }
+    size = F.lit(None).cast("bigint")
+    for name, n in sizes.items():
+        size = F.when(F.col(group) == name, F.lit(n)).otherwise(size)
+    picks, edges = [], []
     for i, share in enumerate(shares):
-        at = (F.col("_n") - 1) * F.lit(float(share))
+        at = (size - 1) * F.lit(float(share))
         for side, position in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = (F.col("before") <= position) & (position < F.col("before") + F.col("rows"))
             picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{i}"))
-    found = sized.groupBy(group).agg(F.max("_n").alias("_n"), *picks)
-    edges = []
-    for i, share in enumerate(shares):
-        at = (F.col("_n") - 1) * F.lit(float(share))
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         edges.append(low + (high - low) * (at - F.floor(at)))
-    return found.select(group, F.array(*edges).alias("edges"))
+    return placed.groupBy(group).agg(*picks).select(group, F.array(*edges).alias("edges"))
 
 
 def rank_correlation(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:
     """Spearman correlation per group: Pearson over average ranks of both columns."""
-    left_rank = average_ranks(pairs, group, left).withColumnRenamed("rank", "_l")
-    right_rank = average_ranks(pairs, group, right).withColumnRenamed("rank", "_r")
-    # The ranks are one row per distinct value, so equal values of the pairs are combined first
-    # and a hot value joins as one weighted row.
+    # Stored, so that their true size decides whether they are broadcast.
+    left_rank = staged(average_ranks(pairs, group, left).withColumnRenamed("rank", "_l"), "ranks")
+    right_rank = staged(average_ranks(pairs, group, right).withColumnRenamed("rank", "_r"), "ranks")
+    # Equal pairs combine first, so a hot pair joins as one weighted row. A value that is hot in
+    # one column only meets a single rank row, which adaptive execution may split freely.
     weighted = pairs.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(
         group, left, right
     ).agg(F.count("*").alias("_w"))
