@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def evaluated_once(rows: DataFrame) -> DataFrame:
@@ -14,3 +15,16 @@ def evaluated_once(rows: DataFrame) -> DataFrame:
     over a single struct stops that; it adds no shuffle and stays inside code generation.
     """
     return rows.select(F.inline(F.array(F.struct("*"))))
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation.
+
+    Goes through Arrow, so no Python worker starts, and its exact size is known to the optimizer.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = schema.fieldNames()
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from clicklens import constants as K
 from clicklens.functions import checks, scalar
+from clicklens.functions.plan import local_rows
 from clicklens.operators.model import Head, Model
 from clicklens.operators.posterior import Trust, bucket_rows
 from clicklens.operators.model import with_priors
@@ -257,9 +258,8 @@ class Recalibration:
     weights: DataFrame
 
     def metrics_frame(self) -> DataFrame:
-        return self.features.sparkSession.createDataFrame(
-            [tuple(self.metrics[f] for f in METRICS.fieldNames())], METRICS
-        )
+        row = tuple(self.metrics[f] for f in METRICS.fieldNames())
+        return local_rows(self.features.sparkSession, [row], METRICS)
 
 
 def recalibrate(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clicklens import constants as K
 from clicklens.functions import scalar
+from clicklens.functions.plan import local_rows
 from clicklens.schemas import WEIGHTS
 
 MAX_BROADCAST_FEATURES = 100_000
@@ -86,7 +87,7 @@ class Model:
 
 def seed_weights(spark: SparkSession) -> DataFrame:
     rows = [(f, v, w) for f, pairs in K.SEED_WEIGHTS.items() for v, w in pairs]
-    return spark.createDataFrame(rows, WEIGHTS)
+    return local_rows(spark, rows, WEIGHTS)
 
 
 def seed_model(spark: SparkSession, baseline_ctr: float = K.SEED_BASELINE_CTR) -> Model:

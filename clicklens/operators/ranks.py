@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clicklens.functions.plan import local_rows
 from clicklens.sources.tables import staged
 
 PIECES = 64
@@ -37,7 +38,7 @@ def positions(values: DataFrame, group: str, value: str, pieces: int = PIECES) -
     if len(known) > MAX_GROUPS:
         raise ValueError(f"positions are for at most {MAX_GROUPS} groups")
     placed = (
-        distinct.join(F.broadcast(spark.createDataFrame(known, cuts.schema)), group)
+        distinct.join(F.broadcast(local_rows(spark, known, cuts.schema)), group)
         .withColumn("_piece", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))))
         .drop("_cuts")
     )
@@ -49,7 +50,7 @@ def positions(values: DataFrame, group: str, value: str, pieces: int = PIECES) -
         ahead[name] = ahead.get(name, 0) + rows
     inside = W.partitionBy(group, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return placed.join(
-        F.broadcast(spark.createDataFrame(starts, totals.schema)), [group, "_piece"]
+        F.broadcast(local_rows(spark, starts, totals.schema)), [group, "_piece"]
     ).select(
         group,
         value,

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clicklens import constants as K
 from clicklens.functions import checks, scalar
-from clicklens.functions.plan import evaluated_once
+from clicklens.functions.plan import evaluated_once, local_rows
 from clicklens.functions.payload import bucket_json, store_key
 from clicklens.operators.model import Head, prior_mean
 from clicklens.operators.posterior import Trust, bucket_rows
-from clicklens.schemas import BUCKET
+from clicklens.schemas import BUCKET, WEIGHTS
 
 
 def as_key_values(buckets: DataFrame) -> DataFrame:
@@ -149,7 +150,8 @@ def fixed_seed_weights(spark: SparkSession) -> DataFrame:
         for f, pairs in K.SEED_WEIGHTS.items()
         for i, (v, w) in enumerate(pairs)
     ]
-    return spark.createDataFrame(rows, "family string, position bigint, feature string, weight double")
+    schema = T.StructType([T.StructField("position", T.LongType()), *WEIGHTS.fields])
+    return local_rows(spark, [(i, f, v, w) for f, i, v, w in rows], schema)
 
 
 def bucket_summary(buckets: DataFrame) -> DataFrame:

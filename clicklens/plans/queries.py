@@ -694,7 +694,10 @@ def subtask_share(spark, folder):
 
 
 def _realtime(spark, folder, **options) -> RealtimeCtr:
-    job = RealtimeCtr(spark, shared_folder(spark, "realtime"), seed_model(spark), **options)
+    # The log may be a single unsplittable file.
+    cores = spark.sparkContext.defaultParallelism
+    folder_out = shared_folder(spark, "realtime")
+    job = RealtimeCtr(spark, folder_out, seed_model(spark), parse_partitions=cores, **options)
     job.start(X.event_text_stream(spark, folder)).awaitTermination()
     return job
 

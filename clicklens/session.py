@@ -32,6 +32,8 @@ def local_session(name: str, cores: str = "8", **extra: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Recording the call site of every column costs more than building the plan itself.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**RUNTIME_CONF, **extra}.items():
         builder = builder.config(key, value)

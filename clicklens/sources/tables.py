@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clicklens.functions.plan import local_rows
 from clicklens.operators.model import Head, Model
 from clicklens.schemas import WEIGHTS
 from clicklens.session import shared_folder
@@ -71,7 +72,7 @@ class SnapshotTable:
         rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
             f"{self.path}/data/slot={slot}"
         )
-        self.spark.createDataFrame([(version,)], self._MANIFEST).coalesce(1).write.mode(
+        local_rows(self.spark, [(version,)], self._MANIFEST).coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{self.path}/manifest/slot={slot}")
         return version
@@ -86,7 +87,7 @@ class AppendTable:
 
     def read(self) -> DataFrame:
         rows = _read_or_none(self.spark, self.path, self.schema)
-        return self.spark.createDataFrame([], self.schema) if rows is None else rows
+        return local_rows(self.spark, [], self.schema) if rows is None else rows
 
     def next_id(self) -> int:
         return self.read().agg(F.coalesce(F.max("id"), F.lit(0)) + 1).collect()[0][0]

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clicklens import constants as K
 from clicklens.functions import scalar
+from clicklens.functions.plan import local_rows
 from clicklens.operators import admission as A
 from clicklens.operators.counts import is_click, is_impression
 from clicklens.operators.model import Model
@@ -49,7 +50,8 @@ class RealtimeCtr:
     """Outputs below one folder: ``state``, ``dead_letters``, ``writes`` and ``metrics``.
 
     The model is fixed when the stream starts: new weights reach only buckets created after a
-    restart. ``initial`` holds stored buckets to continue from; it is read once, when there is no
+    restart. ``parse_partitions`` spreads the text before parsing, for sources with fewer or larger
+    pieces than the cluster has cores. ``initial`` holds stored buckets to continue from; it is read once, when there is no
     state yet.
     """
 
@@ -63,12 +65,14 @@ class RealtimeCtr:
         flush_mode: str = COALESCED,
         slot_seconds: float = A.DEFAULT_SLOT_SECONDS,
         forward_dead_letters: Callable[[DataFrame], None] | None = None,
+        parse_partitions: int | None = None,
     ) -> None:
         if flush_mode not in (PER_EVENT, COALESCED):
             raise ValueError("flush mode must be per_event or periodic")
         self.spark, self.folder, self.model, self.trust = spark, folder.rstrip("/"), model, trust
         self.flush_mode, self.slot_seconds = flush_mode, slot_seconds
         self.forward_dead_letters = forward_dead_letters
+        self.parse_partitions = parse_partitions
         self.state = SnapshotTable(spark, f"{self.folder}/state", BUCKET)
         self._last = time.monotonic()
         if initial is not None and not self.state.versions():
@@ -94,6 +98,8 @@ class RealtimeCtr:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; may be repeated for the same id."""
+        if self.parse_partitions is not None:
+            batch = batch.repartition(self.parse_partitions)
         # Parsing is the costly part and feeds several outputs. A lost block is parsed again.
         parsed = parse_events(batch).persist()
         before = self.state.read(before=batch_id + 1)
@@ -169,7 +175,7 @@ class RealtimeCtr:
     def buckets(self) -> DataFrame:
         """The current bucket rows."""
         rows = self.state.read()
-        return self.spark.createDataFrame([], BUCKET) if rows is None else rows
+        return local_rows(self.spark, [], BUCKET) if rows is None else rows
 
     def progress(self) -> DataFrame:
         """Cumulative progress records, one per micro-batch."""
