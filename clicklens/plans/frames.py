@@ -26,6 +26,7 @@ STAR_STEPS = {"ad": 0.053, "domain": 0.031, "context": 0.0171}
 SPLIT = "1998-05-01"
 EVENT_SPLIT = "2024-01-16"
 DIGITS = 12
+COARSE_DIGITS = 6
 
 # Learning controls of the registered queries: one that is accepted with some features too wide,
 # and one that fails the baseline guard.

@@ -206,7 +206,7 @@ def proposal_out(source: str, config) -> str:
   impressions AS aggregate_impressions, clicks AS aggregate_clicks, {r('observed_ctr', 'aggregate_observed_ctr')},
   {r('m', 'posterior_baseline_ctr')}, {r('lo', 'ci_low')}, {r('hi', 'ci_high')}, {r('hi - lo', 'ci_width')},
   {guard_reason(config)} AS guard_reason, valid_buckets AS valid_bucket_count,
-  invalid_buckets AS invalid_bucket_count FROM {source}"""
+  invalid_buckets AS invalid_bucket_count, {r(sig('new_w0'), 'new_baseline_ctr')} FROM {source}"""
 
 
 def features(marg: str, weights: str, w0: str, config, out: str) -> str:
@@ -430,6 +430,10 @@ summ AS (
   FROM agg JOIN runs USING (run_id) CROSS JOIN made)"""
 
 
+COARSE = """record_index metrics_log_parse experiment_records metrics_average metrics_aggregate
+full_window_rate phase_totals perf_summary speedup_vs_reference subtask_share sampling_z""".split()
+
+
 def _seed_state() -> str:
     return f"{EV}, {ADMIT}, {SEED_W}, {priors('kept', 'sw', SEED_W0, 'primed')}, {posterior('primed', 'bk')}"
 
@@ -744,4 +748,7 @@ FROM summ s, summ x WHERE x.run_id = 2"""
     sql["stream_recalibrate"] = f"""WITH {', '.join(two)} SELECT family, feature, {r('new_weight', 'weight')},
   'streaming_weights_20240201_000002' AS snapshot_name, round((SELECT new_w0 FROM p2), 9) AS w0,
   round({sig('(SELECT new_w0 FROM p2)')}, 9) AS baseline_ctr FROM f2"""
+    # Seconds and rates of whole runs are large, so fewer of their decimals are significant.
+    for name in COARSE:
+        sql[name] = sql[name].replace(", 9) AS ", f", {B.COARSE_DIGITS}) AS ")
     return sql

@@ -485,7 +485,7 @@ def bucket_merge(spark, folder):
 
 @query
 def sampling_z(spark, folder):
-    return rounded(V.sampling_plausibility(B.analysis(spark, folder)))
+    return rounded(V.sampling_plausibility(B.analysis(spark, folder)), B.COARSE_DIGITS)
 
 
 @query
@@ -608,7 +608,7 @@ def _records(spark, folder) -> DataFrame:
 
 @query
 def record_index(spark, folder):
-    return rounded(_records(spark, folder).drop("redis_flush_mode"))
+    return rounded(_records(spark, folder).drop("redis_flush_mode"), B.COARSE_DIGITS)
 
 
 @query
@@ -629,7 +629,7 @@ def metrics_log_parse(spark, folder):
     out = shared_folder(spark, "log")
     lines.write.text(out)
     parsed = logs.parse_metrics_lines(logs.read_log(spark, out)).drop("file")
-    return rounded(parsed)
+    return rounded(parsed, B.COARSE_DIGITS)
 
 
 @query
@@ -637,27 +637,27 @@ def experiment_records(spark, folder):
     out = shared_folder(spark, "results")
     B.run_results(spark, folder).write.json(out)
     records = logs.result_records(logs.read_result_lines(spark, out))
-    return rounded(records.drop("seq", "redis_flush_mode"))
+    return rounded(records.drop("seq", "redis_flush_mode"), B.COARSE_DIGITS)
 
 
 @query
 def metrics_average(spark, folder):
-    return rounded(P.average_metrics(B.run_records(spark, folder), ["run_id"]))
+    return rounded(P.average_metrics(B.run_records(spark, folder), ["run_id"]), B.COARSE_DIGITS)
 
 
 @query
 def metrics_aggregate(spark, folder):
-    return rounded(P.aggregate_metrics(B.run_records(spark, folder), ["run_id"]))
+    return rounded(P.aggregate_metrics(B.run_records(spark, folder), ["run_id"]), B.COARSE_DIGITS)
 
 
 @query
 def full_window_rate(spark, folder):
-    return rounded(P.full_window_rates(B.run_records(spark, folder), ["run_id"]))
+    return rounded(P.full_window_rates(B.run_records(spark, folder), ["run_id"]), B.COARSE_DIGITS)
 
 
 @query
 def phase_totals(spark, folder):
-    return rounded(P.phase_totals(B.run_results(spark, folder)))
+    return rounded(P.phase_totals(B.run_results(spark, folder)), B.COARSE_DIGITS)
 
 
 def _summary(spark, folder) -> DataFrame:
@@ -667,7 +667,7 @@ def _summary(spark, folder) -> DataFrame:
 
 @query
 def perf_summary(spark, folder):
-    return rounded(_summary(spark, folder))
+    return rounded(_summary(spark, folder), B.COARSE_DIGITS)
 
 
 @query
@@ -677,7 +677,7 @@ def completeness(spark, folder):
 
 @query
 def speedup_vs_reference(spark, folder):
-    return rounded(P.speedup(_summary(spark, folder), reference_run=2))
+    return rounded(P.speedup(_summary(spark, folder), reference_run=2), B.COARSE_DIGITS)
 
 
 @query
@@ -687,7 +687,7 @@ def subtask_pivot(spark, folder):
 
 @query
 def subtask_share(spark, folder):
-    return rounded(P.subtask_shares(B.run_records(spark, folder)))
+    return rounded(P.subtask_shares(B.run_records(spark, folder)), B.COARSE_DIGITS)
 
 
 # Streaming --------------------------------------------------------------------------------------
