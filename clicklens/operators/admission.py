@@ -23,7 +23,7 @@ from clicklens import constants as K
 from clicklens.functions.payload import event_json
 from clicklens.operators.counts import is_click, is_impression
 from clicklens.operators.model import Model, with_priors
-from clicklens.operators.posterior import Trust, bucket_rows
+from clicklens.operators.posterior import Trust, bucket_rows, with_posterior
 
 DEFAULT_SLOT_SECONDS = 60
 
@@ -146,6 +146,7 @@ def admit_clicks(
     # slack = impressions - all clicks, so accepted clicks = impressions - slack - rejected.
     admitted = detailed.select(
         *_EVENT,
+        "slot",
         "copies",
         (F.col("copies") - F.col("rejected")).alias("accepted"),
         "rejected",
@@ -215,13 +216,11 @@ def rejected_clicks(admission: Admission) -> DataFrame:
 
 
 def invalid_dead_letters(invalid: DataFrame) -> DataFrame:
-    """Dead letters of event text that failed validation."""
-    raw = F.to_json(F.struct("raw"))
-    # Identical texts combine before the shuffle, however many there are.
-    return (
-        invalid.groupBy("raw")
-        .agg(F.count("*").alias("copies"))
-        .select(F.lit(K.REASON_INVALID).alias("reason"), raw.alias("event"), "copies")
+    """Dead letters of event text that failed validation, row by row without a shuffle."""
+    return invalid.select(
+        F.lit(K.REASON_INVALID).alias("reason"),
+        F.to_json(F.struct("raw")).alias("event"),
+        F.lit(1).cast("bigint").alias("copies"),
     )
 
 
@@ -273,18 +272,18 @@ def running_buckets(
         "event_id",
         "event_type",
         "occurred_at",
-        *K.BUCKET_KEYS,
+        *_SLOT,
         F.col("impressions_after").alias("impressions"),
         F.col("clicks_after").alias("clicks"),
         F.col("accepted").alias("updates"),
     )
-    # Priors are looked up once per bucket, then joined to its events.
-    keys = new_buckets(admission, start, model, trust).select(
+    # Priors are looked up once per bucket and go to its slots. The events then join by bucket and
+    # slot, as they already lie after admission; by bucket alone a hot one would meet in one task.
+    priors = new_buckets(admission, start, model, trust).select(
         *K.BUCKET_KEYS, "alpha_prior", "beta_prior"
     )
-    from clicklens.operators.posterior import with_posterior
-
-    return with_posterior(changed.join(keys, K.BUCKET_KEYS), trust)
+    slots = admission.runs.select(*_SLOT).distinct().join(priors, K.BUCKET_KEYS)
+    return with_posterior(changed.join(slots, _SLOT).drop("slot"), trust)
 
 
 def flush_accounting(

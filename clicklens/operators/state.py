@@ -76,6 +76,23 @@ def inspect_keys(store: DataFrame, pattern: str = "*", limit: int = 100) -> Data
     return hits.orderBy("key").limit(limit)
 
 
+def inspect_snapshot(
+    store: DataFrame,
+    pattern: str = "*",
+    limit: int = 100,
+    bucket: tuple[str, str, str] | None = None,
+    only_bucket: bool = False,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The keys matching a pattern (none if only the bucket is wanted), and the bucket's entry."""
+    values = store.limit(0) if only_bucket else inspect_keys(store, pattern, limit)
+    if bucket is None:
+        return values, None
+    if len(bucket) != 3 or any(part is None for part in bucket):
+        raise ValueError("a bucket lookup needs all three key parts")
+    key = ":".join((K.STORE_PREFIX, *bucket))
+    return values, store.filter(F.col("key") == key)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str] = K.BUCKET_KEYS) -> DataFrame:
     """Source rows replace target rows of the same key; all others stay."""
     return target.join(source, keys, "left_anti").unionByName(source)

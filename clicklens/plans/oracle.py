@@ -495,8 +495,8 @@ FROM log GROUP BY ALL"""
   CAST(1 - rejected AS BIGINT) AS accepted, CAST(rejected AS BIGINT) AS rejected,
   CAST(shown AS BIGINT) AS impressions_after, CAST(shown - slack - lost AS BIGINT) AS clicks_after FROM adm"""
     letters = f"""let AS (
-  SELECT '{K.REASON_INVALID}' AS reason, to_json({{'raw': raw}})::VARCHAR AS event, count(*) AS copies
-  FROM (SELECT {EVENT_JSON} AS raw FROM log WHERE event_type NOT IN ('impression', 'click')) GROUP BY ALL
+  SELECT '{K.REASON_INVALID}' AS reason, to_json({{'raw': raw}})::VARCHAR AS event, CAST(1 AS BIGINT) AS copies
+  FROM (SELECT {EVENT_JSON} AS raw FROM log WHERE event_type NOT IN ('impression', 'click'))
   UNION ALL SELECT '{K.REASON_EXCESS_CLICK}', {EVENT_JSON}, CAST(rejected AS BIGINT) FROM adm WHERE rejected > 0)"""
     sql["dead_letters"] = f"WITH {EV}, {ADMIT}, {letters} SELECT * FROM let"
     sql["dead_letter_sink"] = f"""WITH {EV}, {ADMIT}, {letters}

@@ -75,6 +75,16 @@ def test_key_scan_sorts_before_the_limit(seeds):
     ]
 
 
+def test_inspect_one_bucket(seeds):
+    store = S.as_key_values(seeds)
+    values, entry = S.inspect_snapshot(store, bucket=("finance", "news.example", "gaming"), only_bucket=True)
+    assert values.count() == 0 and [r["key"] for r in entry.collect()] == ["ctr:finance:news.example:gaming"]
+    values, entry = S.inspect_snapshot(store, "ctr:health:*", 5)
+    assert values.count() == 5 and entry is None
+    with pytest.raises(ValueError):
+        S.inspect_snapshot(store, bucket=("finance", None, "gaming"))
+
+
 def test_upsert_is_idempotent(seeds):
     newer = seeds.filter("ad_category = 'travel'").withColumn("clicks", F.col("clicks") + 1)
     once = S.upsert(seeds, newer)
