@@ -522,6 +522,7 @@ SELECT {KEYS}, CAST(sum((updates + 2) // 3) AS BIGINT) AS flushes, CAST(sum(upda
 SELECT {KEYS}, impressions, clicks, {r('prior_ctr', 'prior_ctr')}, {r('alpha_prior', 'alpha_prior')},
   {r('beta_prior', 'beta_prior')} FROM primed"""
     sql["bucket_posterior"] = f"WITH {STAR_BUCKETS} SELECT {BUCKET_OUT} FROM bk"
+    sql["stream_star_update"] = sql["bucket_posterior"]
     sql["evidence_snapshot"] = f"""WITH {EV}, {counts}, {SEED_W},
 good AS (SELECT * FROM cnt WHERE impressions > 0 AND clicks <= impressions),
 {priors('good', 'sw', SEED_W0, 'primed')}, {posterior('primed', 'bk')} SELECT {BUCKET_OUT} FROM bk"""

@@ -707,6 +707,20 @@ def stream_ctr_update(spark, folder):
     return rounded(_realtime(spark, folder).buckets())
 
 
+@query
+def stream_star_update(spark, folder):
+    """Line items as a stream of impressions and clicks; ends at the batch posterior."""
+    job = RealtimeCtr(
+        spark,
+        shared_folder(spark, "star-stream"),
+        B.star_model(spark, folder),
+        parse_partitions=spark.sparkContext.defaultParallelism,
+        slot_seconds=86_400,
+    )
+    job.start(X.star_event_stream(spark, folder)).awaitTermination()
+    return rounded(job.buckets())
+
+
 @query
 def state_sink_per_event(spark, folder):
     """Every accepted event's bucket row, reduced to the number of writes and the last of each."""

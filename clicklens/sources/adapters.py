@@ -92,3 +92,40 @@ def event_text_stream(spark: SparkSession, folder: str) -> DataFrame:
     # A pattern, since the stream reader takes a folder or a pattern but no single file.
     rows = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
     return event_text(as_event_log(rows))
+
+
+def star_event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as a stream of event text: an impression each, and a click for returned ones.
+
+    The attributes come from static tables. A click follows its impression by a second.
+    """
+    schema = table(spark, folder, "lineitem").schema
+    lines = spark.readStream.schema(schema).parquet(f"{folder}/lineitem[.]parquet")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    part = table(spark, folder, "part").select("p_partkey", "p_type")
+    ordered = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    number = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    shown_at = F.col("l_shipdate").cast("timestamp")
+
+    def event(prefix: str, kind: str, at: Column, cause: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit(prefix), number).alias("event_id"),
+            F.lit(kind).alias("event_type"),
+            at.alias("occurred_at"),
+            cause.alias("impression_event_id"),
+        )
+
+    shown = event("i-", K.IMPRESSION, shown_at, F.lit(None).cast("string"))
+    clicked = event("c-", K.CLICK, shown_at + F.expr("INTERVAL 1 SECOND"), F.concat(F.lit("i-"), number))
+    both = F.when(F.col("l_returnflag") == "R", F.array(shown, clicked)).otherwise(F.array(shown))
+    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+        ordered, F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    events = joined.select(
+        F.col("p_type").alias("ad_category"),
+        F.col("c_mktsegment").alias("publisher_domain"),
+        F.col("o_orderpriority").alias("conversation_category"),
+        F.explode(both).alias("_e"),
+    )
+    return event_text(events.select(*K.BUCKET_KEYS, "_e.*"))
