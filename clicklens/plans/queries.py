@@ -26,7 +26,7 @@ from clicklens.operators.posterior import bucket_rows
 from clicklens.operators.ranks import average_ranks, rank_correlation
 from clicklens.plans import frames as B
 from clicklens.plans.frames import rounded
-from clicklens.schemas import BUCKET, DEAD_LETTER, EXPERIMENT_RESULT
+from clicklens.schemas import BUCKET, EXPERIMENT_RESULT
 from clicklens.session import configure, shared_folder
 from clicklens.sources import adapters as X
 from clicklens.sources import events as E
