@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clicklens.llm.near_dups import near_duplicates
+from clicklens.llm.quality import classify_quality
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +26,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups: 3-word shingles, Jaccard similarity of 0.85 or more."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows of fold 1 of 3 are held out of training."""
+    return classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
