@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clicklens.llm.near_dups import near_duplicates
 from clicklens.llm.quality import classify_quality
+from clicklens.llm.toxicity import classify_toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,9 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; rows of fold 1 of 3 are held out of training."""
     return classify_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows of fold 2 of 4 are held out of training."""
+    return classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

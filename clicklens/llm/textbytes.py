@@ -15,8 +15,8 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 
 PIECE_BYTES = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -63,7 +63,7 @@ class Words:
             place = self._place()
             powers = self._powers(int(self.lengths.max()) + 1)
             with np.errstate(over="ignore"):
-                value = _BYTE[_LOWER[self.data]] * powers[np.minimum(place, len(powers) - 1)]
+                value = _BYTE[LOWER[self.data]] * powers[np.minimum(place, len(powers) - 1)]
                 self.hashes = mix(np.add.reduceat(value, self.starts) + self.lengths.astype(np.uint64) * _STEP)
         self.ranges = np.searchsorted(self.starts, self.bounds)
 
