@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clicklens.llm.edit_counts import PATTERN, edited_counts, middle_edit
 from clicklens.llm.near_dups import near_duplicates
 from clicklens.llm.quality import classify_quality
+from clicklens.llm.sentencepieces import encode_pieces
 from clicklens.llm.toxicity import classify_toxicity
 
+VOCABULARIES = "/opt/tokenizers"
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,3 +43,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; rows of fold 2 of 4 are held out of training."""
     return classify_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op6_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after the stated edit of its middle."""
+    docs = read(spark, sf_dir, "documents")
+    return edited_counts(docs, middle_edit, f"{VOCABULARIES}/byte_bpe_50k.tiktoken", PATTERN)
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, their number, and whether they decode to the text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs, f"{VOCABULARIES}/piece_bpe_32k.model").drop("text")
