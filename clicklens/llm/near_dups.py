@@ -11,8 +11,10 @@ How it stays linear when one text or one group of near copies holds a third of a
   tensor product (exact, and the bulk of a corpus ends there);
 * in a table bucket every member is compared with one hub only, the member whose keys are the most common,
   which in a group of edited copies is the text they were made from;
-* after the components of those links, only pairs of a bucket that are still in different components are
-  compared, so no link between different texts is lost and nobody compares within a joined group.
+* after the components of those links, the members that a hub met but did not link are held against the rest of
+  the hub's component and each other, so no link between different texts is lost and nobody compares within a
+  joined group. Pairs of too different size, and pairs whose signatures agree on fewer of SIGNATURE minhashes
+  than a linked pair does by more than SURE standard deviations, are turned away inside the join.
 
 Every link is confirmed on the full shingle sets.
 """
@@ -34,6 +36,11 @@ from clicklens.sources.tables import staged
 
 WIDTH = 4
 MISS = 5e-5
+SIGNATURE = 384
+SURE = 4.75
+_BITS = 2
+_LOW = 0x5555555555555555
+_LONGS = [f"s{i}" for i in range(SIGNATURE * _BITS // 64)]
 
 
 def collection_size(percent: int) -> int:
@@ -41,8 +48,15 @@ def collection_size(percent: int) -> int:
     return math.ceil(math.log(MISS / 2) / math.log(1 - (percent / 100) ** WIDTH))
 
 
+def _agreeing(percent: int) -> int:
+    """Signature places on which a pair at the threshold agrees, less SURE standard deviations."""
+    agree = percent / 100 + (1 - percent / 100) / 2**_BITS
+    return math.floor(SIGNATURE * agree - SURE * math.sqrt(SIGNATURE * agree * (1 - agree)))
+
+
 def _sketcher(words: int, m: int):
-    factors, shifts = stream(21, 2 * m * WIDTH) | np.uint64(1), stream(22, 2 * m * WIDTH)
+    places = max(SIGNATURE, 2 * m * WIDTH)
+    factors, shifts = stream(21, places) | np.uint64(1), stream(22, places)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,33 +66,30 @@ def _sketcher(words: int, m: int):
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(sizes)
                 keys = np.zeros((len(sets), 2 * m), dtype=np.uint64)
+                bits = np.zeros((len(_LONGS), len(sets)), dtype=np.uint64)
                 if len(full):
                     flat, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
-                    with np.errstate(over="ignore"):
-                        for c in range(2 * m):
-                            key = np.full(len(full), c + 1, dtype=np.uint64)
-                            for i in range(c * WIDTH, (c + 1) * WIDTH):
-                                key = mix(key ^ np.minimum.reduceat(flat * factors[i] + shifts[i], starts))
-                            keys[full, c] = key
-                ids = batch.column("doc_id").slice(row, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array(sizes),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), 2 * m).cast(
-                            pa.list_(pa.int64())
-                        ),
-                    ],
-                    ["doc_id", "n_shingles", "set_hash", "keys"],
-                )
+                    keys[full] = np.arange(1, 2 * m + 1, dtype=np.uint64)
+                    for i in range(places):
+                        with np.errstate(over="ignore"):
+                            least = mix(np.minimum.reduceat(flat * factors[i] + shifts[i], starts))
+                        if i < 2 * m * WIDTH:
+                            keys[full, i // WIDTH] = mix(keys[full, i // WIDTH] ^ least)
+                        if i < SIGNATURE:
+                            place = np.uint64(i * _BITS % 64)
+                            bits[i * _BITS // 64, full] |= (least & np.uint64(2**_BITS - 1)) << place
+                hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), 2 * m)
+                columns = [batch.column("doc_id").slice(row, len(texts)), pa.array(sizes), pa.array(hashes, pa.binary())]
+                columns += [lists.cast(pa.list_(pa.int64())), *[pa.array(b.view(np.int64)) for b in bits]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_hash", "keys", *_LONGS])
 
     return sketch
 
 
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys) for each row of (doc_id, text)."""
-    schema = "doc_id long, n_shingles long, set_hash binary, keys array<long>"
+    """(doc_id, n_shingles, set_hash, keys, signature) for each row of (doc_id, text)."""
+    schema = "doc_id long, n_shingles long, set_hash binary, keys array<long>, " + ", ".join(f"{c} long" for c in _LONGS)
     return docs.select("doc_id", "text").mapInArrow(_sketcher(words, collection_size(percent)), schema)
 
 
@@ -135,7 +146,7 @@ def links(docs: DataFrame, sketched: DataFrame, words: int, percent: int) -> tup
     some = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = staged(some.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "near-sets")
     reps = some.join(first.select("set_hash", "id"), "set_hash").filter("doc_id = id")
-    reps = reps.select("id", F.col("n_shingles").alias("n"), "keys")
+    reps = reps.select("id", F.col("n_shingles").alias("n"), "keys", *_LONGS)
     rows = staged(_buckets(reps, collection_size(percent)), "near-buckets")
     hubs = (
         rows.groupBy("key")
@@ -157,25 +168,35 @@ def links(docs: DataFrame, sketched: DataFrame, words: int, percent: int) -> tup
     found = staged(confirmed(star, docs, words, percent), "near-links")
     groups = connected_components(found)
 
-    # What the hubs left open: members of a bucket outside the component of its hub, against the others.
+    # What the hubs left open: what one met outside its component, against that component and each other.
     def grouped(frame: DataFrame, column: str, name: str) -> DataFrame:
         of = groups.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
         return frame.join(of, F.col(column) == F.col("_id"), "left").select(
             *frame.columns, F.coalesce("_component", column).alias(name)
         )
 
-    placed = grouped(grouped(met.select("key", "id", "n", "hub"), "hub", "main"), "id", "component")
-    placed = staged(placed, "near-placed")
-    open_rows = placed.filter("component <> main")
-    mixed = open_rows.select("key").distinct()
-    others = placed.join(mixed, "key", "left_semi").select(
-        "key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2")
+    meetings = met.select("hub", "id").distinct()
+    placed = staged(grouped(grouped(meetings, "hub", "main"), "id", "component"), "near-placed")
+    open_rows = placed.filter("component <> main").select("main", "id", "component").distinct()
+    others = (
+        placed.select("main", F.explode(F.array(F.struct("id", "component"), F.struct(F.col("hub").alias("id"), F.col("main").alias("component")))).alias("m"))
+        .select("main", "m.*")
+        .distinct()
+        .join(open_rows.select("main").distinct(), "main", "left_semi")
+    )
+    marks = reps.select("id", "n", *_LONGS)
+    left = open_rows.join(marks, "id")
+    right = others.join(marks, "id").select("main", *[F.col(c).alias(f"{c}_2") for c in ("id", "component", *marks.columns[1:])])
+    agree = SIGNATURE - sum(
+        (F.bit_count((x := F.col(c).bitwiseXOR(F.col(f"{c}_2"))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(_LOW)) for c in _LONGS),
+        F.lit(0),
     )
     rest = (
-        open_rows.join(others, "key")
-        .filter("component <> component2 AND (component2 = main OR id < id2)")
-        .filter(_similar_size(F.col("n"), F.col("n2"), percent))
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        left.join(right, "main")
+        .filter("component <> component_2 AND (component_2 = main OR id < id_2)")
+        .filter(_similar_size(F.col("n"), F.col("n_2"), percent))
+        .filter(agree >= _agreeing(percent))
+        .select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
@@ -201,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     copies = first.filter("copies > 1").select("set_hash", F.col("id").alias("_first"))
     of = groups.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
     return (
-        sketched.drop("keys")
+        sketched.select("doc_id", "n_shingles", "set_hash")
         .withColumn("set_hash", F.when(F.col("n_shingles") > 0, F.col("set_hash")))
         .join(copies, "set_hash", "left")
         .withColumn("_rep", F.coalesce("_first", "doc_id"))
