@@ -29,10 +29,11 @@ GRAMS = (3, 5)
 class Windows:
     """Windows of a batch of texts over its distinct words.
 
-    words, grams, starts: embedding rows of the distinct words; ids, real: windows x WINDOW; owner: the text
-    of each window. A text without words has one window of padding.
+    hashes: the distinct words; words, grams, starts: their embedding rows; ids, real: windows x WINDOW; owner:
+    the text of each window. A text without words has one window of padding.
     """
 
+    hashes: np.ndarray
     words: np.ndarray
     grams: np.ndarray
     starts: np.ndarray
@@ -69,10 +70,33 @@ def windows(texts: Words) -> Windows:
     spread = begin[:, None] + np.arange(WINDOW)
     real = spread < texts.ranges[1:][owner][:, None]
     padded = np.append(ids.astype(np.int64), len(distinct))
-    ids = padded[np.where(real, spread, len(padded) - 1)]
+    ids = padded[np.where(real, spread, len(padded) - 1)].astype(np.int32)
     real = real.copy()
     real[~real.any(axis=1), 0] = True  # attention needs one step
-    return Windows(_bucket(distinct), grams, (ends - lengths) * len(GRAMS), ids, real, owner)
+    return Windows(distinct, _bucket(distinct), grams, (ends - lengths) * len(GRAMS), ids, real, owner)
+
+
+def joined(texts: pa.Array) -> Windows:
+    """The windows of all texts over one list of distinct words, built piece by piece."""
+    parts = [(row, windows(Words(piece))) for row, piece in pieces(texts)]
+    hashes, first = np.unique(np.concatenate([w.hashes for _, w in parts]), return_index=True)
+    sizes = np.concatenate([np.diff(np.append(w.starts, len(w.grams))) for _, w in parts])
+    begins = np.cumsum(sizes) - sizes
+    grams, sizes, begins = np.concatenate([w.grams for _, w in parts]), sizes[first], begins[first]
+    starts = np.cumsum(sizes) - sizes
+    grams = grams[np.repeat(begins - starts, sizes) + np.arange(int(sizes.sum()))]
+    ids = [
+        np.append(np.searchsorted(hashes, w.hashes), len(hashes)).astype(np.int32)[w.ids] for _, w in parts
+    ]  # the padding word keeps the last number
+    return Windows(
+        hashes,
+        _bucket(hashes),
+        grams,
+        starts,
+        np.concatenate(ids),
+        np.concatenate([w.real for _, w in parts]),
+        np.concatenate([w.owner + row for row, w in parts]),
+    )
 
 
 def window_logits(p: dict, w: Windows, block: int = 4096) -> np.ndarray:
@@ -93,26 +117,18 @@ def text_scores(p: dict, texts: pa.Array) -> np.ndarray:
 
 def _evidence(w: Windows, toxic: np.ndarray) -> np.ndarray:
     """Log-odds that a window's most telling word or gram belongs to toxic documents, over the sample itself."""
-    n, hot = len(toxic), int(toxic.sum())
+    n, count = len(toxic), len(w.words)
 
-    def odds(keys: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
-        pairs = np.unique(keys * n + docs)
-        t = np.bincount(pairs // n, toxic[pairs % n], size)
-        c = np.bincount(pairs // n, 1 - toxic[pairs % n], size)
-        return np.log((t + 0.5) / (hot + 1)) - np.log((c + 0.5) / (n - hot + 1))
+    def odds(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / (n - toxic.sum() + 1))
 
-    count = len(w.words)
     real = w.ids < count
-    ids, docs = w.ids[real], np.repeat(w.owner, real.sum(axis=1))
-    by_word = odds(ids, docs, count)
-    pairs = np.unique(ids * n + docs)
-    sizes = np.diff(np.append(w.starts, len(w.grams)))
-    word, doc = pairs // n, pairs % n
-    spread = np.repeat(w.starts[word], sizes[word]) + np.arange(int(sizes[word].sum())) - np.repeat(
-        np.cumsum(sizes[word]) - sizes[word], sizes[word]
-    )
-    by_gram = odds(w.grams[spread], np.repeat(doc, sizes[word]), BUCKETS)
-    telling = np.maximum(by_word, np.maximum.reduceat(by_gram[w.grams], w.starts))
+    pairs = np.unique(w.ids[real].astype(np.int64) * n + np.repeat(w.owner, real.sum(axis=1)))
+    word, hot = pairs // n, toxic[pairs % n]
+    in_toxic, in_clean = np.bincount(word, hot, count), np.bincount(word, 1 - hot, count)
+    owner = np.repeat(np.arange(count), np.diff(np.append(w.starts, len(w.grams))))
+    by_gram = odds(*[np.bincount(w.grams, c[owner], BUCKETS) for c in (in_toxic, in_clean)])
+    telling = np.maximum(odds(in_toxic, in_clean), np.maximum.reduceat(by_gram[w.grams], w.starts))
     return np.append(telling, -9.0)[w.ids].max(axis=1)
 
 
@@ -123,7 +139,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, steps: int = 150, b
         p["out"][:] = 0
         p["bias"][:] = 4.0 if len(toxic) and toxic[0] == 1 else -4.0
         return p
-    w = windows(Words(texts))
+    w = joined(texts)
+    if not len(w.words):
+        return p
     rng = np.random.default_rng(9)
     value = _evidence(w, toxic)
     optimiser = Adam(p, 0.01)
