@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clicklens.llm.edit_counts import PATTERN, edited_counts, middle_edit
 from clicklens.llm.near_dups import near_duplicates
 from clicklens.llm.quality import classify_quality
+from clicklens.llm.secret_scan import secret_report
 from clicklens.llm.sentencepieces import encode_pieces
 from clicklens.llm.toxicity import classify_toxicity
 
@@ -57,3 +58,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, their number, and whether they decode to the text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_pieces(docs, f"{VOCABULARIES}/piece_bpe_32k.model").drop("text")
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known forms and high-entropy strings in every document."""
+    return secret_report(read(spark, sf_dir, "documents"))
