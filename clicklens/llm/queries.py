@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clicklens.llm.edit_counts import PATTERN, edited_counts, middle_edit
 from clicklens.llm.near_dups import near_duplicates
+from clicklens.llm.order_minhash import fingerprint_report
 from clicklens.llm.quality import classify_quality
 from clicklens.llm.secret_scan import secret_report
 from clicklens.llm.sentencepieces import encode_pieces
@@ -64,3 +65,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known forms and high-entropy strings in every document."""
     return secret_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edited text."""
+    return fingerprint_report(read(spark, sf_dir, "documents"))
