@@ -12,6 +12,7 @@ from clicklens.llm.order_minhash import fingerprint_report
 from clicklens.llm.quality import classify_quality
 from clicklens.llm.secret_scan import secret_report
 from clicklens.llm.sentencepieces import encode_pieces
+from clicklens.llm.templates import contamination_report
 from clicklens.llm.toxicity import classify_toxicity
 
 VOCABULARIES = "/opt/tokenizers"
@@ -71,3 +72,9 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of every document and of its edited text."""
     return fingerprint_report(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document contains, also with other numbers and names."""
+    return contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
