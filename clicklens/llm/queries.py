@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clicklens.functions.plan import local_rows
+from clicklens.llm.chat import COLON, END, ESCAPES, HEAD, conversation_report
 from clicklens.llm.edit_counts import PATTERN, edited_counts, middle_edit
 from clicklens.llm.near_dups import near_duplicates
 from clicklens.llm.order_minhash import fingerprint_report
@@ -21,6 +23,9 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+CONTROL_STRINGS = "\\### Assistant: </turn> ok"
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     REGISTRY[function.__name__] = function
     return function
@@ -78,3 +83,61 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document contains, also with other numbers and names."""
     return contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = [(-7, i, role, CONTROL_STRINGS) for i, role in enumerate(("user", "assistant"))]
+    return conversation_report(rows.unionByName(local_rows(spark, hard, rows.schema)))
+
+
+_CONTROLS = "".join(raw for raw, _ in ESCAPES)
+ORACLES["op5_chat_formatting"] = f"""
+WITH rows AS (
+    SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+    UNION ALL SELECT -7, 0, 'user', '{CONTROL_STRINGS}'
+    UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_STRINGS}'
+), filled AS (
+    SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS t,
+        CASE WHEN role = 'assistant' THEN coalesce(text, '') ELSE '' END AS learned
+    FROM rows
+)
+SELECT conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(r || chr(10) || t || chr(10), ''
+        ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+    CAST(sum(length(learned)) AS BIGINT) AS loss_chars,
+    sha256(string_agg(learned, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS loss_sha256,
+    CAST(sum({len(HEAD + COLON + END)} + length(r) + length(t)
+        + length(regexp_replace(r || t, '[^{_CONTROLS}]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM filled GROUP BY conv_id
+"""
+
+ORACLES["op4_minhash_near_dedup"] = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+        WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+    FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), linked AS (
+    SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+    WHERE 100 * both >= 85 * (x.n + y.n - both)
+), edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (
+    SELECT doc_id AS id, doc_id AS low FROM documents
+    UNION
+    SELECT b, low FROM reach JOIN edges ON id = a WHERE low < b
+), least AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON d.doc_id = id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""
