@@ -16,6 +16,7 @@ from clicklens.llm.secret_scan import secret_report
 from clicklens.llm.sentencepieces import encode_pieces
 from clicklens.llm.templates import contamination_report
 from clicklens.llm.toxicity import classify_toxicity
+from clicklens.llm.warc import derivatives, response_records
 
 VOCABULARIES = "/opt/tokenizers"
 
@@ -93,6 +94,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_report(rows.unionByName(local_rows(spark, hard, rows.schema)))
 
 
+@query
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and plain-text records derived from a response record of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return derivatives(response_records(pages, "2024-01-01T00:00:00Z").drop("url", "html")).drop("derived")
+
+
 _CONTROLS = "".join(raw for raw, _ in ESCAPES)
 ORACLES["op5_chat_formatting"] = f"""
 WITH rows AS (
@@ -127,11 +135,11 @@ WITH RECURSIVE words AS (
     FROM words
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared
     FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
 ), linked AS (
     SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
-    WHERE 100 * both >= 85 * (x.n + y.n - both)
+    WHERE 100 * n_shared >= 85 * (x.n + y.n - n_shared)
 ), edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 reach AS (
     SELECT doc_id AS id, doc_id AS low FROM documents
