@@ -117,20 +117,22 @@ ROWS_PER_RANGE = 1024
 MAX_RANGES = 1 << 20
 
 
-def with_next(rows: DataFrame, values: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, values: list[str], ids: DataFrame | None = None) -> DataFrame:
     """``rows`` (doc_id, text, ...) with ``next_*`` for each of ``values``, from the next row by (doc_id, text).
 
-    Null ids come first; after the last row comes the first. Rows are dealt by equal ranges of doc_id of about
+    ``ids`` has the doc_ids of ``rows``, for reading them without computing the rest of a row. Null ids come first; after the last row comes the first. Rows are dealt by equal ranges of doc_id of about
     ROWS_PER_RANGE rows, and the first document of each range is dealt to the range before it as well, so
     every range knows its successors without a global sort. The heads of at most MAX_RANGES ranges are
     broadcast, which bounds them to some 20 MB.
     """
-    low, high, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    ids = (rows if ids is None else ids).select("doc_id")
+    low, high, count = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high = (0, 0) if low is None else (low, high)
     ranges = min(MAX_RANGES, count // ROWS_PER_RANGE + 1)
     width = (high - low) // ranges + 1
-    dealt = rows.withColumn("_range", F.expr(f"coalesce(doc_id - {low}L, 0L) div {width}L"))
-    heads = dealt.groupBy("_range").agg(F.min(F.coalesce("doc_id", F.lit(low))).alias("_head"))
+    of = F.expr(f"coalesce(doc_id - {low}L, 0L) div {width}L")
+    dealt = rows.withColumn("_range", of)
+    heads = ids.groupBy(of.alias("_range")).agg(F.min(F.coalesce("doc_id", F.lit(low))).alias("_head"))
     heads = heads.agg(F.sort_array(F.collect_list(F.struct("_range", "_head"))).alias("h")).select(
         F.explode(
             F.transform(
@@ -169,7 +171,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(fingerprints(rows, {"text": "mark"}), ["text", "mark"])
+    rows = with_next(fingerprints(rows, {"text": "mark"}), ["text", "mark"], docs)
     cut = F.expr("length(text) div 4").cast("int")
     rows = rows.withColumn("cut", cut).withColumn(
         "edited",
