@@ -200,10 +200,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     )
     rows = find_secrets(docs)
     changed = F.size("_all") > 0
-    values = {"text": F.when(changed, clean).otherwise(F.col("text"))}
+    rows = evaluated_once(rows.withColumn("text", F.when(changed, clean).otherwise(F.col("text"))))
     if "n_chars" in docs.columns:
-        values["_chars"] = F.when(changed, F.length(values["text"])).otherwise(F.col("n_chars"))
-    rows = evaluated_once(rows.withColumns(values))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.col("_chars").cast(docs.schema["n_chars"].dataType))
+        count = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -123,11 +123,11 @@ def _resolved(text: Column) -> Column:
             F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, F.lit(2), F.length(x)), 16, 10)
         ).otherwise(x).cast("long")
         code = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(x.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
 
     def spelled(t: Column) -> Column:
         plain, found = F.split(t, numeric, -1), F.regexp_extract_all(t, F.lit(numeric), F.lit(1))
-        pairs = F.zip_with(plain, found, lambda p, x: F.concat(p, F.coalesce(character(x), F.lit(""))))
+        pairs = F.zip_with(plain, found, lambda p, x: F.concat(p, character(x)))
         return F.array_join(pairs, "")
 
     text = F.when(F.contains(text, F.lit("&#")), spelled(text)).otherwise(text)
