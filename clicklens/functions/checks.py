@@ -32,8 +32,13 @@ def valid_bucket() -> Column:
     unit = F.lit(True)
     for name in ["ctr", "ci_low", "ci_high"]:
         unit = unit & c(name).between(0.0, 1.0)
+    # Spark orders NaN above every number, so it would pass all lower bounds.
+    numbers = F.lit(True)
+    for name in ["alpha_prior", "beta_prior", "alpha_posterior", "beta_posterior", "ctr", "variance", "ci_low", "ci_high"]:
+        numbers = numbers & ~F.isnan(name)
     return _true(
         present
+        & numbers
         & (c("impressions") >= 0)
         & (c("clicks") >= 0)
         & positive

@@ -12,7 +12,6 @@ from clicklens.functions import scalar
 from clicklens.functions.plan import local_rows
 from clicklens.schemas import WEIGHTS
 
-MAX_BROADCAST_FEATURES = 100_000
 _MAPS = {"ad": "w_ad", "domain": "w_dom", "context": "w_ctx"}
 
 
@@ -142,18 +141,16 @@ def prior_mean(w0: float | Column, *weights: Column) -> Column:
 def with_priors(buckets: DataFrame, model: Model) -> DataFrame:
     """Look the three keys up in the weight families (absent means 0) and add the Beta priors.
 
-    Applied to buckets, after counting, so each triplet is looked up once. Weights of a known small
-    number are broadcast. Others are broadcast by Catalyst only if their size is below the session
-    threshold, and shuffled otherwise.
+    Applied to buckets, after counting, so each triplet is looked up once. Weights are
+    broadcast by Catalyst if their measured size is below the session threshold, and shuffled otherwise.
     """
     columns = buckets.columns
-    small = model.features is not None and model.features <= MAX_BROADCAST_FEATURES
     found = buckets
     for family, key in K.FAMILY_COLUMNS.items():
         side = model.weights.filter(F.col("family") == family).select(
             F.col("feature").alias(key), F.col("weight").alias(f"_w_{family}")
         )
-        found = found.join(F.broadcast(side) if small else side, key, "left")
+        found = found.join(side, key, "left")
     strength = F.lit(float(model.head.triplet_strength))
     mean = prior_mean(model.head.w0, *[F.col(f"_w_{f}") for f in K.FAMILY_COLUMNS])
     return found.select(*columns, mean.alias("prior_ctr")).select(

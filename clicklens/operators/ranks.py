@@ -1,9 +1,8 @@
 """Positions of values in a total order without a single-task window.
 
 ``positions`` gives each distinct value its number of rows and the number of rows before it. Equal
-values combine first and are stored once; the distinct values are cut into pieces at approximate
-quantiles, so no task ever sorts a whole column, and only the piece totals (a fixed number per
-group) are scanned in order. Ranks, exact quantiles and medians all follow from the positions.
+values combine first and are stored once; the distinct values are dealt out by range, so no task ever sorts a
+whole column, and only the piece totals are scanned in order. Ranks, exact quantiles and medians all follow from the positions.
 """
 
 from __future__ import annotations
@@ -12,46 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clicklens.functions.plan import local_rows
 from clicklens.sources.tables import staged
 
-PIECES = 64
-# Groups are a handful of labels. Their cuts and totals pass through the driver, so their number
-# is checked: at most this many groups times ``PIECES`` rows.
-MAX_GROUPS = 1_000
 
+def positions(values: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, value, rows, before)`` per distinct value of any number of groups.
 
-def positions(values: DataFrame, group: str, value: str, pieces: int = PIECES) -> DataFrame:
-    """``(group, value, rows, before)`` per distinct value, for few groups."""
-    spark = values.sparkSession
-    distinct = staged(
+    The distinct values are dealt out by range of (group, value) and stored with their piece. Pieces
+    follow the session's partitions and so the cluster; only their totals, a row for each group and
+    piece, are scanned in order.
+    """
+    distinct = (
         values.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
         .groupBy(group, value)
-        .agg(F.count("*").alias("rows")),
-        "distinct-values",
+        .agg(F.count("*").alias("rows"))
     )
-    shares = [i / pieces for i in range(1, pieces)]
-    cuts = distinct.groupBy(group).agg(
-        F.array_distinct(F.percentile_approx(value, shares, 10_000)).alias("_cuts")
+    placed = staged(
+        distinct.repartitionByRange(group, value).withColumn("_piece", F.spark_partition_id()),
+        "distinct-values",
     )
-    known = cuts.limit(MAX_GROUPS + 1).collect()
-    if len(known) > MAX_GROUPS:
-        raise ValueError(f"positions are for at most {MAX_GROUPS} groups")
-    placed = (
-        distinct.join(F.broadcast(local_rows(spark, known, cuts.schema)), group)
-        .withColumn("_piece", F.size(F.filter("_cuts", lambda cut: cut < F.col(value))))
-        .drop("_cuts")
+    pieces = W.partitionBy(group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy(group, "_piece").agg(F.sum("rows").alias("_rows"))
+    starts = totals.select(
+        group, "_piece", F.coalesce(F.sum("_rows").over(pieces), F.lit(0).cast("bigint")).alias("_start")
     )
-    totals = placed.groupBy(group, "_piece").agg(F.sum("rows").alias("_start"))
-    ahead: dict = {}
-    starts = []
-    for name, piece, rows in sorted(totals.collect()):
-        starts.append((name, piece, ahead.get(name, 0)))
-        ahead[name] = ahead.get(name, 0) + rows
     inside = W.partitionBy(group, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return placed.join(
-        F.broadcast(local_rows(spark, starts, totals.schema)), [group, "_piece"]
-    ).select(
+    return placed.join(starts, [group, "_piece"]).select(
         group,
         value,
         "rows",
@@ -73,15 +58,8 @@ def quantiles(values: DataFrame, group: str, value: str, shares: list[float]) ->
     """Exact linearly interpolated quantiles: one row per group with an array."""
     placed = positions(values, group, value)
     # The size of a group is where its last position ends.
-    sizes = {
-        name: n
-        for name, n in placed.groupBy(group)
-        .agg(F.max(F.col("before") + F.col("rows")))
-        .collect()
-    }
-    size = F.lit(None).cast("bigint")
-    for name, n in sizes.items():
-        size = F.when(F.col(group) == name, F.lit(n)).otherwise(size)
+    sizes = placed.groupBy(group).agg(F.max(F.col("before") + F.col("rows")).alias("_size"))
+    placed, size = placed.join(sizes, group), F.col("_size")
     picks, edges = [], []
     for i, share in enumerate(shares):
         at = (size - 1) * F.lit(float(share))
@@ -90,7 +68,7 @@ def quantiles(values: DataFrame, group: str, value: str, shares: list[float]) ->
             picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{i}"))
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         edges.append(low + (high - low) * (at - F.floor(at)))
-    return placed.groupBy(group).agg(*picks).select(group, F.array(*edges).alias("edges"))
+    return placed.groupBy(group, "_size").agg(*picks).select(group, F.array(*edges).alias("edges"))
 
 
 def rank_correlation(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ from clicklens.functions.payload import bucket_json, store_key
 from clicklens.operators.model import Head, prior_mean
 from clicklens.operators.posterior import Trust, bucket_rows
 from clicklens.schemas import BUCKET, WEIGHTS
+from clicklens.sources.events import one_json_object
+from clicklens.sources.tables import SnapshotTable, staged
 
 
 def as_key_values(buckets: DataFrame) -> DataFrame:
@@ -23,7 +27,8 @@ def as_key_values(buckets: DataFrame) -> DataFrame:
 def decode_buckets(store: DataFrame) -> DataFrame:
     """Bucket rows of all keys with the bucket prefix, with ``valid``."""
     rows = store.filter(F.col("key").startswith(f"{K.STORE_PREFIX}:"))
-    decoded = rows.select("key", F.from_json("value", BUCKET).alias("_b")).select("key", "_b.*")
+    parsed = F.when(one_json_object(F.col("value")), F.from_json("value", BUCKET))
+    decoded = rows.select("key", parsed.alias("_b")).select("key", "_b.*")
     return evaluated_once(decoded.withColumn("valid", checks.valid_bucket()))
 
 
@@ -61,9 +66,11 @@ def require_valid(rows: DataFrame) -> DataFrame:
 
 
 def _glob_to_regex(pattern: str) -> str:
-    out = ""
+    out, inside = "", False
     for ch in pattern:
-        out += {"*": ".*", "?": "."}.get(ch, ch if ch.isalnum() or ch in "[]^-_" else f"\\{ch}")
+        plain = ch.isalnum() or ch in "[]-_" or (ch == "^" and inside)
+        out += ch if plain else {"*": ".*", "?": "."}.get(ch, f"\\{ch}")
+        inside = ch == "[" or (inside and ch != "]")
     return f"(?s)^{out}$"
 
 
@@ -94,8 +101,32 @@ def inspect_snapshot(
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str] = K.BUCKET_KEYS) -> DataFrame:
-    """Source rows replace target rows of the same key; all others stay."""
-    return target.join(source, keys, "left_anti").unionByName(source)
+    """Source rows replace target rows of the same key; all others stay.
+
+    Of several source rows of a key the greatest counts, by ``updated_at`` where the rows have it and then by all
+    columns in order, so that a key is there once whatever the order of the rows.
+    """
+    order = [c for c in ("updated_at",) if c in source.columns]
+    rest = [c for c in source.columns if c not in (*keys, *order)]
+    newest = source.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row")).select(*keys, "_row.*")
+    newest = newest.select(*source.columns)
+    return target.join(newest, keys, "left_anti").unionByName(newest)
+
+
+def persist_buckets(store: DataFrame, table: SnapshotTable, dry_run: bool = False) -> DataFrame:
+    """Upsert the valid buckets of a store into a table and return the outcome row.
+
+    Nothing is written in a dry run or without valid rows. Written rows get the time of the write as
+    ``updated_at`` where the table has that column; stored buckets that the scan lacks stay as they are.
+    """
+    valid, counts = scan_buckets(store)
+    result = staged(persist_result(counts, dry_run), "persist-result")
+    if result.first()["postgres_write_applied"]:
+        if "updated_at" in table.schema.fieldNames():
+            valid = valid.withColumn("updated_at", F.lit(datetime.now(timezone.utc)))
+        before = table.read()
+        table.write(valid if before is None else upsert(before, valid))
+    return result
 
 
 def persist_result(counts: DataFrame, dry_run: bool) -> DataFrame:

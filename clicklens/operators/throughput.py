@@ -306,17 +306,22 @@ def speedup(summary: DataFrame, reference_run: int) -> DataFrame:
     )
 
 
-def subtask_distribution(records: DataFrame, subtasks: list[int]) -> DataFrame:
-    """Final processed events per run, one column per subtask, 0 where a run has none."""
+def subtask_distribution(records: DataFrame) -> DataFrame:
+    """Final processed events per run, one column per subtask that any run has, 0 where a run has none.
+
+    The subtasks are those of the records: their number is the parallelism of the runs.
+    """
     last = last_records(records, ["run_id"])
+    found = sorted(r[0] for r in last.select("subtask_index").distinct().collect() if r[0] is not None)
     columns = [
         F.coalesce(
             F.sum(F.when(F.col("subtask_index") == s, F.col("processed_events"))),
             F.lit(0).cast("bigint"),
         ).alias(f"subtask_{s}")
-        for s in subtasks
+        for s in found
     ]
-    return last.groupBy("run_id").agg(*columns)
+    runs = last.groupBy("run_id")
+    return runs.agg(*columns) if columns else last.select("run_id").distinct()
 
 
 def subtask_shares(records: DataFrame) -> DataFrame:

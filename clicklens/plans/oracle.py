@@ -508,7 +508,7 @@ SELECT {KEYS}, CAST(sum((updates + 2) // 3) AS BIGINT) AS flushes, CAST(sum(upda
   CAST(sum(updates - (updates + 2) // 3) AS BIGINT) AS updates_coalesced FROM per GROUP BY ALL"""
     state = f"WITH {_seed_state()} "
     sql["state_bootstrap"] = state + f"SELECT {BUCKET_OUT} FROM bk"
-    sql["stream_ctr_update"] = sql["state_bootstrap"]
+    sql["stream_ctr_update"] = sql["stream_restart"] = sql["state_bootstrap"]
     sql["state_sink_coalesced"] = state + f"SELECT {KEYS}, impressions, clicks, {r('ctr', 'ctr')} FROM bk"
     sql["state_sink_per_event"] = state + f"SELECT {KEYS}, impressions + clicks AS writes, impressions, clicks, {r('ctr', 'ctr')} FROM bk"
     sql["stream_metrics"] = f"""WITH {EV}, {ADMIT} SELECT (SELECT count(*) FROM log) AS processed_events,
@@ -583,7 +583,7 @@ WHERE ad_category = 'ECONOMY' AND publisher_domain = 'HOUSEHOLD' AND conversatio
     sql["bucket_persist"] = f"""WITH {STORE}, t AS (SELECT count(*) AS s, count(*) FILTER (valid) AS v FROM store)
 SELECT dry AS dry_run, s AS scanned_key_count, v AS valid_bucket_count, s - v AS invalid_bucket_count,
   CASE WHEN dry THEN 0 ELSE v END AS persisted_bucket_count, NOT dry AND v > 0 AS postgres_write_applied,
-  v AS stored_rows FROM t, (VALUES (true), (false)) AS x(dry)"""
+  CASE WHEN dry THEN 1 ELSE v + 1 END AS stored_rows, CASE WHEN dry THEN 0 ELSE v END AS fresh_rows FROM t, (VALUES (true), (false)) AS x(dry)"""
     sql["bucket_upsert"] = f"""WITH {FRAME}, n0 AS (
   SELECT {KEYS}, i1 AS impressions, c1 AS clicks FROM split WHERE i1 > 2 * c1),
 {priors('n0', 'w', W0, 'n1')}, {posterior('n1', 'n2')},

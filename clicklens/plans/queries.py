@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clicklens import constants as K
 from clicklens.functions import checks, payload, scalar
@@ -166,7 +167,7 @@ def src_event_stream(spark, folder):
     """The event stream read to the end: how many messages of each kind arrived."""
     out = shared_folder(spark, "events")
     running = (
-        E.parse_events(X.event_text_stream(spark, folder))
+        E.parse_events(X.event_text_stream(spark, X.event_log(spark, folder)))
         .writeStream.format("parquet")
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
@@ -377,12 +378,20 @@ def bucket_to_json(spark, folder):
 
 @query
 def bucket_persist(spark, folder):
-    valid, counts = S.scan_buckets(B.key_value_store(spark, folder))
-    table = SnapshotTable(spark, shared_folder(spark, "persist"), BUCKET)
-    table.write(valid)
-    kept = table.read().agg(F.count("*")).scalar()
-    result = S.persist_result(counts, dry_run=False).unionByName(S.persist_result(counts, dry_run=True))
-    return result.withColumn("stored_rows", kept)
+    """A dry run and a real one, into a table that already holds another bucket."""
+    store = staged(B.key_value_store(spark, folder), "store")
+    schema = T.StructType([*BUCKET.fields, T.StructField("updated_at", T.TimestampType())])
+    table = SnapshotTable(spark, shared_folder(spark, "persist"), schema)
+    other = S.scan_buckets(store)[0].orderBy(*K.BUCKET_KEYS).limit(1)
+    other = other.withColumns({k: F.lit("other") for k in K.BUCKET_KEYS} | {"updated_at": F.lit(None).cast("timestamp")})
+    table.write(other)
+    outcomes = []
+    for dry_run in (True, False):
+        result = S.persist_buckets(store, table, dry_run)
+        # Rows that carry the time of this write, and all rows there are.
+        stored = table.read().agg(F.count("*").alias("all"), F.count("updated_at").alias("new")).first()
+        outcomes.append(result.withColumns({"stored_rows": F.lit(stored["all"]), "fresh_rows": F.lit(stored["new"])}))
+    return outcomes[0].unionByName(outcomes[1])
 
 
 @query
@@ -682,7 +691,7 @@ def speedup_vs_reference(spark, folder):
 
 @query
 def subtask_pivot(spark, folder):
-    return P.subtask_distribution(B.run_records(spark, folder), [0, 1, 2, 3])
+    return P.subtask_distribution(B.run_records(spark, folder))
 
 
 @query
@@ -694,11 +703,9 @@ def subtask_share(spark, folder):
 
 
 def _realtime(spark, folder, **options) -> RealtimeCtr:
-    # The log may be a single unsplittable file.
-    cores = spark.sparkContext.defaultParallelism
-    folder_out = shared_folder(spark, "realtime")
-    job = RealtimeCtr(spark, folder_out, seed_model(spark), parse_partitions=cores, **options)
-    job.start(X.event_text_stream(spark, folder)).awaitTermination()
+    """The event log through the stream, four micro-batches in order of time."""
+    job = RealtimeCtr(spark, shared_folder(spark, "realtime"), seed_model(spark), **options)
+    job.start(X.event_text_stream(spark, X.event_log(spark, folder))).awaitTermination()
     return job
 
 
@@ -707,6 +714,18 @@ def stream_ctr_update(spark, folder):
     return rounded(_realtime(spark, folder).buckets())
 
 
+@query
+def stream_restart(spark, folder):
+    """Half of the log through one checkpoint, the rest through a fresh one on the same state."""
+    log, at = X.event_log(spark, folder), F.col("occurred_at")
+    cut = F.lit(B.EVENT_SPLIT).cast("timestamp")
+    base = shared_folder(spark, "restart")
+    for name, part in (("first", log.filter(at < cut)), ("second", log.filter(at.isNull() | (at >= cut)))):
+        job = RealtimeCtr(spark, f"{base}/job", seed_model(spark))
+        job.start(X.event_text_stream(spark, part, 2), checkpoint=f"{base}/{name}").awaitTermination()
+    return rounded(job.buckets())
+
+
 @query
 def stream_star_update(spark, folder):
     """Line items as a stream of impressions and clicks; ends at the batch posterior."""
@@ -714,10 +733,9 @@ def stream_star_update(spark, folder):
         spark,
         shared_folder(spark, "star-stream"),
         B.star_model(spark, folder),
-        parse_partitions=spark.sparkContext.defaultParallelism,
         slot_seconds=86_400,
     )
-    job.start(X.star_event_stream(spark, folder)).awaitTermination()
+    job.start(X.event_text_stream(spark, X.star_event_log(spark, folder))).awaitTermination()
     return rounded(job.buckets())
 
 
@@ -757,7 +775,7 @@ def stream_metrics(spark, folder):
 @query
 def stream_triplet_counts(spark, folder):
     job = EvidenceStream(spark, shared_folder(spark, "evidence"))
-    job.start(X.event_text_stream(spark, folder)).awaitTermination()
+    job.start(X.event_text_stream(spark, X.event_log(spark, folder))).awaitTermination()
     counts, invalid = job.counts()
     return counts.withColumn("invalid_events", invalid.scalar())
 
@@ -767,7 +785,7 @@ def stream_recalibrate(spark, folder):
     """Two clock ticks on the evidence of the stream: the second learns from the first."""
     base = shared_folder(spark, "relearn")
     job = EvidenceStream(spark, f"{base}/evidence")
-    job.start(X.event_text_stream(spark, folder)).awaitTermination()
+    job.start(X.event_text_stream(spark, X.event_log(spark, folder))).awaitTermination()
     models = ModelStore(spark, f"{base}/models")
     models.append(seed_model(spark))
     clock = Recalibrator(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,11 +47,22 @@ def local_session(name: str, cores: str = "8", **extra: str) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder every executor reaches.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-    temporary folder is chosen once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session without one, as in tests, gets a
+    temporary folder, which goes when the process ends; on a cluster a machine's own folder would hide each
+    executor's files from the others, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="clicklens-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is; a missing one is fine."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from clicklens import constants as K
 from clicklens.functions.payload import event_json
+from clicklens.session import shared_folder
+from clicklens.sources.events import text_event_stream
+from clicklens.sources.tables import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,21 +89,35 @@ def event_text(log: DataFrame) -> DataFrame:
     return log.select(event_json().alias("value"))
 
 
-def event_text_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The ``events`` table as a file stream of event text."""
-    schema = table(spark, folder, "events").schema
-    # A pattern, since the stream reader takes a folder or a pattern but no single file.
-    rows = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
-    return event_text(as_event_log(rows))
+def write_topic(spark: SparkSession, log: DataFrame, out: str, batches: int = 4) -> int:
+    """Events as text files below ``out``, a batch after the other by time; returns the files of a batch.
+
+    A reader that takes as many files per trigger as a batch has gets the events in order of time.
+    """
+    rows = staged(log, "event-log")
+    at = F.unix_micros("occurred_at")
+    shares = [i / batches for i in range(1, batches)]
+    cuts = rows.agg(F.percentile_approx(at, shares)).first()[0] or []
+    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= at)), F.lit(0))
+    files = spark.sparkContext.defaultParallelism
+    for i in range(len(set(cuts)) + 1):
+        event_text(rows.filter(place == i)).repartition(files).write.mode("append").text(out)
+    return files
+
+
+def event_text_stream(spark: SparkSession, log: DataFrame, batches: int = 4) -> DataFrame:
+    """Events as a file stream of text that arrives in ``batches`` micro-batches."""
+    out = shared_folder(spark, "topic")
+    files = write_topic(spark, log, out, batches)
+    return text_event_stream(spark, out, files)
 
 
-def star_event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as a stream of event text: an impression each, and a click for returned ones.
+def star_event_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as events: an impression each, and a click for returned ones.
 
-    The attributes come from static tables. A click follows its impression by a second.
+    The attributes come from the other tables. A click follows its impression by a second.
     """
-    schema = table(spark, folder, "lineitem").schema
-    lines = spark.readStream.schema(schema).parquet(f"{folder}/lineitem[.]parquet")
+    lines = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     part = table(spark, folder, "part").select("p_partkey", "p_type")
@@ -128,4 +145,4 @@ def star_event_stream(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderpriority").alias("conversation_category"),
         F.explode(both).alias("_e"),
     )
-    return event_text(events.select(*K.BUCKET_KEYS, "_e.*"))
+    return events.select(*K.BUCKET_KEYS, "_e.*")

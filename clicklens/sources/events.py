@@ -55,14 +55,29 @@ def _timestamp(text: Column) -> Column:
     )
 
 
+def one_json_object(text: Column) -> Column:
+    """Whether a text is exactly one JSON object: nothing behind it, no single quotes, no NaN.
+
+    The parsers ignore what follows a first value. Inside an array and before the text's own hash, anything
+    else than one value breaks the array or moves the hash.
+    """
+    seal = F.md5(text.cast("binary"))
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+    kind = F.schema_of_variant(F.try_variant_get(whole, "$[0]", "variant"))
+    sealed = F.try_variant_get(whole, "$[1]", "string") == seal
+    return F.coalesce(sealed & kind.startswith("OBJECT"), F.lit(False))
+
+
 def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     """Event text to typed columns, the raw text and ``valid``.
 
     Strings must be JSON strings, unknown extra fields are ignored, the impression id may be
-    absent or null, and the time may be ISO text or epoch numbers. One pass over the text.
+    absent or null, and the time may be ISO text or epoch numbers. A text that is more or less than one JSON
+    object is invalid.
     """
+    text = F.col(column)
     parsed = raw.select(
-        F.col(column).alias("raw"), F.from_json(F.col(column), _JSON_SCHEMA).alias("_json")
+        text.alias("raw"), F.when(one_json_object(text), F.from_json(text, _JSON_SCHEMA)).alias("_json")
     )
     texts = parsed.select(
         "raw",
@@ -95,12 +110,21 @@ def invalid_events(parsed: DataFrame) -> DataFrame:
 
 
 def raw_bucket_key(column: str = "value") -> Column:
-    """Key text read before validation; the fixed invalid key where a part is missing."""
-    json = F.from_json(F.col(column), ", ".join(f"{k} VARIANT" for k in K.BUCKET_KEYS))
+    """Key text read before validation; the fixed invalid key for malformed text or a missing part.
+
+    Null parts print as None and booleans as True and False.
+    """
+    text = F.col(column)
+    json = F.when(one_json_object(text), F.from_json(text, ", ".join(f"{k} VARIANT" for k in K.BUCKET_KEYS)))
     parts = []
     for key in K.BUCKET_KEYS:
         v = json.getField(key)
-        parts.append(F.when(F.is_variant_null(v), F.lit("None")).otherwise(F.try_variant_get(v, "$", "string")))
+        printed = F.try_variant_get(v, "$", "string")
+        parts.append(
+            F.when(F.is_variant_null(v), F.lit("None"))
+            .when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(printed))
+            .otherwise(printed)
+        )
     return F.coalesce(
         F.concat(parts[0], F.lit(":"), parts[1], F.lit(":"), parts[2]), F.lit(K.INVALID_KEY)
     )

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicklens.functions.plan import local_rows
 from clicklens.operators.model import Head, Model
 from clicklens.schemas import WEIGHTS
-from clicklens.session import shared_folder
+from clicklens.session import remove, shared_folder
 
 
 def _read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -36,22 +39,45 @@ def staged(rows: DataFrame, purpose: str) -> DataFrame:
 class SnapshotTable:
     """A table that is replaced as a whole, one version at a time, by a single writer.
 
-    A version is written to one of a few folders in turn and becomes current when its small
-    manifest row is written after it. A failed write leaves the current version untouched, and a
-    repeated write of the same version replaces its own half-finished folder. Old versions are
-    overwritten in turn, so the space stays bounded.
+    Every version has a folder of its own and becomes current when its small manifest row is written
+    after it, so a failed write leaves the current version untouched and a reader keeps the version
+    it began with. A version carries the run and batch that wrote it: the same pair again changes
+    nothing, and a new run goes on from the newest version. Versions beyond the newest ``KEEP`` go
+    when they are older than ``retain_seconds``.
     """
 
-    SLOTS = 3
-    _MANIFEST = T.StructType([T.StructField("version", T.LongType())])
+    KEEP = 3
+    _MANIFEST = T.StructType(
+        [
+            T.StructField("version", T.LongType()),
+            T.StructField("run", T.StringType()),
+            T.StructField("batch", T.LongType()),
+            T.StructField("written_at", T.DoubleType()),
+        ]
+    )
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
+    def __init__(
+        self, spark: SparkSession, path: str, schema: T.StructType, retain_seconds: float = 86_400.0
+    ) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.retain_seconds = retain_seconds
 
-    def versions(self) -> list[int]:
-        """Versions that can be read, oldest first (at most ``SLOTS`` small rows)."""
+    def _known(self) -> list[Row]:
+        """Manifest rows, oldest first: a few, as old versions are removed."""
         rows = _read_or_none(self.spark, f"{self.path}/manifest", self._MANIFEST)
-        return [] if rows is None else sorted(r["version"] for r in rows.limit(self.SLOTS).collect())
+        return [] if rows is None else sorted(rows.drop("v").collect(), key=lambda r: r["version"])
+
+    def versions(self) -> list[int]:
+        """Versions that can be read, oldest first."""
+        return [r["version"] for r in self._known()]
+
+    def version_of(self, run: str, batch: int) -> tuple[int, bool]:
+        """The version that a batch of a run has written or is to write, and whether it is complete."""
+        known = self._known()
+        for r in known:
+            if (r["run"], r["batch"]) == (run, batch):
+                return r["version"], True
+        return (known[-1]["version"] + 1 if known else 0), False
 
     def read(self, version: int | None = None, before: int | None = None) -> DataFrame | None:
         """The newest version, a given one, or the newest below ``before``; None if there is none."""
@@ -60,23 +86,30 @@ class SnapshotTable:
             version = known[-1] if known else None
         if version is None or version not in known:
             return None
-        return self.spark.read.schema(self.schema).parquet(
-            f"{self.path}/data/slot={version % self.SLOTS}"
-        )
-
-    def write(self, rows: DataFrame, version: int | None = None) -> int:
-        if version is None:
-            known = self.versions()
-            version = known[-1] + 1 if known else 0
-        slot = version % self.SLOTS
-        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
-            f"{self.path}/data/slot={slot}"
-        )
-        local_rows(self.spark, [(version,)], self._MANIFEST).coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path}/manifest/slot={slot}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{version}")
+
+    def write(self, rows: DataFrame, run: str | None = None, batch: int | None = None) -> int:
+        """Write the next version, unless this batch of this run is there already."""
+        run = uuid.uuid4().hex if run is None else run
+        version, complete = self.version_of(run, batch or 0)
+        if complete:
+            return version
+        fields = self.schema.fieldNames()
+        rows.select(*fields).write.mode("overwrite").parquet(f"{self.path}/data/{version}")
+        row = (version, run, batch or 0, time.time())
+        manifest = local_rows(self.spark, [row], self._MANIFEST).coalesce(1)
+        manifest.write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
+        self._forget()
         return version
 
+    def _forget(self) -> None:
+        """Remove old versions, the manifest row first."""
+        limit = time.time() - self.retain_seconds
+        for r in self._known()[: -self.KEEP]:
+            if r["written_at"] < limit:
+                remove(self.spark, f"{self.path}/manifest/v={r['version']}")
+                remove(self.spark, f"{self.path}/data/{r['version']}")
+
 
 class AppendTable:
     """Rows with increasing ids, appended by a single writer."""

@@ -16,8 +16,7 @@ from clicklens.operators.counts import is_click, is_impression
 from clicklens.operators.model import Head, Model
 from clicklens.sources.events import parse_events
 from clicklens.sources.tables import ModelStore, SnapshotTable
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from clicklens.streaming.realtime import run_of
 
 COUNTS = T.StructType(
     [T.StructField(k, T.StringType()) for k in K.BUCKET_KEYS]
@@ -40,21 +39,37 @@ def evidence_counts(parsed: DataFrame) -> DataFrame:
 
 
 class EvidenceStream:
-    """Keeps the counts of all events so far as a versioned table."""
+    """Keeps the counts of all events so far as a versioned table.
+
+    Each micro-batch is counted by itself and added to the newest version that is not its own, so a
+    repeated batch counts once and a run with a fresh checkpoint goes on from what is stored. Triplets,
+    not events, are rewritten, and no setting of the session changes.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.table = SnapshotTable(spark, f"{self.folder}/counts", COUNTS)
 
-    def start(self, text: DataFrame, processing_time: str | None = None) -> StreamingQuery:
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    def start(
+        self, text: DataFrame, processing_time: str | None = None, checkpoint: str | None = None
+    ) -> StreamingQuery:
         trigger = {"availableNow": True} if processing_time is None else {"processingTime": processing_time}
+        checkpoint = checkpoint or f"{self.folder}/checkpoint"
+
+        def process(batch: DataFrame, batch_id: int) -> None:
+            run = run_of(self.spark, checkpoint)
+            version, _ = self.table.version_of(run, batch_id)
+            before, counts = self.table.read(before=version), evidence_counts(parse_events(batch))
+            if before is not None:
+                sums = [F.sum(c).alias(c) for c in ("impressions", "clicks", "invalid_events")]
+                counts = before.unionByName(counts).groupBy(*K.BUCKET_KEYS).agg(*sums)
+            self.table.write(counts.select(*COUNTS.fieldNames()), run, batch_id)
+
         return (
-            evidence_counts(parse_events(text))
+            text.select("value")
             .writeStream.queryName("weight_evidence")
-            .outputMode("complete")
-            .option("checkpointLocation", f"{self.folder}/checkpoint")
-            .foreachBatch(lambda rows, batch_id: self.table.write(rows, version=batch_id))
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(process)
             .trigger(**trigger)
             .start()
         )

@@ -3,8 +3,9 @@
 Every micro-batch is one declarative pass: parse, admit clicks on top of the stored state, write
 dead letters, writes and the new state. A bucket that receives a third of all events is split into
 time slots like in a batch query (see ``operators.admission``), which a per-key stateful operator
-could not do. All outputs of a batch are keyed by its id and replaced when it is repeated, and the
-state is versioned by it, so a repeated batch starts from the same state and gives the same result.
+could not do. All outputs of a batch are keyed by the version of the state that it makes, which belongs
+to the run (the checkpoint) and the batch: a repeated batch starts from the same state and replaces its own
+outputs, and a run with a fresh checkpoint goes on from the newest state.
 """
 
 from __future__ import annotations
@@ -41,18 +42,21 @@ _BATCH_METRICS = T.StructType(
     + [
         T.StructField("redis_flush_mode", T.StringType()),
         T.StructField("window_seconds", T.DoubleType()),
-        T.StructField("batch_id", T.LongType()),
+        T.StructField("version", T.LongType()),
     ]
 )
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint: one run for as long as that is used."""
+    return spark.read.json(f"{checkpoint}/metadata").select("id").first()[0]
+
+
 class RealtimeCtr:
     """Outputs below one folder: ``state``, ``dead_letters``, ``writes`` and ``metrics``.
 
     The model is fixed when the stream starts: new weights reach only buckets created after a
-    restart. ``parse_partitions`` spreads the text before parsing, for sources with fewer or larger
-    pieces than the cluster has cores. ``initial`` holds stored buckets to continue from; it is read once, when there is no
-    state yet.
+    restart. ``initial`` holds stored buckets to continue from; it is read once, when there is no state yet.
     """
 
     def __init__(
@@ -65,18 +69,17 @@ class RealtimeCtr:
         flush_mode: str = COALESCED,
         slot_seconds: float = A.DEFAULT_SLOT_SECONDS,
         forward_dead_letters: Callable[[DataFrame], None] | None = None,
-        parse_partitions: int | None = None,
     ) -> None:
         if flush_mode not in (PER_EVENT, COALESCED):
             raise ValueError("flush mode must be per_event or periodic")
         self.spark, self.folder, self.model, self.trust = spark, folder.rstrip("/"), model, trust
         self.flush_mode, self.slot_seconds = flush_mode, slot_seconds
         self.forward_dead_letters = forward_dead_letters
-        self.parse_partitions = parse_partitions
         self.state = SnapshotTable(spark, f"{self.folder}/state", BUCKET)
         self._last = time.monotonic()
-        if initial is not None and not self.state.versions():
-            self.state.write(initial, version=0)
+        if initial is not None and not self.state.versions():  # a restart has newer state
+            self.state.write(initial, run="initial")
+        self._run = "direct"
 
     def start(
         self,
@@ -86,11 +89,17 @@ class RealtimeCtr:
     ) -> StreamingQuery:
         """Start on a stream with a ``value`` column. Without a processing time the available
         backlog is drained and the query ends."""
+        checkpoint = checkpoint or f"{self.folder}/checkpoint"
+
+        def process(batch: DataFrame, batch_id: int) -> None:
+            self._run = run_of(self.spark, checkpoint)
+            self.process(batch, batch_id)
+
         writer = (
             text.select("value")
             .writeStream.queryName("realtime_ctr")
-            .option("checkpointLocation", checkpoint or f"{self.folder}/checkpoint")
-            .foreachBatch(self.process)
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(process)
         )
         trigger = {"availableNow": True} if processing_time is None else {"processingTime": processing_time}
         self._last = time.monotonic()
@@ -98,11 +107,10 @@ class RealtimeCtr:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch; may be repeated for the same id."""
-        if self.parse_partitions is not None:
-            batch = batch.repartition(self.parse_partitions)
         # Parsing is the costly part and feeds several outputs. A lost block is parsed again.
         parsed = parse_events(batch).persist()
-        before = self.state.read(before=batch_id + 1)
+        version, _ = self.state.version_of(self._run, batch_id)
+        before = self.state.read(before=version)
         admission = A.admit_clicks(valid_events(parsed), before, self.slot_seconds)
         # One admission pass serves the dead letters, the writes and the new state.
         runs = admission.runs.persist()
@@ -111,28 +119,28 @@ class RealtimeCtr:
             letters = A.invalid_dead_letters(invalid_events(parsed)).unionByName(
                 A.rejected_clicks(admission)
             )
-            self._write(letters.select(*DEAD_LETTER.fieldNames()), "dead_letters", batch_id)
+            self._write(letters.select(*DEAD_LETTER.fieldNames()), "dead_letters", version)
             if self.forward_dead_letters is not None:
-                self.forward_dead_letters(self._read_batch("dead_letters", DEAD_LETTER, batch_id))
+                self.forward_dead_letters(self._read_batch("dead_letters", DEAD_LETTER, version))
 
             changed = A.new_buckets(admission, before, self.model, self.trust)
             if self.flush_mode == PER_EVENT:
                 writes = A.running_buckets(admission, before, self.model, self.trust)
-                self._write(writes, "writes", batch_id)
+                self._write(writes, "writes", version)
             else:
-                self._write(changed, "writes", batch_id)
-                changed = self._read_batch("writes", BUCKET, batch_id)
+                self._write(changed, "writes", version)
+                changed = self._read_batch("writes", BUCKET, version)
             state = changed if before is None else upsert(before, changed)
-            self.state.write(state, version=batch_id + 1)
-            self._write(self._metrics(parsed, batch_id), "metrics", batch_id)
+            self.state.write(state, self._run, batch_id)
+            self._write(self._metrics(parsed, version), "metrics", version)
         finally:
             runs.unpersist()
             parsed.unpersist()
 
-    def _metrics(self, parsed: DataFrame, batch_id: int) -> DataFrame:
+    def _metrics(self, parsed: DataFrame, version: int) -> DataFrame:
         now = time.monotonic()
         seconds, self._last = now - self._last, now
-        letters = self._read_batch("dead_letters", DEAD_LETTER, batch_id)
+        letters = self._read_batch("dead_letters", DEAD_LETTER, version)
         rejected = letters.agg(
             F.coalesce(F.sum(F.when(F.col("reason") == K.REASON_EXCESS_CLICK, F.col("copies"))), F.lit(0))
         ).scalar()
@@ -141,7 +149,7 @@ class RealtimeCtr:
         flushes = (
             accepted
             if self.flush_mode == PER_EVENT
-            else self._read_batch("writes", BUCKET, batch_id).agg(F.count("*")).scalar()
+            else self._read_batch("writes", BUCKET, version).agg(F.count("*")).scalar()
         )
         return parsed.agg(
             F.count("*").alias("processed_events"),
@@ -157,14 +165,14 @@ class RealtimeCtr:
             flushes.cast("bigint").alias("redis_flushes"),
             F.lit(self.flush_mode).alias("redis_flush_mode"),
             F.lit(seconds).alias("window_seconds"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
+            F.lit(version).cast("bigint").alias("version"),
         )
 
-    def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+    def _write(self, rows: DataFrame, name: str, version: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={version}")
 
-    def _read_batch(self, name: str, schema: T.StructType, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={batch_id}")
+    def _read_batch(self, name: str, schema: T.StructType, version: int) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={version}")
 
     def dead_letters(self) -> DataFrame:
         return self.spark.read.schema(DEAD_LETTER).parquet(f"{self.folder}/dead_letters")
@@ -181,7 +189,7 @@ class RealtimeCtr:
         """Cumulative progress records, one per micro-batch."""
         rows = self.spark.read.schema(_BATCH_METRICS).parquet(f"{self.folder}/metrics")
         # One row per micro-batch.
-        order = W.partitionBy("subtask_index").orderBy("batch_id")
+        order = W.partitionBy("subtask_index").orderBy("version")
         so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
         c = F.col
         valid = c("impressions") + c("clicks")

@@ -49,9 +49,17 @@ def test_quantiles(numbers):
         assert got[g] == pytest.approx(list(part["y"].quantile(shares)), abs=1e-12)
 
 
-def test_too_many_groups(spark):
-    with pytest.raises(ValueError, match="groups"):
-        R.positions(spark.range(1500).withColumn("v", F.rand()), "id", "v")
+def test_any_number_of_groups(spark):
+    rows = spark.range(6000).select((F.col("id") % 1500).alias("g"), F.col("id").alias("v"))
+    got = R.positions(rows, "g", "v").groupBy("g").agg(F.max("before").alias("last"), F.count("*").alias("n"))
+    assert got.filter("last = 3 AND n = 4").count() == 1500
+
+
+def test_pivot_takes_the_subtasks_it_finds(spark):
+    rows = records(spark).filter("subtask_index = 0")
+    pivot = P.subtask_distribution(rows.unionByName(rows.withColumn("subtask_index", F.lit(5).cast("bigint"))))
+    assert set(pivot.columns) == {"run_id", "subtask_0", "subtask_5"}
+    assert all(r["subtask_5"] == r["subtask_0"] > 0 for r in pivot.collect())
 
 
 def frame_of(spark):
@@ -136,7 +144,7 @@ def test_aggregate_over_subtasks(spark):
     assert row["post_warmup_eps"] == 5.0 + 5.0
     shares = {r["subtask_index"]: r["share"] for r in P.subtask_shares(records(spark)).collect()}
     assert shares == {0: 6 / 16, 1: 10 / 16}
-    pivot = P.subtask_distribution(records(spark), [0, 1, 2]).collect()[0]
+    pivot = P.subtask_distribution(records(spark)).collect()[0]
     assert (pivot["subtask_0"], pivot["subtask_1"], pivot["subtask_2"]) == (6, 10, 0)
 
 

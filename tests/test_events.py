@@ -94,3 +94,20 @@ def test_raw_key(spark):
 def test_offsets_are_checked(spark):
     with pytest.raises(ValueError):
         kafka_event_stream(spark, "localhost:1", starting="middle")
+
+
+GOOD = (
+    '{"event_id":"e","event_type":"impression","ad_category":"finance","publisher_domain":"news.example",'
+    '"conversation_category":"gaming","occurred_at":"2026-01-02T03:04:05Z"}'
+)
+
+
+def test_text_must_be_one_json_object(spark):
+    bad = [GOOD + " trailing", GOOD + GOOD, GOOD + "," + GOOD, GOOD.replace('"', "'"), f"[{GOOD}]", "1", "NaN", "", GOOD[:-1], GOOD + ',"x"']
+    rows = [(GOOD,), (f"  {GOOD}\n",), *[(b,) for b in bad], (None,)]
+    parsed = parse_events(spark.createDataFrame(rows, "value string")).select("raw", "valid").collect()
+    assert {r["raw"] for r in parsed if r["valid"]} == {GOOD, f"  {GOOD}\n"}
+    keys = spark.createDataFrame(rows, "value string").select("value", raw_bucket_key().alias("k")).collect()
+    assert {r["value"] for r in keys if r["k"] == "finance:news.example:gaming"} == {GOOD, f"  {GOOD}\n"}
+    odd = GOOD.replace('"finance"', "true").replace('"gaming"', "null")
+    assert spark.createDataFrame([(odd,)], "value string").select(raw_bucket_key()).first()[0] == "True:news.example:None"

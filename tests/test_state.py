@@ -139,3 +139,16 @@ def test_runtime_snapshot_of_nothing(spark):
     row = S.runtime_snapshot(empty, None).collect()[0]
     assert row["redis_average_ci_width"] == 0.0 and row["current_model_snapshot_name"] is None
     assert row["redis_total_impressions"] == 0
+
+
+def test_upsert_keeps_one_row_of_a_key(spark):
+    target = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "k string, updated_at int, v int")
+    source = spark.createDataFrame([("a", 2, 5), ("a", 3, 4), ("c", 1, 1), ("c", 1, 1)], "k string, updated_at int, v int")
+    for rows in (source, source.orderBy("v")):
+        assert sorted(map(tuple, S.upsert(target, rows, ["k"]).collect())) == [("a", 3, 4), ("b", 1, 1), ("c", 1, 1)]
+
+
+def test_caret_outside_brackets_is_a_character(spark):
+    store = spark.createDataFrame([("a^b",), ("axb",), ("ayb",)], "key string")
+    assert [r[0] for r in S.inspect_keys(store, "a^b").collect()] == ["a^b"]
+    assert [r[0] for r in S.inspect_keys(store, "a[^x]b").collect()] == ["a^b", "ayb"]

@@ -1,4 +1,5 @@
 import os
+import shutil
 from datetime import datetime, timezone
 
 import pytest
@@ -53,7 +54,7 @@ def same(a, b):
 def test_stream_equals_batch_and_survives_repeats(spark, files):
     done, expected = batch_result(spark)
     job = run(spark, files)
-    assert len(job.state.versions()) == SnapshotTable.SLOTS
+    assert job.state.versions() == [0, 1, 2, 3]
     assert same(job.buckets(), expected)
     rejected = job.dead_letters().filter(F.col("reason") == "clicks_would_exceed_impressions")
     assert same(rejected, A.rejected_clicks(done))
@@ -132,7 +133,7 @@ def test_snapshot_table_keeps_the_last_good_version(spark):
     schema = "v int"
     from pyspark.sql.types import _parse_datatype_string
 
-    table = SnapshotTable(spark, shared_folder(spark, "snap"), _parse_datatype_string(schema))
+    table = SnapshotTable(spark, shared_folder(spark, "snap"), _parse_datatype_string(schema), retain_seconds=0)
     assert table.read() is None
     for v in range(5):
         assert table.write(spark.range(v + 1).select(F.col("id").cast("int").alias("v"))) == v
@@ -143,6 +144,49 @@ def test_snapshot_table_keeps_the_last_good_version(spark):
     assert table.read().count() == 5
 
 
+def test_a_reader_keeps_its_version_across_writes(spark):
+    from pyspark.sql.types import _parse_datatype_string
+
+    table = SnapshotTable(spark, shared_folder(spark, "reader"), _parse_datatype_string("v long"))
+    table.write(spark.range(7).select(F.col("id").alias("v")), "run", 0)
+    early = table.read()
+    for batch in range(1, 5):
+        assert table.write(spark.range(batch).select(F.col("id").alias("v")), "run", batch) == batch
+    assert early.count() == 7 and table.read().count() == 4
+    assert table.write(spark.range(9).select(F.col("id").alias("v")), "run", 4) == 4  # a repeat changes nothing
+    assert table.read().count() == 4
+    assert table.write(spark.range(2).select(F.col("id").alias("v")), "other run", 0) == 5
+
+
+def test_a_fresh_checkpoint_goes_on_from_the_state(spark, files, tmp_path):
+    expected = batch_result(spark)[1]
+    folder = shared_folder(spark, "fresh")
+    evidence = shared_folder(spark, "fresh-evidence")
+    for half in range(2):
+        part = tmp_path / str(half)
+        part.mkdir()
+        for i in (2 * half, 2 * half + 1):
+            shutil.copy2(os.path.join(files, f"part-{i}.txt"), part)
+        job = RealtimeCtr(spark, folder, seed_model(spark))
+        text = text_event_stream(spark, str(part), 1)
+        job.start(text, checkpoint=str(tmp_path / f"c{half}")).awaitTermination()
+        counts = EvidenceStream(spark, evidence)
+        counts.start(text, checkpoint=str(tmp_path / f"e{half}")).awaitTermination()
+    assert same(job.buckets(), expected)
+    assert job.progress().agg(F.max("processed_events")).first()[0] == X.event_log(spark, FOLDER).count()
+    total = counts.counts()[0].agg(F.sum("impressions") + F.sum("clicks")).first()[0]
+    assert total == X.valid_event_log(spark, FOLDER).count()
+
+
+def test_shared_folder_on_a_cluster_must_be_named():
+    from types import SimpleNamespace
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        conf = SimpleNamespace(get=lambda key, default=None, m=master: m if key == "spark.master" else default)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(SimpleNamespace(conf=conf), "x")
+
+
 def test_append_table_ids(spark):
     table = AppendTable(spark, shared_folder(spark, "app"), BUCKET)
     assert table.read().count() == 0
