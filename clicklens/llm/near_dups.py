@@ -36,7 +36,7 @@ from clicklens.sources.tables import staged
 
 WIDTH = 4
 MISS = 5e-5
-SIGNATURE = 384
+SIGNATURE = 1024
 SURE = 4.75
 _BITS = 2
 _LOW = 0x5555555555555555
