@@ -110,8 +110,11 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\xA0]+", " "), r" ?\n[ \n]*", "\n")
-    return F.trim(_resolved(text), F.lit(" \n"))
+    # A single space is the common case and stays untouched.
+    text = F.regexp_replace(text, r"[\t\r\f\xA0][ \t\r\f\xA0]*|  [ \t\r\f\xA0]*", " ")
+    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
+    # The lambda takes the text as a value, so its uses do not strip the page again.
+    return F.get(F.transform(F.array(text), lambda t: F.trim(_resolved(t), F.lit(" \n"))), F.lit(0))
 
 
 def _resolved(text: Column) -> Column:
@@ -130,10 +133,10 @@ def _resolved(text: Column) -> Column:
         pairs = F.zip_with(plain, found, lambda p, x: F.concat(p, character(x)))
         return F.array_join(pairs, "")
 
-    text = F.when(F.contains(text, F.lit("&#")), spelled(text)).otherwise(text)
+    plain = F.when(F.contains(text, F.lit("&#")), spelled(text)).otherwise(text)
     for name, value in REFERENCES.items():
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+        plain = F.replace(plain, F.lit(name), F.lit(value))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
 def derivatives(rows: DataFrame) -> DataFrame:
