@@ -141,9 +141,12 @@ def key_value_store(spark: SparkSession, folder: str) -> DataFrame:
     """Star buckets as a keyed store in which some payloads are damaged, plus a foreign key."""
     buckets = staged(star_buckets(spark, folder), "store")
     excess = buckets.filter("impressions % 11 = 3").withColumn("clicks", F.col("impressions") + 1)
+    clicks = F.get_json_object("value", "$.clicks").cast("bigint")
     sound = S.as_key_values(buckets.filter("impressions % 11 <> 3")).withColumn(
         "value",
-        F.when(F.get_json_object("value", "$.clicks").cast("bigint") % 7 == 0, F.lit("not json"))
+        F.when(clicks % 7 == 0, F.lit("not json"))
+        .when(clicks % 7 == 1, F.concat("value", F.lit(" {}")))
+        .when(clicks % 7 == 2, F.regexp_replace("value", r'"variance":[^,}]*', '"variance":"NaN"'))
         .otherwise(F.col("value")),
     )
     foreign = X.table(spark, folder, "region").select(
@@ -153,7 +156,7 @@ def key_value_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mixed_text(spark: SparkSession, folder: str) -> DataFrame:
-    """Event text in which some messages are cut off or carry a number as id."""
+    """Event text of which some is cut off, has a number as id, text or a second object behind it, or single quotes."""
     text = X.event_log(spark, folder).select(
         F.col("event_id").cast("bigint").alias("_n"), X.event_json().alias("value")
     )
@@ -161,6 +164,9 @@ def mixed_text(spark: SparkSession, folder: str) -> DataFrame:
         "_n",
         F.when(F.col("_n") % 7 == 0, F.substring("value", 1, 40))
         .when(F.col("_n") % 11 == 0, F.regexp_replace("value", r'"event_id":"(\d+)"', '"event_id":$1'))
+        .when(F.col("_n") % 13 == 0, F.concat("value", F.lit(" trailing")))
+        .when(F.col("_n") % 17 == 0, F.concat("value", F.lit(","), "value"))
+        .when(F.col("_n") % 19 == 0, F.translate("value", '"', "'"))
         .otherwise(F.col("value"))
         .alias("value"),
     )

@@ -6,6 +6,7 @@ The statements are put together from shared common table expressions.
 from __future__ import annotations
 
 from clicklens import constants as K
+from clicklens.schemas import BUCKET
 from clicklens.plans import frames as B
 
 KEYS = "ad_category, publisher_domain, conversation_category"
@@ -157,7 +158,7 @@ STAR_BUCKETS = f"{STAR}, {WEIGHTS}, {priors('star', 'w', W0, 'primed')}, {poster
 # Evidence with damaged payloads, as the keyed store holds it.
 STORE = f"""{STAR_BUCKETS}, store AS (
   SELECT 'ctr:' || ad_category || ':' || publisher_domain || ':' || conversation_category AS key,
-    NOT (impressions % 11 = 3) AND NOT (clicks % 7 = 0) AS valid, * EXCLUDE (prior_ctr)
+    NOT (impressions % 11 = 3) AND clicks % 7 > 2 AS valid, * EXCLUDE (prior_ctr)
   FROM bk)"""
 
 # Learning ---------------------------------------------------------------------------------------
@@ -461,7 +462,8 @@ def oracle_queries() -> dict[str, str]:
     )
     sql["trust_flag"] = f"WITH {STAR_BUCKETS} SELECT {KEYS}, impressions, trusted FROM bk"
 
-    ok = "n % 7 <> 0 AND n % 11 <> 0 AND event_type IN ('impression', 'click')"
+    broken = " OR ".join(f"n % {k} = 0" for k in (13, 17, 19))
+    ok = f"n % 7 <> 0 AND n % 11 <> 0 AND NOT ({broken}) AND event_type IN ('impression', 'click')"
     shown = ", ".join(
         f"CASE WHEN {ok} THEN {c} END AS {c}"
         for c in ["event_id", "event_type", *K.BUCKET_KEYS]
@@ -469,7 +471,7 @@ def oracle_queries() -> dict[str, str]:
     sql["event_validate"] = (
         f"WITH {LOG} SELECT {ok} AS valid, {shown}, CASE WHEN {ok} THEN micros END AS occurred_micros FROM log"
     )
-    sql["raw_key_extract"] = f"""WITH {LOG} SELECT n AS event_number, CASE WHEN n % 7 = 0 THEN '{K.INVALID_KEY}'
+    sql["raw_key_extract"] = f"""WITH {LOG} SELECT n AS event_number, CASE WHEN n % 7 = 0 OR n % 11 <> 0 AND ({broken}) THEN '{K.INVALID_KEY}'
   ELSE ad_category || ':' || publisher_domain || ':' || conversation_category END AS bucket_key FROM log"""
     sql["bucket_key"] = f"""WITH {STAR} SELECT ad_category || ':' || publisher_domain || ':' || conversation_category AS bucket_key,
   'ctr:' || ad_category || ':' || publisher_domain || ':' || conversation_category AS store_key, impressions FROM star"""
@@ -584,6 +586,9 @@ WHERE ad_category = 'ECONOMY' AND publisher_domain = 'HOUSEHOLD' AND conversatio
 SELECT dry AS dry_run, s AS scanned_key_count, v AS valid_bucket_count, s - v AS invalid_bucket_count,
   CASE WHEN dry THEN 0 ELSE v END AS persisted_bucket_count, NOT dry AND v > 0 AS postgres_write_applied,
   CASE WHEN dry THEN 1 ELSE v + 1 END AS stored_rows, CASE WHEN dry THEN 0 ELSE v END AS fresh_rows FROM t, (VALUES (true), (false)) AS x(dry)"""
+    fields = ",".join(sorted(BUCKET.fieldNames()))
+    sql["bucket_to_json"] = f"""WITH {STAR_BUCKETS} SELECT 'ctr:' || concat_ws(':', {KEYS}) AS key, '{fields}' AS fields,
+  {BUCKET_OUT} FROM bk"""
     sql["bucket_upsert"] = f"""WITH {FRAME}, n0 AS (
   SELECT {KEYS}, i1 AS impressions, c1 AS clicks FROM split WHERE i1 > 2 * c1),
 {priors('n0', 'w', W0, 'n1')}, {posterior('n1', 'n2')},

@@ -373,7 +373,10 @@ def bucket_lookup(spark, folder):
 
 @query
 def bucket_to_json(spark, folder):
-    return S.as_key_values(rounded(B.star_buckets(spark, folder)))
+    """Bucket payloads: their field names in order, and their values read back."""
+    rows = S.as_key_values(B.star_buckets(spark, folder))
+    fields = F.array_join(F.json_object_keys("value"), ",").alias("fields")
+    return rounded(rows.select("key", fields, F.from_json("value", BUCKET).alias("_b")).select("key", "fields", "_b.*"))
 
 
 @query
@@ -637,7 +640,7 @@ def metrics_log_parse(spark, folder):
     )
     out = shared_folder(spark, "log")
     lines.write.text(out)
-    parsed = logs.parse_metrics_lines(logs.read_log(spark, out)).drop("file")
+    parsed = logs.parse_metrics_lines(logs.read_log(spark, out)).drop("file", "place")
     return rounded(parsed, B.COARSE_DIGITS)
 
 

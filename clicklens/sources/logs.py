@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clicklens import constants as K
 from clicklens.schemas import EXPERIMENT_RESULT, PROCESSOR_RECORD
@@ -19,20 +21,40 @@ def metrics_json(line: Column | str = "value") -> Column:
 def parse_metrics_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Records of a log; lines without marker or with undecodable JSON are skipped.
 
-    Numbers of the wrong JSON type become NULL, so they count as 0 later.
+    Counters may be written as whole numbers with a fraction, such as 6.0. Values of the wrong JSON type become
+    NULL, so they count as 0 later.
     """
+    whole = [f.name for f in PROCESSOR_RECORD.fields if isinstance(f.dataType, T.LongType)]
+    numbers = T.StructType(
+        [T.StructField(f.name, T.DoubleType() if f.name in whole else f.dataType) for f in PROCESSOR_RECORD.fields]
+    )
     text = lines.withColumn("_json", metrics_json(column)).filter(
         F.expr("try_parse_json(_json) IS NOT NULL")
     )
     kept = [c for c in lines.columns if c != column]
-    return text.select(*kept, F.from_json("_json", PROCESSOR_RECORD).alias("_r")).select(
-        *kept, "_r.*"
-    )
+    fields = [
+        F.col(f"_r.{f}").cast("bigint").alias(f) if f in whole else F.col(f"_r.{f}").alias(f)
+        for f in PROCESSOR_RECORD.fieldNames()
+    ]
+    return text.select(*kept, F.from_json("_json", numbers).alias("_r")).select(*kept, *fields)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their file."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """Log lines with their file and their ``place`` in it, which orders the lines of a file."""
+    within = F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+    )
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), within.alias("place"))
+
+
+def ordered_records(lines: DataFrame) -> DataFrame:
+    """Records of the lines of ``read_log`` with their number ``seq`` in the file, from 1.
+
+    With it the latest record of a log and the number of records follow as for any other records.
+    """
+    order = W.partitionBy("file").orderBy("place")
+    records = parse_metrics_lines(lines)
+    return records.withColumn("seq", F.row_number().over(order).cast("bigint")).drop("place")
 
 
 def log_line(record: Column, logger: str = "jobs.realtime") -> Column:

@@ -168,3 +168,14 @@ def test_log_lines(spark):
     rows = logs.parse_metrics_lines(lines).collect()
     assert [r["processed_events"] for r in rows] == [10, 20]
     assert rows[1]["valid_events"] is None
+
+
+def test_log_records_keep_their_order(spark, tmp_path):
+    def line(n):
+        return logs.K.METRICS_MARKER + f' {{"subtask_index": 0, "processed_events": {n}.0, "elapsed_seconds": {n}}}'
+
+    (tmp_path / "a.log").write_text("\n".join(["start", line(6), "noise", line(9), line(7)]) + "\n")
+    rows = logs.ordered_records(logs.read_log(spark, str(tmp_path / "a.log"))).orderBy("seq").collect()
+    assert [(r["seq"], r["processed_events"]) for r in rows] == [(1, 6), (2, 9), (3, 7)]
+    last = P.last_records(logs.ordered_records(logs.read_log(spark, str(tmp_path))), ["file"]).collect()
+    assert [r["processed_events"] for r in last] == [7]
