@@ -75,6 +75,63 @@ def logits(p: dict, vectors: np.ndarray, ids: np.ndarray, real: np.ndarray, keep
     return (result, (states, weight, pooled, traces)) if keep else result
 
 
+def sliding_logits(
+    p: dict, vectors: np.ndarray, sequence: np.ndarray, counted: np.ndarray, steps: int, block: int = 2048
+) -> np.ndarray:
+    """The logits of the windows of ``steps`` words from every place of a sequence on, as far as they fit.
+
+    The same as ``logits`` over all of them. Windows lie in columns: those of step t are a slice of the sequence,
+    so each word is looked up once a block. Attention needs two numbers of a state, its look and its share in
+    the output, so no states are kept.
+    """
+    places = len(sequence) - steps + 1
+    result = np.empty(max(places, 0), np.float32)
+    # exp is faster than tanh: sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 2 sigmoid(2 x) - 1.
+    scaled = np.repeat(np.array([-1, -2], np.float32), [2 * CELL, CELL])
+    sides = []
+    for k, (d, order) in enumerate((("f", range(steps)), ("b", range(steps - 1, -1, -1)))):
+        own = slice(k * CELL, (k + 1) * CELL)
+        proj = np.ascontiguousarray(((vectors @ p["x" + d] + p["c" + d]) * scaled).T)
+        weights = np.concatenate([(p["h" + d] * scaled).T, p["look"][None, own], p["out"][None, own]])
+        sides.append((proj, np.ascontiguousarray(weights), order))
+    with np.errstate(over="ignore"):  # the limits of the gates are right
+        for first in range(0, places, block):
+            n = min(block, places - first)
+            part = slice(first, first + n + steps - 1)
+            look, share = np.zeros((steps, n), np.float32), np.zeros((steps, n), np.float32)
+            h, u = np.empty((CELL, n), np.float32), np.empty((3 * CELL + 2, n), np.float32)
+            zr, c = np.empty((2 * CELL, n), np.float32), np.empty((CELL, n), np.float32)
+            for proj, weights, order in sides:
+                x = proj[:, sequence[part]]
+                h[:] = 0
+                u[:] = 0
+                for t in order:
+                    np.add(x[: 2 * CELL, t : t + n], u[: 2 * CELL], out=zr)
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(zr[CELL:], u[2 * CELL : 3 * CELL], out=c)
+                    c += x[2 * CELL :, t : t + n]
+                    np.exp(c, out=c)
+                    c += 1
+                    np.divide(2, c, out=c)
+                    c -= 1
+                    h -= c
+                    h *= zr[:CELL]
+                    h += c
+                    np.matmul(weights, h, out=u)
+                    look[t] += u[3 * CELL]
+                    share[t] += u[3 * CELL + 1]
+            seen = counted[part]
+            if not seen.all():
+                for t in range(steps):
+                    look[t, ~seen[t : t + n]] = -1e9
+            look -= look.max(axis=0)
+            np.exp(look, out=look)
+            result[first : first + n] = (look * share).sum(axis=0) / look.sum(axis=0) + p["bias"][0]
+    return result
+
+
 def gradients(p: dict, vectors: np.ndarray, ids: np.ndarray, real: np.ndarray, target: np.ndarray) -> tuple:
     """Gradients of the mean logistic loss by parameter, and that of the input vectors of the words."""
     result, (states, weight, pooled, traces) = logits(p, vectors, ids, real, keep=True)

@@ -1,8 +1,8 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters with an embedding of itself and one summed over its character grams (with its start marked), so
-that unseen words with a known stem are recognised. The network reads windows of WINDOW words, one every
-STRIDE words, over the whole text; the score of a text is that of its worst window. Labels are per document,
+that unseen words with a known stem are recognised. The network reads all windows of WINDOW words, one from
+every word on, over the whole text; the score of a text is that of its worst window. Labels are per document,
 so training picks the telling window of a toxic document itself: at first by the words and grams that mark
 toxic documents, then by the network's own scores, against windows of clean documents and the hardest of them.
 """
@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clicklens.llm.gated import BUCKETS, Adam, embed, gradients, initial, logits
+from clicklens.llm.gated import BUCKETS, Adam, embed, gradients, initial, sliding_logits
 from clicklens.llm.labelled import fold, training_sample
 from clicklens.llm.textbytes import LOWER, Words, mix, pieces
 
 WINDOW = 24
-STRIDE = 16
 GRAMS = (3, 5)
 
 
@@ -29,18 +28,28 @@ GRAMS = (3, 5)
 class Windows:
     """Windows of a batch of texts over its distinct words.
 
-    hashes: the distinct words; words, grams, starts: their embedding rows; ids, real: windows x WINDOW; owner:
-    the text of each window. A text without words has one window of padding.
+    hashes: the distinct words; words, grams, starts: their embedding rows; sequence: the words of all texts in
+    turn, each text padded to WINDOW words at least; counted: which of them attention sees; begin, owner: the
+    place in the sequence and the text of each window. A text without words has one window of padding.
     """
 
     hashes: np.ndarray
     words: np.ndarray
     grams: np.ndarray
     starts: np.ndarray
-    ids: np.ndarray
-    real: np.ndarray
+    sequence: np.ndarray
+    counted: np.ndarray
+    begin: np.ndarray
     owner: np.ndarray
 
+    def spread(self, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Places in the sequence of the steps of windows, as windows x WINDOW."""
+        return self.begin[rows][:, None] + np.arange(WINDOW)
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.sequence[self.spread()]
+
 
 def _bucket(x: np.ndarray) -> np.ndarray:
     return (mix(x) & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -63,17 +72,16 @@ def windows(texts: Words) -> Windows:
         found.append(_bucket(code))
     grams = np.stack(found, axis=1).ravel() if len(at) else np.zeros(0, np.int64)
     counts = np.diff(texts.ranges)
-    per = np.maximum(-(-np.maximum(counts - WINDOW, 0) // STRIDE) + 1, 1)
+    padded = np.maximum(counts, WINDOW)
+    text_begins = np.cumsum(padded) - padded
+    sequence = np.full(int(padded.sum()), len(distinct), dtype=np.int32)
+    sequence[np.arange(len(ids)) + np.repeat(text_begins - texts.ranges[:-1], counts)] = ids
+    counted = sequence < len(distinct)
+    counted[text_begins[counts == 0]] = True  # attention needs one step
+    per = padded - WINDOW + 1
     owner = np.repeat(np.arange(len(counts)), per)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    begin = texts.ranges[:-1][owner] + nth * STRIDE
-    spread = begin[:, None] + np.arange(WINDOW)
-    real = spread < texts.ranges[1:][owner][:, None]
-    padded = np.append(ids.astype(np.int64), len(distinct))
-    ids = padded[np.where(real, spread, len(padded) - 1)].astype(np.int32)
-    real = real.copy()
-    real[~real.any(axis=1), 0] = True  # attention needs one step
-    return Windows(distinct, _bucket(distinct), grams, (ends - lengths) * len(GRAMS), ids, real, owner)
+    begin = np.arange(len(owner)) + np.repeat(text_begins - np.cumsum(per) + per, per)
+    return Windows(distinct, _bucket(distinct), grams, (ends - lengths) * len(GRAMS), sequence, counted, begin, owner)
 
 
 def joined(texts: pa.Array) -> Windows:
@@ -85,25 +93,25 @@ def joined(texts: pa.Array) -> Windows:
     grams, sizes, begins = np.concatenate([w.grams for _, w in parts]), sizes[first], begins[first]
     starts = np.cumsum(sizes) - sizes
     grams = grams[np.repeat(begins - starts, sizes) + np.arange(int(sizes.sum()))]
-    ids = [
-        np.append(np.searchsorted(hashes, w.hashes), len(hashes)).astype(np.int32)[w.ids] for _, w in parts
+    sequence = [
+        np.append(np.searchsorted(hashes, w.hashes), len(hashes)).astype(np.int32)[w.sequence] for _, w in parts
     ]  # the padding word keeps the last number
+    offsets = np.cumsum([0] + [len(w.sequence) for _, w in parts])
     return Windows(
         hashes,
         _bucket(hashes),
         grams,
         starts,
-        np.concatenate(ids),
-        np.concatenate([w.real for _, w in parts]),
+        np.concatenate(sequence),
+        np.concatenate([w.counted for _, w in parts]),
+        np.concatenate([w.begin + offset for (_, w), offset in zip(parts, offsets)]),
         np.concatenate([w.owner + row for row, w in parts]),
     )
 
 
-def window_logits(p: dict, w: Windows, block: int = 4096) -> np.ndarray:
+def window_logits(p: dict, w: Windows) -> np.ndarray:
     vectors = embed(p, w.words, w.grams, w.starts)
-    return np.concatenate(
-        [logits(p, vectors, w.ids[a : a + block], w.real[a : a + block]) for a in range(0, len(w.ids), block)]
-    )
+    return sliding_logits(p, vectors, w.sequence, w.counted, WINDOW)[w.begin]
 
 
 def text_scores(p: dict, texts: pa.Array) -> np.ndarray:
@@ -122,14 +130,20 @@ def _evidence(w: Windows, toxic: np.ndarray) -> np.ndarray:
     def odds(t: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / (n - toxic.sum() + 1))
 
-    real = w.ids < count
-    pairs = np.unique(w.ids[real].astype(np.int64) * n + np.repeat(w.owner, real.sum(axis=1)))
+    text_begins = w.begin[np.diff(w.owner, prepend=-1) > 0]
+    texts = np.repeat(np.arange(n), np.diff(np.append(text_begins, len(w.sequence))))
+    real = w.sequence < count
+    pairs = np.unique(w.sequence[real].astype(np.int64) * n + texts[real])
     word, hot = pairs // n, toxic[pairs % n]
     in_toxic, in_clean = np.bincount(word, hot, count), np.bincount(word, 1 - hot, count)
     owner = np.repeat(np.arange(count), np.diff(np.append(w.starts, len(w.grams))))
     by_gram = odds(*[np.bincount(w.grams, c[owner], BUCKETS) for c in (in_toxic, in_clean)])
     telling = np.maximum(odds(in_toxic, in_clean), np.maximum.reduceat(by_gram[w.grams], w.starts))
-    return np.append(telling, -9.0)[w.ids].max(axis=1)
+    at = np.append(telling, -9.0)[w.sequence]
+    best = at[w.begin]
+    for step in range(1, WINDOW):
+        np.maximum(best, at[w.begin + step], out=best)
+    return best
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, steps: int = 150, batch: int = 128) -> dict:
@@ -157,14 +171,15 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 4, steps: int = 150, b
             chosen = np.concatenate(
                 [rng.choice(telling, batch // 2), rng.choice(clean, batch // 4), rng.choice(hard, batch // 4)]
             )
-            used, ids = np.unique(w.ids[chosen], return_inverse=True)
+            spread = w.spread(chosen)
+            used, ids = np.unique(w.sequence[spread], return_inverse=True)
             words = used[used < len(w.words)]
             lengths = sizes[words]
             at = np.repeat(w.starts[words] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
             grams = w.grams[at]
             # The padding word has the highest number and so stays last.
             vectors = embed(p, w.words[words], grams, np.cumsum(lengths) - lengths)
-            real, target = w.real[chosen], toxic[w.owner[chosen]].astype(np.float32)
+            real, target = w.counted[spread], toxic[w.owner[chosen]].astype(np.float32)
             g, d_vectors = gradients(p, vectors, ids.reshape(len(chosen), -1), real, target)
             for name, change in g.items():
                 optimiser.apply(name, change)

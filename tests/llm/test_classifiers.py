@@ -90,6 +90,20 @@ def test_windows_cover_every_word():
     assert [len(starts.get(i, ())) for i in range(5)] == [0, 1, 100, 0, 2]
 
 
+def test_every_window_is_scored():
+    p = gated.initial()
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "bc", "idiot", "x1", "why", "so"], n)) for n in (0, 3, 24, 25, 31, 90)]
+    w = toxicity.windows(Words(pa.array(texts)))
+    assert np.bincount(w.owner).tolist() == [1, 1, 1, 2, 8, 67]
+    vectors = gated.embed(p, w.words, w.grams, w.starts)
+    want = gated.logits(p, vectors, w.ids, w.counted[w.spread()])
+    assert np.allclose(toxicity.window_logits(p, w), want, atol=1e-5)
+    passage = " ".join(f"p{i}" for i in range(toxicity.WINDOW))
+    moved = toxicity.text_scores(p, pa.array(["clean " * k + passage + " clean" * 9 for k in range(40)]))
+    assert (moved >= toxicity.text_scores(p, pa.array([passage])) - 1e-6).all()
+
+
 def test_scores_do_not_depend_on_the_batch():
     p = gated.initial()
     texts = pa.array([f"some words {i} idiot" * (i % 7) for i in range(50)])
