@@ -6,6 +6,9 @@ with other numbers or names still meets its origin. A bitmap of the benchmark's
 keeps all other windows of a document from leaving their row. Windows that line up are then held together: an
 alignment counts when its slots are consistent, that is, when each value of the item stands for one value of the
 document throughout and the other way round, and its windows cover enough of the item.
+
+Windows of plain lower-case words go through the same join beside those of template tokens, whatever their share of
+placeholders: what is there word for word counts without a look at slots, so neither case nor many numbers hide a copy.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from clicklens.sources.tables import staged
 WINDOW = 8
 LITERALS = 0.5  # share of a window's tokens that are no placeholders, at least
 COVERAGE = 0.5
-LEAST_ITEM = 5  # tokens; a shorter item is a phrase that clean texts have too
+LEAST_ITEM = 5  # tokens; a shorter item is met word for word only, with other numbers it is a phrase of clean texts
+LEAST_PHRASE = 2  # tokens; a shorter item is met by a text that consists of it only
 FILTER_BITS = 1 << 20
 
 # Number words and units that become placeholders.
@@ -58,40 +62,58 @@ def _token(word: Column) -> Column:
     )
 
 
+def _plain(word: Column) -> Column:
+    """The word without its mark."""
+    marked = F.contains(word, F.lit(_NAME)) | F.contains(word, F.lit(_NUMBER))
+    return F.when(marked, F.translate(word, _NAME + _NUMBER, "")).otherwise(word)
+
+
 def _is_slot(token: Column) -> Column:
     return token.isin("<number>", "<name>", "<unit>")
 
 
 def _tokenised(rows: DataFrame) -> DataFrame:
-    """``rows`` with words and tokens, evaluated once."""
+    """``rows`` with words, tokens and plain words, evaluated once."""
     rows = evaluated_once(rows.withColumn("words", _words(F.col("text"))))
-    return evaluated_once(rows.withColumn("tokens", F.transform("words", _token)))
+    return evaluated_once(rows.withColumns({"tokens": F.transform("words", _token), "plain": F.transform("words", _plain)}))
+
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hash of each token and each plain word; windows are hashed over these, not over strings."""
+    return evaluated_once(rows.withColumns({c: F.transform(c, lambda x: F.xxhash64(x)) for c in ("tokens", "plain")}))
 
-def _window_hashes(length: int) -> Column:
-    """Hashes of all windows of ``length`` tokens, by position; none if there are fewer tokens."""
+
+def _window_hashes(length: int, column: str) -> Column:
+    """Hashes of all windows of ``length`` of ``column``, by position; none if there are fewer tokens."""
     starts = F.when(F.size("tokens") >= length, F.sequence(F.lit(1), F.size("tokens") - length + 1)).otherwise(
         F.expr("CAST(array() AS array<int>)")
     )
-    return F.transform(starts, lambda i: F.xxhash64(F.slice("tokens", i, length)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(column, i, length)))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, n_tokens, item_at, length, hash, item_words) of every telling window of the items."""
+    """(item_id, n_tokens, item_at, length, exact, hash, item_words) of every telling window of the items.
+
+    The windows of plain words are ``exact``, and all of them are telling.
+    """
     items = _tokenised(benchmark.select("item_id", "text")).withColumn("n_tokens", F.size("tokens"))
-    items = items.filter(F.col("n_tokens") >= LEAST_ITEM).withColumn("length", F.least(F.lit(window), "n_tokens"))
+    items = items.filter("n_tokens > 0").withColumn("length", F.least(F.lit(window), "n_tokens"))
     starts = F.explode(F.sequence(F.lit(1), F.expr("n_tokens - length + 1")))
     part = items.select("*", starts.alias("item_at")).select(
         "item_id",
         "n_tokens",
         "item_at",
         "length",
-        F.expr("slice(tokens, item_at, length)").alias("t"),
+        F.expr("slice(tokens, item_at, length)").alias("tokens"),
         F.expr("slice(words, item_at, length)").alias("item_words"),
+        F.explode(F.array(F.lit(False), F.lit(True))).alias("exact"),
+        F.expr("slice(plain, item_at, length)").alias("plain"),
     )
-    literal = F.size(F.filter("t", lambda t: ~_is_slot(t)))
-    part = part.filter(literal >= F.ceil(F.col("length") * LITERALS))
-    return part.withColumn("hash", F.xxhash64("t")).drop("t").distinct()
+    literal = F.size(F.filter("tokens", lambda t: ~_is_slot(t)))
+    telling = (literal >= F.ceil(F.col("length") * LITERALS)) & (F.col("n_tokens") >= LEAST_ITEM)
+    part = _hashed(part.filter(F.col("exact") | telling))
+    hashed = F.xxhash64(F.when(F.col("exact"), F.col("plain")).otherwise(F.col("tokens")))
+    return part.withColumn("hash", hashed).drop("tokens", "plain").distinct()
 
 
 def _bitmap(hashes: DataFrame) -> Column:
@@ -109,57 +131,77 @@ def _bitmap(hashes: DataFrame) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, _text_hash, item_id, coverage, slots, changed) of the items that documents contain."""
     items = staged(item_windows(benchmark, window), "template-windows")
-    lengths = [r[0] for r in items.select("length").distinct().orderBy("length").collect()]  # at most ``window``
+    kinds = items.select("length", "exact").distinct().orderBy("length", "exact").collect()  # at most 2 * ``window``
     bits = _bitmap(items.select("hash"))
-    rows = _tokenised(docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), "text"))
+    rows = _hashed(_tokenised(docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), "text"))).drop("text")
 
     def known(h: Column) -> Column:
-        place = F.pmod(h["hash"], F.lit(FILTER_BITS))
+        place = F.pmod(h, F.lit(FILTER_BITS))
         word = F.get(bits, F.shiftright(place, 6).cast("int"))
         return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
 
-    def placed(length: int) -> Column:
-        return F.transform(
-            _window_hashes(length),
-            lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("at"), F.lit(length).alias("length")),
+    def placed(length: int, exact: bool) -> Column:
+        """The known windows of a row; a place is made only for those."""
+        places = F.transform(
+            _window_hashes(length, "plain" if exact else "tokens"),
+            lambda h, i: F.when(
+                known(h),
+                F.struct(h.alias("hash"), (i + 1).alias("at"), F.lit(length).alias("length"), F.lit(exact).alias("exact")),
+            ),
         )
+        return F.filter(places, lambda p: p.isNotNull())
 
-    none = F.expr("CAST(array() AS array<struct<hash: bigint, at: int, length: int>>)")
-    found = F.concat(none, *[F.filter(placed(length), known) for length in lengths])
+    none = F.expr("CAST(array() AS array<struct<hash: bigint, at: int, length: int, exact: boolean>>)")
+    found = F.concat(none, *[placed(*kind) for kind in kinds])
     hits = rows.withColumn("hits", found).select(
         "doc_id",
         "_text_hash",
+        F.size("words").alias("n_words"),
         F.explode(
             F.transform(
                 "hits",
-                lambda h: F.struct(h["hash"], h["at"], h["length"], F.slice("words", h["at"], h["length"]).alias("words")),
+                lambda h: F.struct(
+                    h["hash"], h["at"], h["length"], h["exact"], F.slice("words", h["at"], h["length"]).alias("words")
+                ),
             )
         ).alias("h"),
     )
-    met = hits.select("doc_id", "_text_hash", "h.*").join(items, ["hash", "length"])
+    met = hits.select("doc_id", "_text_hash", "n_words", "h.*").join(items, ["hash", "length", "exact"])
+    met = met.filter((F.col("n_tokens") >= LEAST_PHRASE) | (F.col("n_words") == F.col("n_tokens")))
     # Equal hashes of equal tokens only; what is left of a pair of windows is its slots.
-    met = met.filter(F.transform("words", _token) == F.transform("item_words", _token))
-    pairs = F.filter(
-        F.zip_with("item_words", "words", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: _is_slot(_token(p["a"]))
+    same = lambda f: F.transform("words", f) == F.transform("item_words", f)
+    met = met.filter(F.when(F.col("exact"), same(_plain)).otherwise(same(_token)))
+    pairs = F.transform(
+        F.filter(
+            F.zip_with("item_words", "words", lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+            lambda p: _is_slot(_token(p["a"])),
+        ),
+        lambda p: F.struct(_plain(p["a"]).alias("a"), _plain(p["b"]).alias("b")),
     )
+    gathered = lambda c, which: F.array_distinct(F.flatten(F.collect_set(F.when(which, F.col(c)))))
     lines = (
         met.select(
             "doc_id",
             "_text_hash",
             "item_id",
             "n_tokens",
+            "exact",
             (F.col("at") - F.col("item_at")).alias("line"),
             F.expr("sequence(item_at, item_at + length - 1)").alias("covered"),
             pairs.alias("pairs"),
         )
         .groupBy("doc_id", "_text_hash", "item_id", "n_tokens", "line")
         .agg(
-            F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"),
-            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+            gathered("covered", F.col("exact")).alias("exact"),
+            gathered("pairs", F.col("exact")).alias("exact_pairs"),
+            gathered("covered", ~F.col("exact")).alias("covered"),
+            gathered("pairs", ~F.col("exact")).alias("pairs"),
         )
     )
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    lines = lines.filter((F.size("pairs") == distinct("a")) & (F.size("pairs") == distinct("b")))
+    consistent = (F.size("pairs") == distinct("a")) & (F.size("pairs") == distinct("b"))
+    both = lambda a, b: F.when(consistent, F.array_union(a, b)).otherwise(F.col(a))
+    lines = lines.withColumns({"covered": both("exact", "covered"), "pairs": both("exact_pairs", "pairs")})
     return (
         lines.groupBy("doc_id", "_text_hash", "item_id", "n_tokens")
         .agg(
@@ -179,7 +221,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     coverage is the share of the item's tokens in windows that line up, slots the number of distinct values
     that placeholders stand for and changed how many of them differ from the item's. Clean documents have no
     row. Null, empty and token-less texts and items match nothing; an item shorter than a window must be there
-    whole, and one of fewer than LEAST_ITEM tokens matches nothing; repeated rows of a document give one row, texts that share a doc_id the row of the better match, and
+    whole, one of fewer than LEAST_ITEM tokens also word for word, and one of a single word must be all of the text.
+    Repeated rows of a document give one row, texts that share a doc_id the row of the better match, and
     rows without a doc_id are reported under null. Other columns are not read.
     """
     return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(

@@ -114,6 +114,16 @@ def test_other_numbers_and_names_are_caught(spark):
     assert found[0, 1].changed >= 3 and found[2, 1].changed == 0 and found[2, 1].coverage == 1.0
 
 
+def test_verbatim_copies_are_caught(spark):
+    numbers = "Sort the list 5, 3, 9, 1, 7, 2, 8, 4, 6, 10, 12, 11."
+    names = "Yesterday Anna Berg, Otto Lang, Karl Roth, Emma Vogel and Paul Stein met Max Kern in Bonn."
+    items = [(1, numbers), (2, "Compute 12 + 7 + 9 + 15 + 4 + 22."), (3, "Define prime ideal."), (4, names), (5, "Why?"), (6, QUESTION)]
+    texts = ["Now: " + numbers, "x compute 12 + 7 + 9 + 15 + 4 + 22 y", "Please define prime ideal now", names.lower(), names.upper(), "why", "Why not?", "It is so. " + QUESTION.upper(), "Compute 13 + 8 + 9 + 16 + 5 + 23."]
+    found = leaks(spark, texts, items)
+    assert set(found) == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 4), (5, 5), (7, 6)}
+    assert all(r.coverage == 1.0 and r.changed == 0 for r in found.values())
+
+
 def test_short_items_must_be_whole(spark):
     items = [(1, "red green blue white black brown"), (2, "red"), (3, None), (4, "")]
     found = leaks(spark, ["red green blue white black brown", "red green blue white black", "so red green blue white black brown it is"], items)
