@@ -3,9 +3,9 @@
 Words become template tokens: numbers, names and units turn into typed placeholders, all else is kept in lower
 case without punctuation. Windows of tokens are hash-joined between documents and benchmark items, so an item
 with other numbers or names still meets its origin. A bitmap of the benchmark's window hashes, of a fixed size,
-keeps all other windows of a document from leaving their row. Windows that line up are then held together: an
-alignment counts when its slots are consistent, that is, when each value of the item stands for one value of the
-document throughout and the other way round, and its windows cover enough of the item.
+keeps all other windows of a document from leaving their row. Windows that line up are then held together: each value
+of the item must stand for one value of the document throughout. A window that holds a value that does not is dropped
+and its tokens do not count, those of the other windows do; together they must cover enough of the item.
 
 Windows of plain lower-case words go through the same join beside those of template tokens, whatever their share of
 placeholders: what is there word for word counts without a look at slots, so neither case nor many numbers hide a copy.
@@ -194,14 +194,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
         .agg(
             gathered("covered", F.col("exact")).alias("exact"),
             gathered("pairs", F.col("exact")).alias("exact_pairs"),
-            gathered("covered", ~F.col("exact")).alias("covered"),
             gathered("pairs", ~F.col("exact")).alias("pairs"),
+            F.collect_set(F.when(~F.col("exact"), F.struct("covered", "pairs"))).alias("windows"),
         )
     )
-    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (F.size("pairs") == distinct("a")) & (F.size("pairs") == distinct("b"))
-    both = lambda a, b: F.when(consistent, F.array_union(a, b)).otherwise(F.col(a))
-    lines = lines.withColumns({"covered": both("exact", "covered"), "pairs": both("exact_pairs", "pairs")})
+    # Sorted by the item's value, pairs of a value that stands for several are neighbours.
+    lines = evaluated_once(lines.withColumn("pairs", F.sort_array("pairs")))
+    split = F.filter(
+        F.transform("pairs", lambda p, i: F.when((i > 0) & (F.get("pairs", i - 1)["a"] == p["a"]), p["a"])),
+        lambda v: v.isNotNull(),
+    )
+    lines = evaluated_once(lines.withColumn("split", F.array_distinct(split)))
+    clash = lambda w: F.arrays_overlap(F.transform(w["pairs"], lambda p: p["a"]), "split")
+    parts = lambda which, part: F.array_distinct(
+        F.flatten(F.transform(F.filter("windows", which), lambda w: w[part]))
+    )
+    loose = F.array_except(parts(lambda w: ~clash(w), "covered"), parts(clash, "covered"))
+    lines = lines.select(
+        "doc_id",
+        "_text_hash",
+        "item_id",
+        "n_tokens",
+        F.array_union("exact", loose).alias("covered"),
+        F.array_union("exact_pairs", parts(lambda w: ~clash(w), "pairs")).alias("pairs"),
+    )
     return (
         lines.groupBy("doc_id", "_text_hash", "item_id", "n_tokens")
         .agg(

@@ -124,6 +124,21 @@ def test_verbatim_copies_are_caught(spark):
     assert all(r.coverage == 1.0 and r.changed == 0 for r in found.values())
 
 
+def test_one_conflict_does_not_hide_the_rest(spark):
+    long = "Every morning Mia buys 3 apples and 5 pears at the small market near the old bridge, and every evening she sells 4 of the apples to her neighbours for 9 dollars, saves 2 dollars in a jar and keeps 3 apples"
+    spent = "First Tom spent 12 dollars on bread and milk at the corner shop, and after a long walk home he found 12 dollars in a coat"
+    moved = long.replace("Mia", "Ida").replace("5 pears", "7 pears").replace("for 9", "for 8")
+    texts = [
+        spent.replace("found 12", "found 13"),
+        long.replace("3 apples and 5", "4 apples and 4").replace("keeps 3", "keeps 4"),  # two values become one
+        moved.replace("keeps 3", "keeps 6"),  # one conflict at an end
+        spent.replace("spent 12", "spent 15").replace("found 12", "found 19").replace("Tom", "Ben"),
+    ]
+    found = leaks(spark, texts, [(1, long), (2, spent)])
+    assert set(found) == {(0, 2), (1, 1), (2, 1), (3, 2)}  # the last by what is there word for word
+    assert found[1, 1].coverage == 1.0 and found[2, 1].coverage < 1.0 and found[2, 1].changed >= 2
+
+
 def test_short_items_must_be_whole(spark):
     items = [(1, "red green blue white black brown"), (2, "red"), (3, None), (4, "")]
     found = leaks(spark, ["red green blue white black brown", "red green blue white black", "so red green blue white black brown it is"], items)
