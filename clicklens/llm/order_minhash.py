@@ -5,6 +5,9 @@ its occurrence in the text, so that a repeat is a k-mer of its own. The numbered
 hash; in each bin the KEPT smallest are selected, put back into text order, and hashed as a tuple. A tuple
 changes when a k-mer is edited or when two change places. Likeness is the share of bins whose tuples agree.
 
+A word of more than LONG characters enters as its overlapping pieces of PIECE characters, in turn, so that texts
+without white space are sensitive to edits as well.
+
 Taking k-mers of words keeps the arrays of a text as long as its words; the bins come from one hash of each
 k-mer, so a text is sorted twice whatever the number of bins.
 """
@@ -21,6 +24,8 @@ from clicklens.functions.plan import evaluated_once
 SPAN = 2
 BINS = 32
 KEPT = 2
+LONG = 16  # characters; a longer word, or text without white space, is cut into pieces
+PIECE = 3
 _PLACE_BITS = 24  # text order within 16 million words; later places wrap
 
 
@@ -41,8 +46,8 @@ def _packed(hashed: Column, place: Column) -> Column:
 def fingerprints(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``rows`` with an array of (bin, tuple hash) longs for each of ``columns`` (text column to new column).
 
-    Equal texts have equal arrays. A null or blank text has an empty one; a text of fewer than SPAN words is
-    one k-mer. Sorted by bin.
+    Equal texts have equal arrays. A null or blank text has an empty one; a text of fewer than SPAN words
+    (pieces of a long word count as words) is one k-mer. Sorted by bin.
     """
 
     def each(frame: DataFrame, values) -> DataFrame:
@@ -51,6 +56,22 @@ def fingerprints(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     def words(text: Column, _: Column) -> Column:
         return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x09-\x0D\x20]+"), lambda w: w != "")
 
+    def is_long(w: Column) -> Column:
+        return (F.octet_length(w) > LONG) & (F.length(w) > LONG)
+
+    def cut(_: Column, ws: Column) -> Column:
+        """Pieces in place of long words; the characters are split once, as substring counts from the start."""
+
+        def pieces(w: Column) -> Column:
+            def each_place(c: Column) -> Column:
+                starts = F.slice(c, 1, F.size(c) - PIECE + 1)
+                return F.transform(starts, lambda x, i: F.concat(x, *[F.get(c, i + j) for j in range(1, PIECE)]))
+
+            return F.get(F.transform(F.array(F.split(w, "")), each_place), F.lit(0))
+
+        parts = F.flatten(F.transform(ws, lambda w: F.when(is_long(w), pieces(w)).otherwise(F.array(w))))
+        return F.when(F.exists(ws, is_long), parts).otherwise(ws)
+
     def kmers(_: Column, w: Column) -> Column:
         """Hash over place, sorted, so that the occurrences of a k-mer stand together in text order."""
         runs = F.slice(w, 1, F.greatest(F.size(w) - SPAN + 1, F.least(F.size(w), F.lit(1))))
@@ -95,7 +116,7 @@ def fingerprints(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         return F.filter(starts, lambda t: t.isNotNull())
 
     begun = rows.withColumns({new: words(F.col(text), None) for text, new in columns.items()})
-    return reduce(each, [kmers, heads, numbered, selected, tuples], evaluated_once(begun))
+    return reduce(each, [cut, kmers, heads, numbered, selected, tuples], evaluated_once(begun))
 
 
 def as_text(fingerprint: Column) -> Column:

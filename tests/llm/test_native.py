@@ -281,6 +281,24 @@ def test_selection_equals_brute_force(spark):
         assert sorted(t >> 32 for t in got[i]) == sorted(bins)
 
 
+def test_texts_without_white_space(spark):
+    rng = random.Random(8)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 500)] + ["🎉"]
+    base = rng.choices(signs, k=800)
+    texts = {
+        "base": "".join(base),
+        "one": "".join(base[:400] + ["x"] + base[401:]),
+        "edited": "".join(base[:600] + rng.choices(signs, k=200)),
+        "other": "".join(rng.choices(signs, k=800)),
+        "line": "".join(rng.choices("abcdef0123456789", k=300000)),
+    }
+    rows = spark.createDataFrame(list(texts.items()), "name string, text string")
+    marks = order_minhash.fingerprints(rows, {"text": "mark"})
+    base_mark = marks.filter("name = 'base'").select(F.col("mark").alias("base"))
+    near = {r.name: r.n for r in marks.crossJoin(base_mark).select("name", order_minhash.likeness(F.col("mark"), F.col("base")).alias("n")).collect()}
+    assert near["base"] == 1.0 and near["one"] > 0.85 and near["one"] > near["edited"] > 0.3 and near["other"] < 0.1
+
+
 def test_fingerprint_report(spark, odd_documents, no_documents):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
