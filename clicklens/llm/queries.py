@@ -98,7 +98,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and plain-text records derived from a response record of every page."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return derivatives(response_records(pages, "2024-01-01T00:00:00Z").drop("url", "html")).drop("derived")
+    return derivatives(response_records(pages, "2024-01-01T00:00:00Z").drop("url", "html"))
 
 
 _CONTROLS = "".join(raw for raw, _ in ESCAPES)

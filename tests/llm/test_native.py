@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clicklens.llm import chat, order_minhash, secret_scan, templates, warc
+from clicklens.llm.queries import op8_warc_derivatives
 
 FOLDER = "/root/testdata/sf0.001"
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -347,6 +348,15 @@ def test_derivatives(spark):
     assert all(r.block == r.was for r in again)
 
 
+def test_derivatives_query_returns_records(spark):
+    rows = op8_warc_derivatives(spark, FOLDER).limit(20).collect()
+    assert rows
+    for r in rows:
+        head, _, rest = r.derived.partition("\r\n\r\n")
+        assert head.startswith("WARC/1.0\r\n") and f"Content-Length: {len(r.block.encode())}" in head.split("\r\n")
+        assert rest == r.block + "\r\n\r\n"
+
+
 def test_derivatives_odd_rows(spark):
     records = [None, "", "WARC/1.0\r\nWARC-Type: request\r\n\r\nGET /", "WARC/1.0\r\nwarc-type: Response\r\nContent-Length: x\r\n\r\nHTTP/1.1 404 No\r\n\r\n<p>gone", "no record"]
     rows = spark.createDataFrame([(r,) for r in records], "record string")
