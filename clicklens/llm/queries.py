@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clicklens.functions.plan import local_rows
+from clicklens.llm.centroids import cluster_report
 from clicklens.llm.chat import COLON, END, ESCAPES, HEAD, conversation_report
 from clicklens.llm.edit_counts import PATTERN, edited_counts, middle_edit
 from clicklens.llm.near_dups import near_duplicates
@@ -14,8 +15,10 @@ from clicklens.llm.order_minhash import fingerprint_report
 from clicklens.llm.quality import classify_quality
 from clicklens.llm.secret_scan import secret_report
 from clicklens.llm.sentencepieces import encode_pieces
+from clicklens.llm.sharding import shard_report
 from clicklens.llm.templates import contamination_report
 from clicklens.llm.toxicity import classify_toxicity
+from clicklens.llm.vector_codes import code_report
 from clicklens.llm.warc import derivatives, response_records
 
 VOCABULARIES = "/opt/tokenizers"
@@ -101,6 +104,24 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(response_records(pages, "2024-01-01T00:00:00Z").drop("url", "html"))
 
 
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of 40 centroids for every vector, after five rounds."""
+    return cluster_report(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector: 16 parts, 64 entries each, after two rounds."""
+    return code_report(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of near equal bytes."""
+    return shard_report(read(spark, sf_dir, "documents"))
+
+
 _CONTROLS = "".join(raw for raw, _ in ESCAPES)
 ORACLES["op5_chat_formatting"] = f"""
 WITH rows AS (
@@ -149,3 +170,102 @@ reach AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON d.doc_id = id LEFT JOIN sizes s ON d.doc_id = s.doc_id
 """
+
+
+def _cluster_sql(count: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    near = """near{n} AS (
+    SELECT vec_id, v, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+        SELECT k.vec_id, k.v, m.c, list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+        FROM kept k, centroids{n} m) GROUP BY vec_id, v
+)"""
+    move = """places{m} AS (
+    SELECT cluster AS c, i, floor(sum(x) / count(*))::BIGINT AS x FROM (
+        SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM near{n}) GROUP BY cluster, i
+), centroids{m} AS (
+    SELECT c, coalesce(p.v, o.v) AS v FROM centroids{n} o
+    LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM places{m} GROUP BY c) p USING (c)
+)"""
+    steps = [near.format(n=0)]
+    for n in range(rounds):
+        steps += [move.format(n=n, m=n + 1), near.format(n=n + 1)]
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}
+), centroids0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept
+    QUALIFY c < {count}
+), {", ".join(steps).replace(" AS (", " AS MATERIALIZED (")}
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+    (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM near{rounds} JOIN centroids{rounds} m ON c = cluster
+"""
+
+
+def _code_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    near = """near{n} AS (
+    SELECT vec_id, label, p, v, arg_min(e, (d, e)) AS entry, min(d) AS d FROM (
+        SELECT k.vec_id, k.label, k.p, k.v, b.e, list_sum(list_transform(list_zip(k.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM parts k JOIN books{n} b USING (p)) GROUP BY vec_id, label, p, v
+)"""
+    move = """places{m} AS (
+    SELECT p, entry AS e, i, floor(sum(x) / count(*))::BIGINT AS x FROM (
+        SELECT p, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM near{n}) GROUP BY p, entry, i
+), books{m} AS (
+    SELECT p, e, coalesce(f.v, o.v) AS v FROM books{n} o
+    LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS v FROM places{m} GROUP BY p, e) f USING (p, e)
+)"""
+    steps = [near.format(n=0)]
+    for n in range(rounds):
+        steps += [move.format(n=n, m=n + 1), near.format(n=n + 1)]
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) r(p)
+), books0 AS (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts
+    QUALIFY e < {entries}
+), {", ".join(steps).replace(" AS (", " AS MATERIALIZED (")}, coded AS (
+    SELECT vec_id, label, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY p) AS code, sum(d) AS error
+    FROM near{rounds} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM books{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+ORACLES["op11_centroid_clustering"] = _cluster_sql()
+ORACLES["op12_vector_codes"] = _code_sql()
+
+ORACLES["op13_sharding"] = """
+WITH RECURSIVE steps(b, c, k) AS (
+    SELECT b, b::BIGINT, 0 FROM range(256) r(b)
+    UNION ALL
+    SELECT b, CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8
+), entries AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+coded AS (
+    SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, list_transform(
+        regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+        lambda p: (strpos('0123456789ABCDEF', p[1]) * 16 + strpos('0123456789ABCDEF', p[2]) - 17)::BIGINT) AS v
+    FROM documents
+), summed AS (
+    SELECT doc_id, size, xor(list_reduce(v, lambda c, x: xor(list_extract(t, xor(c, x) % 256 + 1), c // 256),
+        4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+    FROM coded, entries
+), placed AS (
+    SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto,
+        sum(size) OVER () AS whole
+    FROM summed
+), dealt AS (
+    SELECT *, least(23, ((2 * upto - size) * 24) // (2 * whole)) AS s FROM placed
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, s::INTEGER AS shard,
+    row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+    NULL::INTEGER AS grown_shard
+FROM dealt
+"""
