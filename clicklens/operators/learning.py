@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clicklens import constants as K
 from clicklens.functions import checks, scalar
@@ -18,25 +17,9 @@ from clicklens.functions.plan import local_rows
 from clicklens.operators.model import Head, Model
 from clicklens.operators.posterior import Trust, bucket_rows
 from clicklens.operators.model import with_priors
+from clicklens.schemas import RUN_METRICS
 from clicklens.sources.tables import staged
 
-_DOUBLES = """max_absolute_weight_delta learning_rate evidence_smoothing ridge max_delta
-max_feature_ci_width old_w0 new_w0 baseline_delta aggregate_observed_ctr posterior_baseline_ctr
-baseline_ci_low baseline_ci_high baseline_ci_width new_baseline_ctr""".split()
-_FLAGS = """accepted dry_run w0_unchanged baseline_update_enabled baseline_update_applied""".split()
-_TEXTS = ["skipped_reason", "baseline_guard_reason"]
-_LONGS = """input_bucket_count valid_bucket_count invalid_bucket_count ad_feature_bucket_count
-domain_feature_bucket_count context_feature_bucket_count updated_feature_bucket_count
-skipped_feature_bucket_count insufficient_impression_feature_count wide_ci_feature_count
-unknown_feature_count min_feature_impressions aggregate_impressions aggregate_clicks
-valid_baseline_bucket_count invalid_baseline_bucket_count""".split()
-METRICS = T.StructType(
-    [T.StructField(n, T.BooleanType()) for n in _FLAGS]
-    + [T.StructField(n, T.StringType()) for n in _TEXTS]
-    + [T.StructField(n, T.LongType()) for n in _LONGS]
-    + [T.StructField(n, T.DoubleType()) for n in _DOUBLES]
-)
-
 NO_EVIDENCE, INSUFFICIENT, WIDE_CI, UPDATED = "no_evidence", "insufficient", "wide_ci", "updated"
 
 
@@ -258,8 +241,8 @@ class Recalibration:
     weights: DataFrame
 
     def metrics_frame(self) -> DataFrame:
-        row = tuple(self.metrics[f] for f in METRICS.fieldNames())
-        return local_rows(self.features.sparkSession, [row], METRICS)
+        row = tuple(self.metrics[f] for f in RUN_METRICS.fieldNames())
+        return local_rows(self.features.sparkSession, [row], RUN_METRICS)
 
 
 def recalibrate(

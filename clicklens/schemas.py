@@ -91,6 +91,48 @@ RUNTIME_SNAPSHOT = _struct(
     ("postgres_experiment_result_count", _L),
 )
 
+# Fixed names: the metrics of one learning pass.
+RUN_METRICS = _struct(
+    ("accepted", _B),
+    ("skipped_reason", _S),
+    ("input_bucket_count", _L),
+    ("valid_bucket_count", _L),
+    ("invalid_bucket_count", _L),
+    ("ad_feature_bucket_count", _L),
+    ("domain_feature_bucket_count", _L),
+    ("context_feature_bucket_count", _L),
+    ("updated_feature_bucket_count", _L),
+    ("skipped_feature_bucket_count", _L),
+    ("insufficient_impression_feature_count", _L),
+    ("wide_ci_feature_count", _L),
+    ("unknown_feature_count", _L),
+    ("max_absolute_weight_delta", _D),
+    ("learning_rate", _D),
+    ("evidence_smoothing", _D),
+    ("ridge", _D),
+    ("max_delta", _D),
+    ("min_feature_impressions", _L),
+    ("max_feature_ci_width", _D),
+    ("dry_run", _B),
+    ("w0_unchanged", _B),
+    ("old_w0", _D),
+    ("new_w0", _D),
+    ("baseline_delta", _D),
+    ("baseline_update_enabled", _B),
+    ("baseline_update_applied", _B),
+    ("aggregate_impressions", _L),
+    ("aggregate_clicks", _L),
+    ("aggregate_observed_ctr", _D),
+    ("posterior_baseline_ctr", _D),
+    ("baseline_ci_low", _D),
+    ("baseline_ci_high", _D),
+    ("baseline_ci_width", _D),
+    ("baseline_guard_reason", _S),
+    ("valid_baseline_bucket_count", _L),
+    ("invalid_baseline_bucket_count", _L),
+    ("new_baseline_ctr", _D),
+)
+
 _PHASE = _struct(
     ("phase_name", _S),
     ("producer", _struct(("impressions", _L), ("clicks", _L), ("total_events", _L))),

@@ -144,8 +144,17 @@ def test_aggregate_over_subtasks(spark):
     assert row["post_warmup_eps"] == 5.0 + 5.0
     shares = {r["subtask_index"]: r["share"] for r in P.subtask_shares(records(spark)).collect()}
     assert shares == {0: 6 / 16, 1: 10 / 16}
-    pivot = P.subtask_distribution(records(spark)).collect()[0]
-    assert (pivot["subtask_0"], pivot["subtask_1"], pivot["subtask_2"]) == (6, 10, 0)
+
+
+def test_a_column_for_each_subtask_of_the_records(spark):
+    one = P.subtask_distribution(records(spark)).collect()
+    assert [r.asDict() for r in one] == [{"run_id": 1, "subtask_0": 6, "subtask_1": 10}]
+    other = records(spark).filter("subtask_index = 1").withColumns({"run_id": F.lit(2), "subtask_index": F.lit(5)})
+    both = P.subtask_distribution(records(spark).unionByName(other)).orderBy("run_id").collect()
+    assert [r.asDict() for r in both] == [
+        {"run_id": 1, "subtask_0": 6, "subtask_1": 10, "subtask_5": 0},
+        {"run_id": 2, "subtask_0": 0, "subtask_1": 0, "subtask_5": 10},
+    ]
 
 
 def test_averages(spark):
