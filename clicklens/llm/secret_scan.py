@@ -10,6 +10,8 @@ or a known form already covers it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,19 +38,42 @@ CLASSES = {
     ),
 }
 
-# Strings of these forms are no secrets: words and paths of words, numbers, public identifiers, placeholders.
-ALLOWED = [
-    r"[-_/+=]*([A-Z]+[a-z]*|[a-z]+)([-_/+=]+([A-Z]+[a-z]*|[a-z]+))*[-_/+=]*",
-    r"[-_/+=]*[0-9]+([-_/+=]+[0-9]+)*[-_/+=]*",
-    r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
-    r"[-_/+=]+",
-    r".*(EXAMPLE|example|XXXX|xxxx).*",
-]
+# Strings of these forms are no secrets. Each is found by characters that it must not or must have, or at a fixed
+# length: a repeated group would be walked by recursion, once for each part of a long path.
+def _allowed(value: Column) -> Column:
+    words = ~value.rlike("[^A-Za-z_/+=-]") & ~value.rlike("[a-z][A-Z]")  # words and paths of words
+    numbers = ~value.rlike("[^0-9_/+=-]")  # numbers, dates, rules
+    public = value.rlike("^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$")
+    return words | numbers | public | value.rlike("EXAMPLE|example|XXXX|xxxx")  # identifiers, placeholders
+
 
 KINDS = [*FORMS, *CLASSES]
 _NONE = "CAST(array() AS array<struct<start: int, end: int, value: string, size: int>>)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _distances(least_size: Callable[[Column], Column]) -> Column:
+    return F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), least_size)
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sum (or maximum) of an array by doubling: every step reaches twice as far back."""
+
+    def all_steps(first: Column) -> Column:
+        def step(found: Column, back: Column) -> Column:
+            return F.transform(
+                found, lambda v, i: F.when(i >= back, combine(v, F.get(found, i - back))).otherwise(v)
+            )
+
+        return F.aggregate(_distances(lambda d: d < F.size(first)), first, step)
+
+    return _let(values, all_steps)
+
+
 def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
     """Matches as structs of start, end, value and size, where size counts the group's characters.
 
@@ -61,38 +86,87 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
         F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"),
         F.regexp_extract_all(text, whole, F.lit(2 + group)).alias("counted"),
     )
-    none = F.expr(_NONE)
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["hit"])
-        span = F.struct(
-            start.alias("start"), end.alias("end"), part["hit"].alias("value"), F.length(part["counted"]).alias("size")
+    def located(found: Column) -> Column:
+        steps = F.transform(found, lambda p: F.length(p["gap"]) + F.length(p["hit"]))
+
+        def place(ends: Column) -> Column:
+            return F.transform(
+                found,
+                lambda p, i: F.struct(
+                    (F.get(ends, i) - F.length(p["hit"])).alias("start"),
+                    F.get(ends, i).alias("end"),
+                    p["hit"].alias("value"),
+                    F.length(p["counted"]).alias("size"),
+                ),
+            )
+
+        return _let(_running(steps, lambda a, b: a + b), place)
+
+    return F.when(text.rlike(pattern), F.filter(_let(parts, located), lambda s: s["size"] >= least)).otherwise(
+        F.expr(_NONE)
+    )
+
+
+def _covered(spans: Column, s: Column) -> Column:
+    """Whether one of the sorted, separate spans covers ``s``: only the last that begins no later can."""
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        open_, below = state["low"] < state["high"], F.get(spans, middle)["start"] <= s["start"]
+        return F.struct(
+            F.when(open_ & below, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(open_ & ~below, middle).otherwise(state["high"]).alias("high"),
         )
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), F.filter(found, lambda s: s["size"] >= least)).otherwise(none)
+    first = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    count = F.aggregate(_distances(lambda d: d <= F.size(spans)), first, halve, lambda state: state["low"])
+    return F.coalesce(F.get(spans, count - 1)["end"] >= s["end"], F.lit(False))
+
+
+# Counts of a window are packed, so many to a long.
+_BITS, _PACKED = 5, 12
 
 
 def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of a string's windows; a shorter string is one window."""
+    if window >= 1 << _BITS:
+        raise ValueError("a window must fit its packed counts")
 
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
+    longs = len(alphabet) // _PACKED + 1
+    packed, none = F.lit(_PACKED), F.lit(0).cast("long")
+
+    def slot(c: Column) -> Column:
+        return F.call_function("div", c, packed).cast("int")
+
+    def bits(c: Column) -> Column:
+        return F.pmod(c, packed) * _BITS
+
+    def one(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), bits(c))
+
     def largest(codes: Column) -> Column:
         def step(state: Column, code: Column) -> Column:
             # The character that leaves is counted out, then the new one is counted in.
             at = state["at"] + 1
             old = F.when(state["at"] >= window, F.get(codes, state["at"] - window)).otherwise(F.lit(0))
-            n_old = F.get(state["counts"], old)
+
+            def count(c: Column) -> Column:
+                found = F.call_function("shiftright", F.get(state["counts"], slot(c)), bits(c))
+                return found.bitwiseAND((1 << _BITS) - 1).cast("int")
+
+            n_old = count(old)
             less = F.when(old > 0, state["sum"] - weight(n_old) + weight(n_old - 1)).otherwise(state["sum"])
-            n_new = F.get(state["counts"], code) - F.when(old == code, 1).otherwise(0)
+            n_new = count(code) - F.when(old == code, 1).otherwise(0)
             total = less - weight(n_new) + weight(n_new + 1)
             counts = F.transform(
                 state["counts"],
-                lambda n, j: n + F.when(j == code, 1).otherwise(0) - F.when((j == old) & (old > 0), 1).otherwise(0),
+                lambda n, j: n
+                + F.when(j == slot(code), one(code)).otherwise(none)
+                - F.when((old > 0) & (j == slot(old)), one(old)).otherwise(none),
             )
             width = F.least(at, F.lit(window))
             entropy = F.log2(width.cast("double")) - total / width
@@ -105,7 +179,7 @@ def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column
             )
 
         first = F.struct(
-            F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"),
+            F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"),
             F.lit(0.0).alias("sum"),
             F.lit(0).alias("at"),
             F.lit(0.0).alias("best"),
@@ -113,8 +187,7 @@ def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column
         return F.aggregate(codes, first, step, lambda s: s["best"])
 
     letters = F.filter(F.split(value, ""), lambda c: c != "")
-    codes = F.transform(letters, lambda c: F.instr(F.lit(alphabet), c))
-    return F.get(F.transform(F.array(codes), largest), F.lit(0))  # the lambda keeps the codes as a value
+    return _let(F.transform(letters, lambda c: F.instr(F.lit(alphabet), c)), largest)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -141,12 +214,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         )
 
     rows = evaluated_once(rows.withColumn("_base", F.sort_array(F.concat(*[placed(k) for k in FORMS]))))
-    allowed = "^(" + "|".join(f"({a})" for a in ALLOWED) + ")$"
-
     def suspect(alphabet: str, least: float) -> Callable[[Column], Column]:
         return lambda s: (
-            ~s["value"].rlike(allowed)
-            & ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+            ~_allowed(s["value"])
+            & ~reduce(or_, [_covered(F.col(f"_{kind}"), s) for kind in FORMS])
             & (window_entropy(s["value"], alphabet) >= least)
         )
 
@@ -184,20 +255,32 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     Overlapping and touching spans become one mark. Texts without secrets stay as they are, null stays null,
     and all columns keep their names, order and types.
     """
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def join(state: Column, s: Column) -> Column:
-        plain = F.substring("text", state["at"] + 1, s["start"] - state["at"])
-        out = (
-            F.when(s["start"] > state["at"], F.concat(state["out"], plain, F.lit(mark)))
-            .when((state["at"] == 0) & (s["start"] == 0) & (state["out"] == ""), F.lit(mark))
-            .otherwise(state["out"])
+    block = 256  # a substring is searched from the start of its text, so the text is cut into blocks first
+
+    def cut(blocks: Column, first: Column, end: Column) -> Column:
+        """The characters from ``first`` to before ``end``, of one block or of several."""
+        a, b = F.floor(first / block).cast("int"), F.floor(end / block).cast("int")
+        head, tail = F.coalesce(F.get(blocks, a), F.lit("")), F.coalesce(F.get(blocks, b), F.lit(""))
+        inside = F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0)))
+        rest = F.concat(
+            F.substring(head, first - a * block + 1, F.lit(block)),
+            F.array_join(inside, ""),
+            F.substring(tail, F.lit(1), end - b * block),
         )
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.when(a == b, F.substring(head, first - a * block + 1, end - first)).otherwise(rest)
 
-    clean = F.aggregate(
-        "_all", first, join, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text")))
-    )
+    def marked(blocks: Column) -> Column:
+        def joined(ends: Column) -> Column:
+            gaps = F.transform(
+                "_all", lambda s, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(-1)).alias("at"), s["start"].alias("to"))
+            )
+            gaps = F.filter(gaps, lambda g: g["to"] > g["at"])
+            pieces = F.transform(gaps, lambda g: F.concat(cut(blocks, F.greatest(g["at"], F.lit(0)), g["to"]), F.lit(mark)))
+            return F.concat(F.array_join(pieces, ""), cut(blocks, F.element_at(ends, -1), F.length("text")))
+
+        return _let(_running(F.transform("_all", lambda s: s["end"]), F.greatest), joined)
+
+    clean = _let(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), marked)
     rows = find_secrets(docs)
     changed = F.size("_all") > 0
     rows = evaluated_once(rows.withColumn("text", F.when(changed, clean).otherwise(F.col("text"))))
