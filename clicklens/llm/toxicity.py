@@ -20,7 +20,7 @@ from clicklens.llm.gated import BUCKETS, Adam, embed, gradients, initial, slidin
 from clicklens.llm.labelled import fold, training_sample
 from clicklens.llm.textbytes import LOWER, Words, mix, pieces
 
-WINDOW = 24
+WINDOW = 12
 GRAMS = (3, 5)
 
 
@@ -209,7 +209,8 @@ def toxicity_score(p: dict, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(text_scores(carried, texts))
+        distinct = texts.dictionary_encode(null_encoding="encode")  # copies in a batch share a score
+        return pa.array(text_scores(carried, distinct.dictionary)[distinct.indices.to_numpy(zero_copy_only=False)])
 
     return score(text)
 
