@@ -93,7 +93,8 @@ def test_windows_cover_every_word():
 def test_every_window_is_scored():
     p = gated.initial()
     rng = np.random.default_rng(3)
-    texts = [" ".join(rng.choice(["a", "bc", "idiot", "x1", "why", "so"], n)) for n in (0, 3, 24, 25, 31, 90)]
+    sizes = [0, 3, *(toxicity.WINDOW + more for more in (0, 1, 7, 66))]
+    texts = [" ".join(rng.choice(["a", "bc", "idiot", "x1", "why", "so"], n)) for n in sizes]
     w = toxicity.windows(Words(pa.array(texts)))
     assert np.bincount(w.owner).tolist() == [1, 1, 1, 2, 8, 67]
     vectors = gated.embed(p, w.words, w.grams, w.starts)
