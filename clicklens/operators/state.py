@@ -27,7 +27,7 @@ def as_key_values(buckets: DataFrame) -> DataFrame:
 def decode_buckets(store: DataFrame) -> DataFrame:
     """Bucket rows of all keys with the bucket prefix, with ``valid``."""
     rows = store.filter(F.col("key").startswith(f"{K.STORE_PREFIX}:"))
-    parsed = F.when(one_json_object(F.col("value")), F.from_json("value", BUCKET))
+    parsed = F.when(one_json_object(F.col("value")).isNotNull(), F.from_json("value", BUCKET))
     decoded = rows.select("key", parsed.alias("_b")).select("key", "_b.*")
     return evaluated_once(decoded.withColumn("valid", checks.valid_bucket()))
 

@@ -11,13 +11,9 @@ from clicklens.functions.plan import evaluated_once
 from clicklens.schemas import EVENT
 
 _FIELDS = EVENT.fieldNames()
-# A plain string schema would silently turn a JSON number into text, so fields that must be JSON
-# strings are parsed as variants. The type and the time need no such care: only fixed words match
-# the one, and the other may be a number as well.
+# As text, a JSON number looks like a string, so fields that must be JSON strings have their type looked up as well.
+# The type and the time need no such care: only fixed words match the one, and the other may be a number as well.
 _STRICT = ["event_id", *K.BUCKET_KEYS, "impression_event_id"]
-_JSON_SCHEMA = ", ".join(
-    f"{name} {'VARIANT' if name in _STRICT else 'STRING'}" for name in _FIELDS
-)
 # Text that a number, boolean, object or array would give as well.
 _AMBIGUOUS = r"^([-+.0-9{\[]|true$|false$)"
 _ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"
@@ -27,18 +23,23 @@ _SECONDS_LIMIT = 2e10
 _MAX_EPOCH = 253402300799.0
 
 
-def _variant_text(field: str) -> Column:
-    return F.expr(f"try_variant_get(_json.{field}, '$', 'string')")
+def _text(field: str) -> Column:
+    return F.try_variant_get("_json", f"$.{field}", "string")
 
 
 def _is_string(field: str) -> Column:
     """Whether the JSON value was a string; its type is looked up only where the text leaves doubt."""
-    kind = F.expr(f"schema_of_variant(_json.{field})")
+    kind = F.schema_of_variant(F.try_variant_get("_json", f"$.{field}", "variant"))
     return F.when(F.col(field).rlike(_AMBIGUOUS), kind == "STRING").otherwise(
         F.col(field).isNotNull()
     )
 
 
+def _is_absent(field: str) -> Column:
+    value = F.try_variant_get("_json", f"$.{field}", "variant")
+    return value.isNull() | F.is_variant_null(value)
+
+
 def _from_epoch(number: Column) -> Column:
     seconds = F.when(F.abs(number) > _SECONDS_LIMIT, number / 1000.0).otherwise(number)
     return F.when(F.abs(seconds) <= _MAX_EPOCH, F.timestamp_seconds(seconds))
@@ -56,16 +57,28 @@ def _timestamp(text: Column) -> Column:
 
 
 def one_json_object(text: Column) -> Column:
-    """Whether a text is exactly one JSON object: nothing behind it, no single quotes, no NaN.
+    """The object that a text holds, as a variant, if the text is exactly one JSON object; else NULL.
 
-    The parsers ignore what follows a first value. Inside an array and before the text's own hash, anything
-    else than one value breaks the array or moves the hash.
+    Nothing may stand behind it, and single quotes and NaN are no JSON. The parsers ignore what follows a first
+    value. Inside an array and before the text's own hash, anything else than one value breaks the array or moves
+    the hash.
     """
-    seal = F.md5(text.cast("binary"))
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
-    kind = F.schema_of_variant(F.try_variant_get(whole, "$[0]", "variant"))
-    sealed = F.try_variant_get(whole, "$[1]", "string") == seal
-    return F.coalesce(sealed & kind.startswith("OBJECT"), F.lit(False))
+    seal = _seal(text)
+    return _unsealed(_sealed(text, seal), seal)
+
+
+def _seal(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def _sealed(text: Column, seal: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+
+
+def _unsealed(whole: Column, seal: Column) -> Column:
+    value = F.try_variant_get(whole, "$[0]", "variant")
+    intact = F.try_variant_get(whole, "$[1]", "string") == seal
+    return F.when(intact & F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
 def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -73,24 +86,22 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
 
     Strings must be JSON strings, unknown extra fields are ignored, the impression id may be
     absent or null, and the time may be ISO text or epoch numbers. A text that is more or less than one JSON
-    object is invalid.
+    object is invalid. Each text is parsed once: all fields are taken from the parsed value.
     """
     text = F.col(column)
-    parsed = raw.select(
-        text.alias("raw"), F.when(one_json_object(text), F.from_json(text, _JSON_SCHEMA)).alias("_json")
-    )
+    seal = _seal(text)
+    sealed = evaluated_once(raw.select(text.alias("raw"), seal.alias("_seal"), _sealed(text, seal).alias("_whole")))
+    parsed = evaluated_once(sealed.select("raw", _unsealed(F.col("_whole"), F.col("_seal")).alias("_json")))
     texts = parsed.select(
         "raw",
         "_json",
-        F.col("_json.event_type").alias("event_type"),
-        F.col("_json.occurred_at").alias("_time"),
-        *[_variant_text(name).alias(name) for name in _STRICT],
-    )
-    optional_ok = (
-        F.col("_json.impression_event_id").isNull()
-        | F.expr("is_variant_null(_json.impression_event_id)")
-        | _is_string("impression_event_id")
+        _text("event_type").alias("event_type"),
+        _text("occurred_at").alias("_time"),
+        *[_text(name).alias(name) for name in _STRICT],
     )
+    # A JSON null has no text.
+    optional_ok = F.col("impression_event_id").isNull() & _is_absent("impression_event_id")
+    optional_ok = optional_ok | _is_string("impression_event_id")
     fields = {name: F.when(_is_string(name), F.col(name)) for name in _STRICT}
     fields |= {"event_type": F.col("event_type"), "occurred_at": _timestamp(F.col("_time"))}
     typed = texts.select(
@@ -114,12 +125,11 @@ def raw_bucket_key(column: str = "value") -> Column:
 
     Null parts print as None and booleans as True and False.
     """
-    text = F.col(column)
-    json = F.when(one_json_object(text), F.from_json(text, ", ".join(f"{k} VARIANT" for k in K.BUCKET_KEYS)))
+    json = one_json_object(F.col(column))
     parts = []
     for key in K.BUCKET_KEYS:
-        v = json.getField(key)
-        printed = F.try_variant_get(v, "$", "string")
+        v = F.try_variant_get(json, f"$.{key}", "variant")
+        printed = F.try_variant_get(json, f"$.{key}", "string")
         parts.append(
             F.when(F.is_variant_null(v), F.lit("None"))
             .when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(printed))
