@@ -16,7 +16,7 @@ from clicklens.schemas import WEIGHTS
 from clicklens.session import remove, shared_folder
 
 
-def _read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -64,7 +64,7 @@ class SnapshotTable:
 
     def _known(self) -> list[Row]:
         """Manifest rows, oldest first: a few, as old versions are removed."""
-        rows = _read_or_none(self.spark, f"{self.path}/manifest", self._MANIFEST)
+        rows = read_or_none(self.spark, f"{self.path}/manifest", self._MANIFEST)
         return [] if rows is None else sorted(rows.drop("v").collect(), key=lambda r: r["version"])
 
     def versions(self) -> list[int]:
@@ -119,7 +119,7 @@ class AppendTable:
         self.schema = T.StructType([T.StructField("id", T.LongType()), *schema.fields])
 
     def read(self) -> DataFrame:
-        rows = _read_or_none(self.spark, self.path, self.schema)
+        rows = read_or_none(self.spark, self.path, self.schema)
         return local_rows(self.spark, [], self.schema) if rows is None else rows
 
     def next_id(self) -> int:
@@ -155,10 +155,12 @@ class ModelStore:
             T.StructField("family_strengths", T.MapType(T.StringType(), T.DoubleType())),
             # Metrics of the run that made the model, as JSON text.
             T.StructField("weight_update", T.StringType()),
+            # Number of the clock's pass that made the model, if one did.
+            T.StructField("tick", T.LongType()),
         ]
         self.heads = AppendTable(spark, f"{self.path}/heads", T.StructType(fields))
 
-    def append(self, model: Model, run_metrics: DataFrame | None = None) -> int:
+    def append(self, model: Model, run_metrics: DataFrame | None = None, tick: int | None = None) -> int:
         """Append a model with the optional one-row metrics of its run; returns the id."""
         new_id = self.heads.next_id()
         model.weights.select(*WEIGHTS.fieldNames()).write.mode("overwrite").parquet(
@@ -179,9 +181,16 @@ class ModelStore:
                 if run_metrics is None
                 else run_metrics.select(F.to_json(F.struct("*"))).scalar()
             ).alias("weight_update"),
+            F.lit(tick).cast("bigint").alias("tick"),
         )
         return self.heads.append(head)
 
+    def has_tick(self, number: int) -> bool:
+        return not self.heads.read().filter(F.col("tick") == number).isEmpty()
+
+    def last_id(self) -> int:
+        return self.heads.next_id() - 1
+
     def weights(self, model_id: int) -> DataFrame:
         return self.spark.read.schema(WEIGHTS).parquet(f"{self.path}/weights/id={model_id}")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +16,8 @@ from clicklens.operators import learning as L
 from clicklens.operators.counts import is_click, is_impression
 from clicklens.operators.model import Head, Model
 from clicklens.sources.events import parse_events
-from clicklens.sources.tables import ModelStore, SnapshotTable
+from clicklens.sources.keyed import Commits, KeyedLog
+from clicklens.sources.tables import ModelStore
 from clicklens.streaming.realtime import run_of
 
 COUNTS = T.StructType(
@@ -39,31 +41,28 @@ def evidence_counts(parsed: DataFrame) -> DataFrame:
 
 
 class EvidenceStream:
-    """Keeps the counts of all events so far as a versioned table.
+    """Keeps the counts of all events so far as a log of count deltas.
 
-    Each micro-batch is counted by itself and added to the newest version that is not its own, so a
-    repeated batch counts once and a run with a fresh checkpoint goes on from what is stored. Triplets,
-    not events, are rewritten, and no setting of the session changes.
+    Each micro-batch appends the counts of its own triplets, so what is written follows the triplets that a batch
+    names; readers add up, and old deltas are folded into the base partitions they touch. A batch is counted once,
+    a run with a fresh checkpoint goes on from what is stored. The time of the first valid event arms the clock.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 16) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.table = SnapshotTable(spark, f"{self.folder}/counts", COUNTS)
+        counts = ["impressions", "clicks", "invalid_events"]
+        self.table = KeyedLog(spark, f"{self.folder}/counts", COUNTS, K.BUCKET_KEYS, sums=counts, parts=parts)
 
     def start(
         self, text: DataFrame, processing_time: str | None = None, checkpoint: str | None = None
     ) -> StreamingQuery:
         trigger = {"availableNow": True} if processing_time is None else {"processingTime": processing_time}
-        checkpoint = checkpoint or f"{self.folder}/checkpoint"
+        checkpoint, run = checkpoint or f"{self.folder}/checkpoint", None
 
         def process(batch: DataFrame, batch_id: int) -> None:
-            run = run_of(self.spark, checkpoint)
-            version, _ = self.table.version_of(run, batch_id)
-            before, counts = self.table.read(before=version), evidence_counts(parse_events(batch))
-            if before is not None:
-                sums = [F.sum(c).alias(c) for c in ("impressions", "clicks", "invalid_events")]
-                counts = before.unionByName(counts).groupBy(*K.BUCKET_KEYS).agg(*sums)
-            self.table.write(counts.select(*COUNTS.fieldNames()), run, batch_id)
+            nonlocal run
+            run = run or run_of(self.spark, checkpoint)
+            self.process(batch, run, batch_id)
 
         return (
             text.select("value")
@@ -74,6 +73,29 @@ class EvidenceStream:
             .start()
         )
 
+    def process(self, batch: DataFrame, run: str, batch_id: int) -> None:
+        """Count one micro-batch, unless it is counted already."""
+        if self.table.committed(run, batch_id):
+            return
+        version, seen = self.table.next_version(), Observation()
+        path = self.table.delta_path(version, run)
+        counts = evidence_counts(parse_events(batch)).withColumn("_v", F.lit(version))
+        observed = counts.observe(
+            seen,
+            F.count("*").alias("rows"),
+            F.coalesce(F.sum(F.col("impressions") + F.col("clicks")), F.lit(0)).alias("valid"),
+        )
+        observed.write.mode("overwrite").parquet(path)
+        facts = dict((self.table.head or {}).get("facts") or {})
+        if seen.get["valid"] and "armed_at" not in facts:
+            facts["armed_at"] = time.time()
+        self.table.commit(version, run, batch_id, path, seen.get["rows"], facts)
+
+    def armed_at(self) -> float | None:
+        """When the first valid event was counted, in seconds since the epoch; None before."""
+        self.table.refresh()
+        return ((self.table.head or {}).get("facts") or {}).get("armed_at")
+
     def counts(self) -> tuple[DataFrame, DataFrame] | None:
         """Triplet counts and the one-row number of invalid events; None before any event."""
         rows = self.table.read()
@@ -103,7 +125,7 @@ class Recalibrator:
     ) -> None:
         self.evidence, self.models, self.config, self.prefix = evidence, models, config, prefix
 
-    def tick(self, at: datetime | None = None) -> dict | None:
+    def tick(self, at: datetime | None = None, number: int | None = None) -> dict | None:
         """One pass; returns its metrics row, or None while there is no valid event yet."""
         found = self.evidence.counts()
         if found is None:
@@ -119,16 +141,40 @@ class Recalibrator:
             L.evidence_counts(counts, invalid.scalar()),
             self.prefix,
             at,
+            number,
         )
 
-    def start(self, interval: str, checkpoint: str) -> StreamingQuery:
-        """Tick at a fixed rate, also when no event arrives."""
+    def poll(self, interval: float, now: float | None = None) -> dict | None:
+        """The pass that is due at ``now``, if one is; None otherwise.
+
+        The first valid event arms the clock: the first pass is due ``interval`` seconds after it, the next one as
+        long after the time that one fired. A pass that was made is recorded once. The model carries the number of
+        its pass, so one that stopped between its model and its record is recorded, not made again.
+        """
+        armed, now = self.evidence.armed_at(), time.time() if now is None else now
+        if armed is None:
+            return None
+        ticks = Commits(self.evidence.spark, f"{self.models.path}/ticks")
+        done = ticks.all()
+        number, last = (done[-1][0] + 1, done[-1][1]["fired_at"]) if done else (1, armed)
+        if now < last + interval:
+            return None
+        at = datetime.fromtimestamp(now, timezone.utc)
+        if self.models.has_tick(number):
+            row = {"accepted": True, "snapshot_id": self.models.last_id()}
+        else:
+            row = self.tick(at, number) or {"accepted": False, "snapshot_id": None}
+        ticks.put(number, {"fired_at": now, "accepted": row["accepted"], "snapshot_id": row["snapshot_id"]})
+        return row
+
+    def start(self, interval: float, checkpoint: str, poll: str = "1 second") -> StreamingQuery:
+        """Make a pass every ``interval`` seconds from the first valid event on, also when no event arrives."""
         clock = self.evidence.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
         return (
             clock.writeStream.queryName("weight_clock")
             .option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda _rows, _id: self.tick() and None)
-            .trigger(processingTime=interval)
+            .foreachBatch(lambda _rows, _id: self.poll(interval) and None)
+            .trigger(processingTime=poll)
             .start()
         )
 
@@ -140,6 +186,7 @@ def recalibrate_once(
     scan_counts: DataFrame | None = None,
     prefix: str = "weight_update",
     at: datetime | None = None,
+    tick: int | None = None,
 ) -> dict:
     """Recalibrate from buckets and append the new model unless skipped or a dry run.
 
@@ -162,6 +209,6 @@ def recalibrate_once(
             old.triplet_strength,
             old.family_strengths,
         )
-        row["snapshot_id"] = models.append(Model(head, outcome.weights), outcome.metrics_frame())
+        row["snapshot_id"] = models.append(Model(head, outcome.weights), outcome.metrics_frame(), tick)
         row["write_applied"] = True
     return row

@@ -4,56 +4,64 @@ Every micro-batch is one declarative pass: parse, admit clicks on top of the sto
 dead letters, writes and the new state. A bucket that receives a third of all events is split into
 time slots like in a batch query (see ``operators.admission``), which a per-key stateful operator
 could not do. All outputs of a batch are keyed by the version of the state that it makes, which belongs
-to the run (the checkpoint) and the batch: a repeated batch starts from the same state and replaces its own
-outputs, and a run with a fresh checkpoint goes on from the newest state.
+to the run (the checkpoint) and the batch: a batch that was committed is not repeated, one that failed replaces its
+own outputs, and a run with a fresh checkpoint goes on from the newest state.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clicklens import constants as K
-from clicklens.functions import scalar
 from clicklens.functions.plan import local_rows
 from clicklens.operators import admission as A
 from clicklens.operators.counts import is_click, is_impression
 from clicklens.operators.model import Model
 from clicklens.operators.posterior import Trust
-from clicklens.operators.state import upsert
-from clicklens.schemas import BUCKET, DEAD_LETTER
+from clicklens.schemas import BUCKET, DEAD_LETTER, PROCESSOR_RECORD
 from clicklens.sources.events import invalid_events, parse_events, valid_events
-from clicklens.sources.tables import SnapshotTable
+from clicklens.sources.keyed import Commits, KeyedLog
+from clicklens.sources.tables import read_or_none
 
 PER_EVENT, COALESCED = "per_event", "periodic"
 
-_BATCH_METRICS = T.StructType(
+# What a micro-batch writes, told apart by ``kind``: dead letters, bucket rows that changed, a row per event.
+LETTER, STATE, WRITE = "letter", "state", "write"
+_EVENT_COLUMNS = ["event_id", "event_type", "occurred_at", "updates"]
+_OUTPUT = T.StructType(
     [
-        T.StructField(n, T.LongType())
-        for n in ("processed_events", "impressions", "clicks", "dead_letters", "redis_flushes")
-    ]
-    + [
-        T.StructField("redis_flush_mode", T.StringType()),
-        T.StructField("window_seconds", T.DoubleType()),
-        T.StructField("version", T.LongType()),
+        *DEAD_LETTER.fields,
+        *BUCKET.fields,
+        T.StructField("event_id", T.StringType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("occurred_at", T.TimestampType()),
+        T.StructField("updates", T.LongType()),
+        T.StructField("_v", T.IntegerType()),
     ]
 )
+_WHERE = T.StructType([T.StructField("batch", T.LongType()), T.StructField("kind", T.StringType())])
+_PROGRESS = T.StructType([T.StructField("seq", T.LongType()), *PROCESSOR_RECORD.fields])
 
 
 def run_of(spark: SparkSession, checkpoint: str) -> str:
     """The id that a streaming query keeps in its checkpoint: one run for as long as that is used."""
-    return spark.read.json(f"{checkpoint}/metadata").select("id").first()[0]
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 class RealtimeCtr:
-    """Outputs below one folder: ``state``, ``dead_letters``, ``writes`` and ``metrics``.
+    """Outputs below one folder: ``state`` (a log of changes), ``batches`` and ``metrics``.
+
+    A micro-batch runs two jobs: one parses its texts, keeps them and counts them; one admits the clicks and writes
+    dead letters, writes and changed buckets together. Its commit names the changed buckets as a delta of the state,
+    so what is written follows the batch, not the table. The job holds the newest commit and reads it only at start.
 
     The model is fixed when the stream starts: new weights reach only buckets created after a
     restart. ``initial`` holds stored buckets to continue from; it is read once, when there is no state yet.
@@ -69,16 +77,18 @@ class RealtimeCtr:
         flush_mode: str = COALESCED,
         slot_seconds: float = A.DEFAULT_SLOT_SECONDS,
         forward_dead_letters: Callable[[DataFrame], None] | None = None,
+        parts: int = 16,
     ) -> None:
         if flush_mode not in (PER_EVENT, COALESCED):
             raise ValueError("flush mode must be per_event or periodic")
         self.spark, self.folder, self.model, self.trust = spark, folder.rstrip("/"), model, trust
         self.flush_mode, self.slot_seconds = flush_mode, slot_seconds
         self.forward_dead_letters = forward_dead_letters
-        self.state = SnapshotTable(spark, f"{self.folder}/state", BUCKET)
+        self.state = KeyedLog(spark, f"{self.folder}/state", BUCKET, K.BUCKET_KEYS, parts=parts)
+        self._metrics = Commits(spark, f"{self.folder}/metrics")
         self._last = time.monotonic()
         if initial is not None and not self.state.versions():  # a restart has newer state
-            self.state.write(initial, run="initial")
+            self.state.load(initial, run="initial")
         self._run = "direct"
 
     def start(
@@ -89,10 +99,11 @@ class RealtimeCtr:
     ) -> StreamingQuery:
         """Start on a stream with a ``value`` column. Without a processing time the available
         backlog is drained and the query ends."""
-        checkpoint = checkpoint or f"{self.folder}/checkpoint"
+        checkpoint, run = checkpoint or f"{self.folder}/checkpoint", None
 
         def process(batch: DataFrame, batch_id: int) -> None:
-            self._run = run_of(self.spark, checkpoint)
+            nonlocal run
+            run = self._run = run or run_of(self.spark, checkpoint)
             self.process(batch, batch_id)
 
         writer = (
@@ -106,79 +117,124 @@ class RealtimeCtr:
         return writer.trigger(**trigger).start()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch; may be repeated for the same id."""
+        """One micro-batch. One that is committed changes nothing; one that failed replaces its own outputs."""
+        if self.state.committed(self._run, batch_id):
+            return
+        version = self.state.next_version()
         # Parsing is the costly part and feeds several outputs. A lost block is parsed again.
         parsed = parse_events(batch).persist()
-        version, _ = self.state.version_of(self._run, batch_id)
-        before = self.state.read(before=version)
-        admission = A.admit_clicks(valid_events(parsed), before, self.slot_seconds)
-        # One admission pass serves the dead letters, the writes and the new state.
-        runs = admission.runs.persist()
+        kept = [parsed]
         try:
+            valid = F.col("valid")
+            counts = parsed.agg(
+                F.count("*").alias("processed"),
+                F.count_if(valid & is_impression()).alias("impressions"),
+                F.count_if(valid & is_click()).alias("clicks"),
+                # A few numbers: the partitions of the state that the batch may change.
+                F.collect_set(F.when(valid, self.state.part())).alias("parts"),
+            ).first()
+            events, before = valid_events(parsed), self.state.read(parts=counts["parts"])
+            if before is not None:
+                # The stored rows of the batch's own buckets, which three steps look up.
+                before = before.join(events.select(*K.BUCKET_KEYS).distinct(), K.BUCKET_KEYS, "left_semi").persist()
+                kept.append(before)
+            admission = A.admit_clicks(events, before, self.slot_seconds)
+            # One admission pass serves the dead letters, the writes and the new state.
+            runs = admission.runs.persist()
+            kept.append(runs)
             admission = replace(admission, runs=runs, totals=A.totals_of(runs, before))
-            letters = A.invalid_dead_letters(invalid_events(parsed)).unionByName(
-                A.rejected_clicks(admission)
-            )
-            self._write(letters.select(*DEAD_LETTER.fieldNames()), "dead_letters", version)
+            seen = self._write(self._outputs(parsed, admission, before, version), version)
             if self.forward_dead_letters is not None:
-                self.forward_dead_letters(self._read_batch("dead_letters", DEAD_LETTER, version))
-
-            changed = A.new_buckets(admission, before, self.model, self.trust)
-            if self.flush_mode == PER_EVENT:
-                writes = A.running_buckets(admission, before, self.model, self.trust)
-                self._write(writes, "writes", version)
-            else:
-                self._write(changed, "writes", version)
-                changed = self._read_batch("writes", BUCKET, version)
-            state = changed if before is None else upsert(before, changed)
-            self.state.write(state, self._run, batch_id)
-            self._write(self._metrics(parsed, version), "metrics", version)
+                self.forward_dead_letters(self._read(LETTER, DEAD_LETTER, version))
+            facts = self._progress(counts, seen)
+            path = f"{self._batch(version)}/kind={STATE}"
+            self.state.commit(version, self._run, batch_id, path, seen["changed"], facts)
+            self._metrics.put(version, facts)
         finally:
-            runs.unpersist()
-            parsed.unpersist()
-
-    def _metrics(self, parsed: DataFrame, version: int) -> DataFrame:
-        now = time.monotonic()
-        seconds, self._last = now - self._last, now
-        letters = self._read_batch("dead_letters", DEAD_LETTER, version)
-        rejected = letters.agg(
-            F.coalesce(F.sum(F.when(F.col("reason") == K.REASON_EXCESS_CLICK, F.col("copies"))), F.lit(0))
-        ).scalar()
-        lost = letters.agg(F.coalesce(F.sum("copies"), F.lit(0))).scalar()
-        accepted = F.col("impressions") + F.col("clicks")
-        flushes = (
-            accepted
-            if self.flush_mode == PER_EVENT
-            else self._read_batch("writes", BUCKET, version).agg(F.count("*")).scalar()
+            for rows in kept:
+                rows.unpersist()
+
+    def _outputs(self, parsed: DataFrame, admission: A.Admission, before: DataFrame | None, version: int) -> DataFrame:
+        """All rows that the batch writes, in the columns of ``_OUTPUT`` with their kind."""
+        letters = A.invalid_dead_letters(invalid_events(parsed)).unionByName(A.rejected_clicks(admission))
+        changed = A.new_buckets(admission, before, self.model, self.trust)
+        rows = letters.withColumn("kind", F.lit(LETTER)).unionByName(
+            changed.withColumns({"kind": F.lit(STATE), "_v": F.lit(version)}), allowMissingColumns=True
         )
-        return parsed.agg(
-            F.count("*").alias("processed_events"),
-            F.count_if(F.col("valid") & is_impression()).alias("impressions"),
-            F.count_if(F.col("valid") & is_click()).alias("_clicks"),
-        ).select(
-            "processed_events",
-            "impressions",
-            (F.col("_clicks") - rejected).alias("clicks"),
-            lost.cast("bigint").alias("dead_letters"),
-        ).select(
-            "*",
-            flushes.cast("bigint").alias("redis_flushes"),
-            F.lit(self.flush_mode).alias("redis_flush_mode"),
-            F.lit(seconds).alias("window_seconds"),
-            F.lit(version).cast("bigint").alias("version"),
+        if self.flush_mode == PER_EVENT:
+            writes = A.running_buckets(admission, before, self.model, self.trust)
+            rows = rows.unionByName(
+                writes.select(*BUCKET.fieldNames(), *_EVENT_COLUMNS, F.lit(WRITE).alias("kind")),
+                allowMissingColumns=True,
+            )
+        there = set(rows.columns)
+        columns = [F.col(f.name) if f.name in there else F.lit(None) for f in _OUTPUT.fields]
+        typed = [c.cast(f.dataType).alias(f.name) for c, f in zip(columns, _OUTPUT.fields)]
+        return rows.select("kind", *typed)
+
+    def _write(self, rows: DataFrame, version: int) -> dict:
+        """Write the rows of a batch in one job; their numbers are observed on the way."""
+        zero, seen = F.lit(0).cast("bigint"), Observation()
+        rejected = F.when(F.col("reason") == K.REASON_EXCESS_CLICK, F.col("copies"))
+        observed = rows.observe(
+            seen,
+            F.count_if(F.col("kind") == STATE).alias("changed"),
+            F.coalesce(F.sum("copies"), zero).alias("letters"),
+            F.coalesce(F.sum(rejected), zero).alias("rejected"),
         )
+        observed.write.mode("overwrite").partitionBy("kind").parquet(self._batch(version))
+        return seen.get
 
-    def _write(self, rows: DataFrame, name: str, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={version}")
-
-    def _read_batch(self, name: str, schema: T.StructType, version: int) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={version}")
+    def _progress(self, counts: Row, seen: dict) -> dict:
+        """The cumulative record after a batch: that of the batch before it, and what this one adds."""
+        now = time.monotonic()
+        seconds, self._last = now - self._last, now
+        before = (self.state.head or {}).get("facts") or {}
+        accepted = counts["impressions"] + counts["clicks"] - seen["rejected"]
+        flushes = accepted if self.flush_mode == PER_EVENT else seen["changed"]
+        added = {
+            "seq": 1,
+            "processed_events": counts["processed"],
+            "valid_events": accepted,
+            "impressions": counts["impressions"],
+            "clicks": counts["clicks"] - seen["rejected"],
+            "dead_letters": seen["letters"],
+            "redis_flushes": flushes,
+            "redis_updates_flushed": accepted,
+            "redis_updates_coalesced": accepted - flushes,
+            "elapsed_seconds": seconds,
+        }
+        total = {name: before.get(name, 0) + value for name, value in added.items()}
+        rate = total["processed_events"] / total["elapsed_seconds"] if total["elapsed_seconds"] > 0 else 0.0
+        return total | {
+            "subtask_index": 0,
+            "redis_flush_mode": self.flush_mode,
+            "events_per_second": rate,
+            "window_events": counts["processed"],
+            "window_seconds": seconds,
+            "window_events_per_second": counts["processed"] / seconds if seconds > 0 else 0.0,
+        }
+
+    def _batch(self, version: int) -> str:
+        return f"{self.folder}/batches/batch={version}"
+
+    def _read(self, kind: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+        """The rows of a kind that committed batches wrote, or one batch."""
+        chosen = F.col("batch") == version if version is not None else F.col("batch") < self.state.next_version()
+        rows = read_or_none(self.spark, f"{self.folder}/batches", T.StructType([*_OUTPUT.fields, *_WHERE.fields]))
+        if rows is None:
+            return local_rows(self.spark, [], schema)
+        return rows.filter((F.col("kind") == kind) & chosen).select(*schema.fieldNames())
 
     def dead_letters(self) -> DataFrame:
-        return self.spark.read.schema(DEAD_LETTER).parquet(f"{self.folder}/dead_letters")
+        return self._read(LETTER, DEAD_LETTER)
 
     def writes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/writes").drop("batch")
+        """Bucket rows in the order of batches: per accepted event with its columns, or per bucket and batch."""
+        if self.flush_mode == COALESCED:
+            return self._read(STATE, BUCKET)
+        events = [f for f in _OUTPUT.fields if f.name in _EVENT_COLUMNS]
+        return self._read(WRITE, T.StructType([*events, *BUCKET.fields]))
 
     def buckets(self) -> DataFrame:
         """The current bucket rows."""
@@ -187,29 +243,5 @@ class RealtimeCtr:
 
     def progress(self) -> DataFrame:
         """Cumulative progress records, one per micro-batch."""
-        rows = self.spark.read.schema(_BATCH_METRICS).parquet(f"{self.folder}/metrics")
-        # One row per micro-batch.
-        order = W.partitionBy("subtask_index").orderBy("version")
-        so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-        c = F.col
-        valid = c("impressions") + c("clicks")
-        return rows.withColumn("subtask_index", F.lit(0).cast("bigint")).select(
-            F.row_number().over(order).cast("bigint").alias("seq"),
-            "subtask_index",
-            F.sum("processed_events").over(so_far).alias("processed_events"),
-            F.sum(valid).over(so_far).alias("valid_events"),
-            F.sum("impressions").over(so_far).alias("impressions"),
-            F.sum("clicks").over(so_far).alias("clicks"),
-            F.sum("dead_letters").over(so_far).alias("dead_letters"),
-            "redis_flush_mode",
-            F.sum("redis_flushes").over(so_far).alias("redis_flushes"),
-            F.sum(valid).over(so_far).alias("redis_updates_flushed"),
-            F.sum(valid - c("redis_flushes")).over(so_far).alias("redis_updates_coalesced"),
-            F.sum("window_seconds").over(so_far).alias("elapsed_seconds"),
-            scalar.safe_ratio(
-                F.sum("processed_events").over(so_far), F.sum("window_seconds").over(so_far)
-            ).alias("events_per_second"),
-            c("processed_events").alias("window_events"),
-            "window_seconds",
-            scalar.safe_ratio("processed_events", "window_seconds").alias("window_events_per_second"),
-        )
+        records = [r for _, r in self._metrics.all()]
+        return local_rows(self.spark, [tuple(r[f] for f in _PROGRESS.fieldNames()) for r in records], _PROGRESS)

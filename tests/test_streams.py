@@ -116,17 +116,56 @@ def test_evidence_and_clock(spark, files):
     assert models.heads.count().collect()[0]["rows"] == 3
 
 
-def test_clock_fires_without_events(spark, files):
+def armed_clock(spark, files, **options):
     job = EvidenceStream(spark, shared_folder(spark, "ev"))
-    fired = []
-    clock = Recalibrator(job, None, Learning(baseline_max_ci_width=1.0))
-    clock.tick = lambda: fired.append(1)
-    query = clock.start("1 second", shared_folder(spark, "clock"))
+    models = ModelStore(spark, shared_folder(spark, "models"))
+    models.append(seed_model(spark))
+    config = dict(baseline_max_ci_width=1.0, max_feature_ci_width=1.0, min_feature_impressions=1) | options
+    return job, models, Recalibrator(job, models, Learning(**config))
+
+
+def test_clock_is_armed_by_the_first_valid_event(spark, files):
+    job, models, clock = armed_clock(spark, files)
+    assert clock.poll(10.0, 1e12) is None
+    job.process(spark.createDataFrame([("not an event",)], "value string"), "run", 0)
+    assert job.armed_at() is None and clock.poll(10.0, 1e12) is None
+    text = spark.read.text(os.path.join(files, "part-0.txt"))
+    job.process(text, "run", 1)
+    armed = job.armed_at()
+    job.process(text, "run", 1)  # a repeat counts once and does not arm again
+    job.process(spark.read.text(os.path.join(files, "part-1.txt")), "run", 2)
+    assert job.armed_at() == armed
+    assert clock.poll(10.0, armed + 9.9) is None and models.last_id() == 1
+    assert clock.poll(10.0, armed + 13.0)["accepted"] and models.last_id() == 2
+    assert clock.poll(10.0, armed + 22.9) is None  # the next one is due after the time that one fired
+    assert clock.poll(10.0, armed + 23.0)["snapshot_id"] == 3
+    assert EvidenceStream(spark, job.folder).armed_at() == armed
+
+
+def test_a_repeated_pass_learns_once(spark, files):
+    job, models, clock = armed_clock(spark, files)
+    job.process(spark.read.text(os.path.join(files, "part-0.txt")), "run", 0)
+    now = job.armed_at() + 5.0
+    first = clock.tick(datetime.fromtimestamp(now, timezone.utc), 1)  # the model is there, its record is not
+    assert first["snapshot_id"] == 2
+    assert clock.poll(5.0, now)["snapshot_id"] == 2 and models.last_id() == 2
+    assert clock.poll(5.0, now) is None
+    again = Recalibrator(job, models, clock.config)  # after a restart
+    assert again.poll(5.0, now + 4.9) is None and again.poll(5.0, now + 5.0)["snapshot_id"] == 3
+
+
+def test_clock_fires_without_new_events(spark, files):
+    job, models, clock = armed_clock(spark, files)
+    job.process(spark.read.text(os.path.join(files, "part-0.txt")), "run", 0)
+    query = clock.start(1.0, shared_folder(spark, "clock"))
     try:
-        query.awaitTermination(20 if not fired else 1)
+        for _ in range(60):
+            if models.last_id() >= 3:
+                break
+            query.awaitTermination(1)
     finally:
         query.stop()
-    assert fired
+    assert models.last_id() >= 3
 
 
 def test_snapshot_table_keeps_the_last_good_version(spark):
