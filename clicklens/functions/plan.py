@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,3 +28,19 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     names = schema.fieldNames()
     table = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(schema))
     return spark.createDataFrame(table, schema)
+
+
+def count_at_most(values: Column, key: Column) -> Column:
+    """How many values of a sorted array are at most ``key``, by halving."""
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        open_, below = state["low"] < state["high"], F.get(values, middle) <= key
+        return F.struct(
+            F.when(open_ & below, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(open_ & ~below, middle).otherwise(state["high"]).alias("high"),
+        )
+
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda d: d <= F.size(values))
+    first = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+    return F.aggregate(steps, first, halve, lambda state: state["low"])

@@ -5,10 +5,11 @@ with every click counted. The number of clicks rejected so far is ``max(0, -min(
 needs no sequential loop, only a running sum and a running minimum.
 
 A bucket may hold a third of all events, so its history is never one window group. Both running
-values combine over pieces: each (bucket, time slot) piece gets its own net change and lowest
-point, the pieces of a bucket are scanned in order (one small row per slot), and every event adds
-the result of the earlier slots to its position inside its own slot. Copies of one event are
-collapsed to a row with a count before anything is grouped by slot.
+values combine over pieces: each (bucket, time slot, range of rows) piece gets its own net change and
+lowest point, the pieces of a bucket are scanned in order (one small row per piece), and every event adds
+the result of the earlier pieces to its position inside its own. A slot with many events, also at one time, is
+cut at quantiles of the order of its rows, found in a sample. Copies of one event are collapsed to a row with a
+count before anything is grouped.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ from pyspark.sql import functions as F
 
 from clicklens import constants as K
 from clicklens.functions.payload import event_json
+from clicklens.functions.plan import count_at_most, evaluated_once
 from clicklens.operators.counts import is_click, is_impression
 from clicklens.operators.model import Model, with_priors
 from clicklens.operators.posterior import Trust, bucket_rows, with_posterior
 
 DEFAULT_SLOT_SECONDS = 60
 
+# Rows of a piece, about; a slot with fewer stays whole. Sampled rows between two cuts.
+PIECE_ROWS, DRAWS = 65_536, 16
+
 _EVENT = ["event_id", "event_type", *K.BUCKET_KEYS, "occurred_at", "impression_event_id"]
 _SLOT = [*K.BUCKET_KEYS, "slot"]
+_PIECE = [*_SLOT, "piece"]
 
 
 @dataclass(frozen=True)
@@ -36,7 +42,7 @@ class Admission:
     """Lazy frames of one admission pass.
 
     ``runs``: one row per distinct event with copies, accepted, rejected and the counts after it.
-    ``slots``: one row per bucket and slot. ``totals``: one row per bucket that has any state.
+    ``slots``: one row per bucket, slot and piece. ``totals``: one row per bucket that has any state.
     """
 
     runs: DataFrame
@@ -54,6 +60,33 @@ def _order() -> list[Column]:
     ]
 
 
+def _place() -> Column:
+    """The same order as one value."""
+    kind = F.when(is_impression(), 0).otherwise(1)
+    return F.struct("occurred_at", "event_id", kind.alias("kind"), "impression_event_id")
+
+
+def _with_pieces(slotted: DataFrame, piece_rows: int | None) -> DataFrame:
+    """Rows with the number of their piece in their slot; None leaves every slot whole.
+
+    One row in some is sampled by its hash, and every so many of a slot's sampled rows are a cut: most slots have
+    none. The cuts are few, so their join is left to the size check; the rows are then dealt by piece.
+    """
+    if piece_rows is None:
+        return slotted.withColumn("piece", F.lit(0))
+    rows = evaluated_once(slotted)  # the sample must not filter below, which would read the events again
+    sample = rows.filter(F.pmod(F.xxhash64(*_EVENT), F.lit(max(1, piece_rows // DRAWS))) == 0)
+    number = F.row_number().over(W.partitionBy(*_SLOT).orderBy(*_order()))
+    cuts = (
+        sample.select(*_SLOT, _place().alias("_cut"), number.alias("_number"))
+        .filter(F.col("_number") % DRAWS == 0)
+        .groupBy(*_SLOT)
+        .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
+    )
+    piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(count_at_most(F.col("_cuts"), _place()))
+    return rows.join(cuts, _SLOT, "left").withColumn("piece", piece).drop("_cuts").repartition(*_PIECE)
+
+
 def _rejected(low: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), -low)
 
@@ -68,12 +101,13 @@ def admit_clicks(
     start: DataFrame | None = None,
     slot_seconds: float = DEFAULT_SLOT_SECONDS,
     distinct_events: bool = False,
+    piece_rows: int | None = PIECE_ROWS,
 ) -> Admission:
     """Admit impressions and clicks on top of the counts in ``start`` (keys, impressions, clicks).
 
     ``distinct_events`` says that no event occurs twice and saves the shuffle that collapses
-    copies. ``slot_seconds`` bounds the piece of a bucket that one task sorts; it never changes
-    the result.
+    copies. ``slot_seconds`` and ``piece_rows`` bound the piece of a bucket that one task sorts; they never change
+    the result. Without ``piece_rows`` a slot is one piece, for inputs known to be small.
     """
     width = int(slot_seconds * 1_000_000)
     if width <= 0:
@@ -85,7 +119,7 @@ def admit_clicks(
     )
     sign = F.when(is_impression(), F.col("copies")).otherwise(-F.col("copies"))
     shown = F.when(is_impression(), F.col("copies")).otherwise(F.lit(0).cast("bigint"))
-    inside = W.partitionBy(*_SLOT).orderBy(*_order())
+    inside = W.partitionBy(*_PIECE).orderBy(*_order())
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
     micros = "unix_micros(occurred_at)"
@@ -96,14 +130,14 @@ def admit_clicks(
     # of its two readers only, and the shuffle could then not be shared between them.
     known = " AND ".join(f"{c} IS NOT NULL" for c in _SLOT)
     placed = (
-        slotted.filter(known)
+        _with_pieces(slotted.filter(known), piece_rows)
         .withColumn("_slack", F.sum(sign).over(so_far))
         .withColumn("_shown", F.sum(shown).over(so_far))
         .withColumn("_low", F.min("_slack").over(so_far))
         .withColumn("_low_before", F.min("_slack").over(before))
     )
 
-    slots = placed.groupBy(*_SLOT).agg(
+    slots = placed.groupBy(*_PIECE).agg(
         F.sum(sign).alias("net"),
         F.sum(shown).alias("shown"),
         F.min("_low").alias("low"),
@@ -118,8 +152,8 @@ def admit_clicks(
             *K.BUCKET_KEYS, F.col("impressions").alias("_imp0"), F.col("clicks").alias("_clk0")
         )
         opened = slots.join(counts, K.BUCKET_KEYS, "left").fillna(0, ["_imp0", "_clk0"])
-    # One row per slot: the window below is bounded by elapsed time, not by events.
-    ordered = W.partitionBy(*K.BUCKET_KEYS).orderBy("slot")
+    # One row per piece: the window below is bounded by elapsed time and by events over the rows of a piece.
+    ordered = W.partitionBy(*K.BUCKET_KEYS).orderBy("slot", "piece")
     earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     scanned = (
@@ -134,7 +168,7 @@ def admit_clicks(
     )
 
     joined = placed.join(
-        scanned.select(*_SLOT, "_slack0", "_shown0", "_low0"), _SLOT
+        scanned.select(*_PIECE, "_slack0", "_shown0", "_low0"), _PIECE
     )
     low = F.least(F.col("_low0"), F.col("_slack0") + F.col("_low"))
     low_before = F.least(F.col("_low0"), F.col("_slack0") + F.col("_low_before"))
@@ -147,6 +181,7 @@ def admit_clicks(
     admitted = detailed.select(
         *_EVENT,
         "slot",
+        "piece",
         "copies",
         (F.col("copies") - F.col("rejected")).alias("accepted"),
         "rejected",
@@ -272,18 +307,18 @@ def running_buckets(
         "event_id",
         "event_type",
         "occurred_at",
-        *_SLOT,
+        *_PIECE,
         F.col("impressions_after").alias("impressions"),
         F.col("clicks_after").alias("clicks"),
         F.col("accepted").alias("updates"),
     )
-    # Priors are looked up once per bucket and go to its slots. The events then join by bucket and
-    # slot, as they already lie after admission; by bucket alone a hot one would meet in one task.
+    # Priors are looked up once per bucket and go to its pieces. The events then join by piece, as they already lie
+    # after admission; by bucket alone a hot one would meet in one task.
     priors = new_buckets(admission, start, model, trust).select(
         *K.BUCKET_KEYS, "alpha_prior", "beta_prior"
     )
-    slots = admission.runs.select(*_SLOT).distinct().join(priors, K.BUCKET_KEYS)
-    return with_posterior(changed.join(slots, _SLOT).drop("slot"), trust)
+    pieces = admission.runs.select(*_PIECE).distinct().join(priors, K.BUCKET_KEYS)
+    return with_posterior(changed.join(pieces, _PIECE).drop("slot", "piece"), trust)
 
 
 def flush_accounting(

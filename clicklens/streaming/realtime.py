@@ -138,7 +138,9 @@ class RealtimeCtr:
                 # The stored rows of the batch's own buckets, which three steps look up.
                 before = before.join(events.select(*K.BUCKET_KEYS).distinct(), K.BUCKET_KEYS, "left_semi").persist()
                 kept.append(before)
-            admission = A.admit_clicks(events, before, self.slot_seconds)
+            # No slot of a small batch can be too large for a piece.
+            pieces = None if counts["processed"] <= A.PIECE_ROWS else A.PIECE_ROWS
+            admission = A.admit_clicks(events, before, self.slot_seconds, piece_rows=pieces)
             # One admission pass serves the dead letters, the writes and the new state.
             runs = admission.runs.persist()
             kept.append(runs)

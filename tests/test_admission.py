@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from clicklens.operators import admission as A
 from clicklens.operators.model import seed_model
@@ -113,3 +114,37 @@ def test_flush_accounting(spark):
     # Windows of 500 ms hold 50, 50 and 20 updates; 30 updates force a write.
     row = A.flush_accounting(done, 500, 30).collect()[0]
     assert (row["flushes"], row["updates_flushed"], row["updates_coalesced"]) == (5, 120, 115)
+
+
+def test_one_bucket_at_one_time_is_cut_into_pieces(spark):
+    rng = random.Random(12)
+    at = T0 + timedelta(seconds=5)
+    events = [
+        (f"h{i:05d}", rng.choice(["click", "click", "impression"]), "hot", "d", "c", at, rng.choice([None, "x"]))
+        for i in rng.sample(range(50_000), 3000)
+    ]
+    events += make_events(3, n=400)
+    _, rejected = sequential(events, {})
+    done = A.admit_clicks(spark.createDataFrame(events, EVENT), piece_rows=64)
+    runs = done.runs.collect()
+    assert {r["event_id"]: r["rejected"] for r in runs if r["rejected"]} == rejected
+    sizes = {}
+    for r in runs:
+        sizes[r["piece"]] = sizes.get(r["piece"], 0) + (r["occurred_at"] == at.replace(tzinfo=None))
+    assert len([n for n in sizes.values() if n]) > 10 and max(sizes.values()) < 1000
+
+
+def test_a_burst_of_one_bucket_is_more_than_one_task(spark):
+    keys = {"ad_category": "a", "publisher_domain": "d", "conversation_category": "c"}
+    burst = spark.range(200_000).select(
+        F.concat(F.lit("e"), "id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, "impression").otherwise("click").alias("event_type"),
+        *[F.lit(v).alias(k) for k, v in keys.items()],
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 50).alias("occurred_at"),
+        F.lit(None).cast("string").alias("impression_event_id"),
+    )
+    runs = A.admit_clicks(burst, distinct_events=True).runs
+    sizes = [r["count"] for r in runs.groupBy("slot", "piece").count().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) > 1 and max(sizes) < 160_000
+    # Every third event shows, each shows allows one of the two clicks after it.
+    assert runs.agg(F.sum("rejected")).first()[0] == 200_000 - 2 * len(range(0, 200_000, 3))
