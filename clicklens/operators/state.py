@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,24 +148,28 @@ def persist_result(counts: DataFrame, dry_run: bool) -> DataFrame:
 def seed_buckets(weights: DataFrame, head: Head, trust: Trust = Trust()) -> DataFrame:
     """Deterministic starting buckets for every combination of the feature values.
 
-    ``weights`` has (family, position, feature, weight). A combination is a row per definition; it
-    is generated from three small arrays, which must stay small: a seed set is configuration.
+    ``weights`` has (family, position, feature, weight). Every combination has a number, whose digits in the mixed
+    radix of the family sizes are the places of its three values: the numbers are a range, spread over all tasks,
+    and meet the values by three equal joins. Only the three sizes reach the driver.
     """
-    rows = weights.agg(
-        *[
-            F.array_sort(
-                F.collect_list(
-                    F.when(F.col("family") == f, F.struct("position", "feature", "weight"))
-                )
-            ).alias(f)
-            for f in K.FAMILY_COLUMNS
-        ]
-    )
-    grid = (
-        rows.select(F.explode("ad").alias("a"), "domain", "context")
-        .select("a", F.explode("domain").alias("d"), "context")
-        .select("a", "d", F.explode("context").alias("x"))
+    sizes = {r["family"]: r["count"] for r in weights.groupBy("family").count().collect()}
+    n = {f: sizes.get(f, 0) for f in K.FAMILY_COLUMNS}
+    number = F.col("id")
+    digits = {
+        "ad": F.call_function("div", number, F.lit(max(1, n["domain"] * n["context"]))),
+        "domain": F.call_function("div", number, F.lit(max(1, n["context"]))) % max(1, n["domain"]),
+        "context": number % max(1, n["context"]),
+    }
+    grid = weights.sparkSession.range(n["ad"] * n["domain"] * n["context"]).select(
+        *[digit.alias(f"_{f}") for f, digit in digits.items()]
     )
+    # A family's values are numbered within the family: a few rows of configuration.
+    place = F.row_number().over(W.partitionBy("family").orderBy("position", "feature")) - 1
+    placed = weights.withColumn("_place", place.cast("bigint"))
+    for f, name in (("ad", "a"), ("domain", "d"), ("context", "x")):
+        value = F.struct("position", "feature", "weight").alias(name)
+        values = placed.filter(F.col("family") == f).select(F.col("_place").alias(f"_{f}"), value)
+        grid = grid.join(values, f"_{f}")
     i, j, k = (F.col(f"{n}.position").cast("bigint") for n in ("a", "d", "x"))
     strength = F.lit(float(head.triplet_strength))
     # Fixed values of the seed formula: base and steps of the impressions, cycle of the clicks.

@@ -152,3 +152,12 @@ def test_caret_outside_brackets_is_a_character(spark):
     store = spark.createDataFrame([("a^b",), ("axb",), ("ayb",)], "key string")
     assert [r[0] for r in S.inspect_keys(store, "a^b").collect()] == ["a^b"]
     assert [r[0] for r in S.inspect_keys(store, "a[^x]b").collect()] == ["a^b", "ayb"]
+
+
+def test_the_seed_grid_is_spread_over_tasks(spark):
+    weights = S.fixed_seed_weights(spark)
+    plan = S.seed_buckets(weights, seed_model(spark).head)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Range (0, 100" in plan
+    one = weights.filter("family <> 'domain' OR position = 3")  # places are those of the values that are there
+    assert S.seed_buckets(one, seed_model(spark).head).count() == 25
+    assert S.seed_buckets(weights.filter("family <> 'ad'"), seed_model(spark).head).count() == 0
