@@ -63,11 +63,12 @@ def test_odd_rows_pass_every_stage(spark, odd_documents, no_documents, corpus):
             result = stage(spark, docs, folder)
             if name != "sentencepiece":
                 assert result.schema.fieldNames() == docs.schema.fieldNames()
-            assert result.count() <= most
+            least = most if name in ("benchmark_decontamination", "secret_scan", "sentencepiece") else min(most, 1)
+            assert least <= result.count() <= most
 
 
 def test_registry_names_each_operator_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
     assert set(ORACLES) <= set(REGISTRY)
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality_classifier"
 
