@@ -218,6 +218,23 @@ def bucket_summary(buckets: DataFrame) -> DataFrame:
     ).withColumn("observed_ctr", scalar.safe_ratio("total_clicks", "total_impressions"))
 
 
+def seed_run(buckets: DataFrame, head: Head, name: str) -> DataFrame:
+    """The summary of a seed run as the one row that its table takes: settings, totals, no artifact."""
+    strengths = [F.lit(x) for f, v in sorted(head.family_strengths.items()) for x in (f, float(v))]
+    config = F.struct(
+        F.lit(float(head.baseline_ctr)).alias("baseline_prior_mean"),
+        F.lit(float(head.triplet_strength)).alias("triplet_prior_strength"),
+        F.lit(float(head.global_strength)).alias("global_prior_strength"),
+        F.create_map(*strengths).alias("family_prior_strengths"),
+    )
+    return bucket_summary(buckets).select(
+        F.lit(name).alias("experiment_name"),
+        config.alias("config"),
+        F.struct("*").alias("metrics"),
+        F.lit(None).cast("string").alias("artifact_uri"),
+    )
+
+
 def runtime_snapshot(
     decoded: DataFrame,
     model_snapshot: DataFrame | None,

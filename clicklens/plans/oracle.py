@@ -482,6 +482,10 @@ def oracle_queries() -> dict[str, str]:
   count(*) FILTER (event_type = 'click') AS clicks FROM ev GROUP BY ALL)"""
     sql["triplet_counts"] = f"WITH {EV}, {counts} SELECT * FROM cnt"
     sql["stream_triplet_counts"] = f"""WITH {EV}, {counts} SELECT *, (SELECT count(*) FROM log
+  WHERE event_type NOT IN ('impression', 'click')) AS invalid_events FROM cnt"""
+    late = f"SELECT * FROM log WHERE occurred_at >= TIMESTAMP '{B.EVENT_SPLIT}'"
+    sql["stream_latest"] = f"""WITH {LOG}, late AS ({late}),
+ev AS (SELECT * FROM late WHERE event_type IN ('impression', 'click')), {counts} SELECT *, (SELECT count(*) FROM late
   WHERE event_type NOT IN ('impression', 'click')) AS invalid_events FROM cnt"""
     sql["event_route"] = f"""WITH {EV}, msg AS (SELECT
   CASE WHEN event_type = 'impression' THEN '{K.IMPRESSION_TOPIC}' ELSE '{K.CLICK_TOPIC}' END AS topic,
@@ -578,6 +582,12 @@ g3 AS (SELECT *, greatest(0, least(impressions,
     sql["seed_summary"] = f"""WITH {seeds} SELECT count(*) AS bucket_count,
   count(*) FILTER (trusted) AS trusted_bucket_count, CAST(sum(impressions) AS BIGINT) AS total_impressions,
   CAST(sum(clicks) AS BIGINT) AS total_clicks, {r(ratio('sum(clicks)', 'sum(impressions)'), 'observed_ctr')} FROM bk"""
+    whole = f"""count(*) AS bucket_count, count(*) FILTER (trusted) AS trusted_bucket_count,
+  CAST(sum(impressions) AS BIGINT) AS total_impressions, CAST(sum(clicks) AS BIGINT) AS total_clicks,
+  {r(ratio('sum(clicks)', 'sum(impressions)'), 'observed_ctr')}"""
+    base = f"{r(d(B.star_head().baseline_ctr), 'baseline_prior_mean')}"
+    sql["seed_run_append"] = f"""WITH {seeds} SELECT 1 AS id, 'all' AS experiment_name, {base}, {whole} FROM bk
+UNION ALL SELECT 2, 'first', {base}, {whole} FROM bk WHERE ad_category = (SELECT min(ad_category) FROM bk)"""
     sql["bucket_validate"] = f"WITH {STORE} SELECT key, valid FROM store"
     sql["bucket_scan"] = f"WITH {STORE} SELECT {BUCKET_OUT} FROM store WHERE valid"
     sql["bucket_lookup"] = f"""WITH {STAR_BUCKETS} SELECT {BUCKET_OUT} FROM bk

@@ -27,7 +27,7 @@ from clicklens.operators.posterior import bucket_rows
 from clicklens.operators.ranks import average_ranks, rank_correlation
 from clicklens.plans import frames as B
 from clicklens.plans.frames import rounded
-from clicklens.schemas import BUCKET, EXPERIMENT_RESULT
+from clicklens.schemas import BUCKET, EXPERIMENT_RESULT, SEED_RUN
 from clicklens.session import configure, shared_folder
 from clicklens.sources import adapters as X
 from clicklens.sources import events as E
@@ -461,6 +461,18 @@ def experiment_append(spark, folder):
     )
 
 
+@query
+def seed_run_append(spark, folder):
+    """Summaries of seed runs in their table: all seeded buckets, then those of the first ad category."""
+    weights, head = B.star_weights(spark, folder), B.star_head()
+    buckets = staged(S.seed_buckets(weights, head), "seed-run")
+    table = AppendTable(spark, shared_folder(spark, "seed-runs"), SEED_RUN)
+    table.append(S.seed_run(buckets, head, "all"))
+    first = buckets.agg(F.min("ad_category")).scalar()
+    table.append(S.seed_run(buckets.filter(F.col("ad_category") == first), head, "first"))
+    return rounded(table.read().select("id", "experiment_name", "config.baseline_prior_mean", "metrics.*"))
+
+
 @query
 def duplicate_keys(spark, folder):
     orders = X.table(spark, folder, "orders").select("o_custkey", "o_orderpriority")
@@ -783,6 +795,19 @@ def stream_triplet_counts(spark, folder):
     return counts.withColumn("invalid_events", invalid.scalar())
 
 
+@query
+def stream_latest(spark, folder):
+    """The first half of the log lies there when the stream starts at the latest event; the second arrives after."""
+    log, at = X.event_log(spark, folder), F.col("occurred_at")
+    cut = F.lit(B.EVENT_SPLIT).cast("timestamp")
+    topic, job = shared_folder(spark, "topic"), EvidenceStream(spark, shared_folder(spark, "latest"))
+    for part in (log.filter(at < cut), log.filter(at >= cut)):
+        files = X.write_topic(spark, part, topic, 2)
+        job.start(E.text_event_stream(spark, topic, files), starting="latest").awaitTermination()
+    counts, invalid = job.counts()
+    return counts.withColumn("invalid_events", invalid.scalar())
+
+
 @query
 def stream_recalibrate(spark, folder):
     """Two clock ticks on the evidence of the stream: the second learns from the first."""

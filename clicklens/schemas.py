@@ -171,3 +171,28 @@ EXPERIMENT_RESULT = _struct(
         ),
     ),
 )
+
+# Summary of a seed run, as one appended row.
+SEED_RUN = _struct(
+    ("experiment_name", _S),
+    (
+        "config",
+        _struct(
+            ("baseline_prior_mean", _D),
+            ("triplet_prior_strength", _D),
+            ("global_prior_strength", _D),
+            ("family_prior_strengths", T.MapType(_S, _D)),
+        ),
+    ),
+    (
+        "metrics",
+        _struct(
+            ("bucket_count", _L),
+            ("trusted_bucket_count", _L),
+            ("total_impressions", _L),
+            ("total_clicks", _L),
+            ("observed_ctr", _D),
+        ),
+    ),
+    ("artifact_uri", _S),
+)

@@ -66,3 +66,36 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right below a folder; none if it is missing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def rename_if_free(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a file or folder a name that nothing has yet; False if the name is taken.
+
+    Two callers of one name are told apart as far as the file system's rename does.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    source, target = hadoop.Path(source), hadoop.Path(target)
+    files = target.getFileSystem(conf)
+    context = hadoop.FileContext.getFileContext(files.getUri(), conf)
+    options = spark._jvm.java.lang.reflect.Array.newInstance(
+        spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0
+    )
+    try:
+        context.rename(files.makeQualified(source), files.makeQualified(target), options)
+        return True
+    except Exception:
+        if not files.exists(target):
+            raise
+        return False

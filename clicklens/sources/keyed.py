@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clicklens.session import remove
+from clicklens.session import remove, rename_if_free
 
 
 class Commits:
@@ -51,23 +51,16 @@ class Commits:
 
     def put(self, number: int, record: dict) -> bool:
         """Whether the record is now the one of its number; False if another was there before."""
-        aside, target = self._at(f".{uuid.uuid4().hex}"), self._at(f"{number}.json")
-        files = target.getFileSystem(self._conf)
+        name = f".{uuid.uuid4().hex}"
+        aside = self._at(name)
+        files = aside.getFileSystem(self._conf)
         stream = files.create(aside, True)
         stream.write(bytearray(json.dumps(record).encode()))
         stream.close()
-        context = self._hadoop.FileContext.getFileContext(aside.getFileSystem(self._conf).getUri(), self._conf)
-        options = self.spark._jvm.java.lang.reflect.Array.newInstance(
-            self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0
-        )
-        try:
-            context.rename(files.makeQualified(aside), files.makeQualified(target), options)
+        if rename_if_free(self.spark, f"{self.path}/{name}", f"{self.path}/{number}.json"):
             return True
-        except Exception:
-            if not files.exists(target):
-                raise
-            files.delete(aside, False)
-            return False
+        files.delete(aside, False)
+        return False
 
     def drop(self, number: int) -> None:
         remove(self.spark, f"{self.path}/{number}.json")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from clicklens.functions.plan import local_rows
 from clicklens.operators.model import Head, Model
 from clicklens.schemas import WEIGHTS
-from clicklens.session import remove, shared_folder
+from clicklens.session import exists, names, remove, rename_if_free, shared_folder
 
 
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -112,7 +112,12 @@ class SnapshotTable:
 
 
 class AppendTable:
-    """Rows with increasing ids, appended by a single writer."""
+    """Rows with increasing ids, appended by any number of writers.
+
+    A row is written aside and its folder then renamed to the first id that nobody has: writers who meet at one id
+    get two, and neither row is lost. A row that was never renamed is not seen. The ids are a partition column, so
+    looking up one id reads one file.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -120,28 +125,38 @@ class AppendTable:
 
     def read(self) -> DataFrame:
         rows = read_or_none(self.spark, self.path, self.schema)
-        return local_rows(self.spark, [], self.schema) if rows is None else rows
+        return local_rows(self.spark, [], self.schema) if rows is None else rows.select(*self.schema.fieldNames())
 
     def next_id(self) -> int:
-        return self.read().agg(F.coalesce(F.max("id"), F.lit(0)) + 1).collect()[0][0]
+        """The id after the greatest one; another writer may take it first."""
+        found = [n[3:] for n in names(self.spark, self.path) if n.startswith("id=")]
+        return max((int(n) for n in found if n.isdigit()), default=0) + 1
 
     def append(self, row: DataFrame) -> int:
         """Append one row and return its id."""
+        own = f"_{uuid.uuid4().hex}"
+        waits = f"{self.path}/{own}"
+        row.select(*self.schema.fieldNames()[1:]).write.parquet(waits)
         new_id = self.next_id()
-        row.withColumn("id", F.lit(new_id).cast("bigint")).select(
-            *self.schema.fieldNames()
-        ).write.mode("append").parquet(self.path)
-        return new_id
+        while True:
+            target = f"{self.path}/id={new_id}"
+            if rename_if_free(self.spark, waits, target):
+                # Where a rename onto a folder that appeared meanwhile moves into it, the row is there, unseen.
+                if not exists(self.spark, f"{target}/{own}"):
+                    return new_id
+                waits = f"{target}/{own}"
+            new_id += 1
 
     def count(self) -> DataFrame:
         return self.read().agg(F.count("*").alias("rows"))
 
 
 class ModelStore:
-    """Model history: an append table of heads, and the weights of each id as its own partition.
+    """Model history: an append table of heads, and the weights of each as a folder that its head names.
 
     The weights stay a distributed table however many features there are. The head is written
     last, so a model is visible only when it is complete. The current model is the newest head.
+    Several writers may append: each writes weights of its own before its head gets an id.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -157,16 +172,15 @@ class ModelStore:
             T.StructField("weight_update", T.StringType()),
             # Number of the clock's pass that made the model, if one did.
             T.StructField("tick", T.LongType()),
+            # Name of the folder with its weights.
+            T.StructField("weights", T.StringType()),
         ]
         self.heads = AppendTable(spark, f"{self.path}/heads", T.StructType(fields))
 
     def append(self, model: Model, run_metrics: DataFrame | None = None, tick: int | None = None) -> int:
         """Append a model with the optional one-row metrics of its run; returns the id."""
-        new_id = self.heads.next_id()
-        model.weights.select(*WEIGHTS.fieldNames()).write.mode("overwrite").parquet(
-            f"{self.path}/weights/id={new_id}"
-        )
-        h = model.head
+        h, folder = model.head, uuid.uuid4().hex
+        model.weights.select(*WEIGHTS.fieldNames()).write.parquet(f"{self.path}/weights/{folder}")
         head = self.spark.range(1).select(
             F.lit(h.snapshot_name).alias("snapshot_name"),
             F.lit(float(h.w0)).alias("w0"),
@@ -182,6 +196,7 @@ class ModelStore:
                 else run_metrics.select(F.to_json(F.struct("*"))).scalar()
             ).alias("weight_update"),
             F.lit(tick).cast("bigint").alias("tick"),
+            F.lit(folder).alias("weights"),
         )
         return self.heads.append(head)
 
@@ -191,15 +206,23 @@ class ModelStore:
     def last_id(self) -> int:
         return self.heads.next_id() - 1
 
+    def _head(self, model_id: int) -> Row | None:
+        return self.heads.read().filter(F.col("id") == model_id).first()
+
+    def _weights(self, head: Row) -> DataFrame:
+        return self.spark.read.schema(WEIGHTS).parquet(f"{self.path}/weights/{head['weights']}")
+
     def weights(self, model_id: int) -> DataFrame:
-        return self.spark.read.schema(WEIGHTS).parquet(f"{self.path}/weights/id={model_id}")
+        head = self._head(model_id)
+        if head is None:
+            raise ValueError(f"there is no model {model_id}")
+        return self._weights(head)
 
     def current(self) -> Model:
         """The newest model; an error if there is none."""
-        rows = self.heads.read().orderBy(F.col("id").desc()).limit(1).collect()
-        if not rows:
+        r = self._head(self.last_id())
+        if r is None:
             raise ValueError("current model is missing")
-        r = rows[0]
         head = Head(
             r["snapshot_name"],
             r["w0"],
@@ -208,7 +231,7 @@ class ModelStore:
             r["triplet_strength"],
             dict(r["family_strengths"]),
         )
-        return Model(head, self.weights(r["id"]))
+        return Model(head, self._weights(r))
 
 
 def write_kafka(messages: DataFrame, servers: str, topic: str | None = None) -> None:

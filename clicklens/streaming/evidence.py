@@ -18,6 +18,7 @@ from clicklens.operators.model import Head, Model
 from clicklens.sources.events import parse_events
 from clicklens.sources.keyed import Commits, KeyedLog
 from clicklens.sources.tables import ModelStore
+from clicklens.streaming.begin import EARLIEST, begin_at
 from clicklens.streaming.realtime import run_of
 
 COUNTS = T.StructType(
@@ -54,10 +55,15 @@ class EvidenceStream:
         self.table = KeyedLog(spark, f"{self.folder}/counts", COUNTS, K.BUCKET_KEYS, sums=counts, parts=parts)
 
     def start(
-        self, text: DataFrame, processing_time: str | None = None, checkpoint: str | None = None
+        self,
+        text: DataFrame,
+        processing_time: str | None = None,
+        checkpoint: str | None = None,
+        starting: str = EARLIEST,
     ) -> StreamingQuery:
         trigger = {"availableNow": True} if processing_time is None else {"processingTime": processing_time}
         checkpoint, run = checkpoint or f"{self.folder}/checkpoint", None
+        begin_at(text, checkpoint, starting)
 
         def process(batch: DataFrame, batch_id: int) -> None:
             nonlocal run

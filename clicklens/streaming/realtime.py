@@ -30,6 +30,7 @@ from clicklens.schemas import BUCKET, DEAD_LETTER, PROCESSOR_RECORD
 from clicklens.sources.events import invalid_events, parse_events, valid_events
 from clicklens.sources.keyed import Commits, KeyedLog
 from clicklens.sources.tables import read_or_none
+from clicklens.streaming.begin import EARLIEST, begin_at
 
 PER_EVENT, COALESCED = "per_event", "periodic"
 
@@ -96,10 +97,12 @@ class RealtimeCtr:
         text: DataFrame,
         processing_time: str | None = None,
         checkpoint: str | None = None,
+        starting: str = EARLIEST,
     ) -> StreamingQuery:
         """Start on a stream with a ``value`` column. Without a processing time the available
-        backlog is drained and the query ends."""
+        backlog is drained and the query ends. ``starting`` is ``earliest`` or ``latest``, see ``begin_at``."""
         checkpoint, run = checkpoint or f"{self.folder}/checkpoint", None
+        begin_at(text, checkpoint, starting)
 
         def process(batch: DataFrame, batch_id: int) -> None:
             nonlocal run

@@ -11,7 +11,7 @@ from clicklens.operators.model import seed_model
 from clicklens.schemas import BUCKET
 from clicklens.session import shared_folder
 from clicklens.sources import adapters as X
-from clicklens.sources.events import text_event_stream
+from clicklens.sources.events import parse_events, text_event_stream, valid_events
 from clicklens.sources.tables import AppendTable, ModelStore, SnapshotTable
 from clicklens.streaming.evidence import EvidenceStream, Recalibrator
 from clicklens.streaming.realtime import PER_EVENT, RealtimeCtr
@@ -236,3 +236,103 @@ def test_append_table_ids(spark):
 def test_missing_model(spark):
     with pytest.raises(ValueError, match="missing"):
         ModelStore(spark, shared_folder(spark, "none")).current()
+
+
+def test_writers_at_once_get_ids_of_their_own(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = shared_folder(spark, "writers")
+    tables = [AppendTable(spark, path, BUCKET) for _ in range(4)]
+
+    def append(number: int) -> int:
+        row = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in BUCKET.fields])
+        return tables[number % 4].append(row.withColumn("impressions", F.lit(number).cast("bigint")))
+
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(append, range(12)))
+    assert sorted(ids) == list(range(1, 13))
+    found = {r["id"]: r["impressions"] for r in tables[0].read().collect()}
+    assert found == {new_id: number for number, new_id in enumerate(ids)}
+
+
+def test_an_id_that_another_writer_took_is_passed(spark, monkeypatch):
+    path = shared_folder(spark, "taken")
+    early, late = AppendTable(spark, path, BUCKET), AppendTable(spark, path, BUCKET)
+    row = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in BUCKET.fields])
+    assert late.append(row) == 1
+    monkeypatch.setattr(early, "next_id", lambda: 1)  # as read before the other one wrote
+    assert early.append(row) == 2 and early.read().count() == 2
+
+
+def test_models_of_two_writers_keep_their_weights(spark):
+    path = shared_folder(spark, "two-models")
+    one, two = ModelStore(spark, path), ModelStore(spark, path)
+    first, second = seed_model(spark), seed_model(spark)
+    second = type(first)(second.head, second.weights.withColumn("weight", F.lit(0.25)), second.features)
+    assert [one.append(first), two.append(second), one.append(first)] == [1, 2, 3]
+    assert same(one.weights(1), first.weights) and same(one.weights(2), second.weights)
+    assert same(two.current().weights, first.weights)
+    with pytest.raises(ValueError, match="no model"):
+        one.weights(9)
+
+
+def arrive(files, topic, numbers):
+    for i in numbers:
+        shutil.copy2(os.path.join(files, f"part-{i}.txt"), topic)
+
+
+def counted(job):
+    found = job.counts()
+    return 0 if found is None else found[0].agg(F.sum("impressions") + F.sum("clicks")).first()[0] or 0
+
+
+def valid_rows_of(spark, files, numbers):
+    return valid_events(parse_events(spark.read.text([os.path.join(files, f"part-{i}.txt") for i in numbers])))
+
+
+def valid_rows(spark, files, numbers):
+    return valid_rows_of(spark, files, numbers).count()
+
+
+def test_latest_skips_the_backlog_once(spark, files, tmp_path):
+    topic = tmp_path / "topic"
+    topic.mkdir()
+    arrive(files, topic, (0, 1))
+    job = EvidenceStream(spark, shared_folder(spark, "latest"))
+    text = text_event_stream(spark, str(topic), 1)
+    job.start(text, starting="latest").awaitTermination()
+    assert counted(job) == 0
+    arrive(files, topic, (2,))
+    job.start(text, starting="latest").awaitTermination()
+    assert counted(job) == valid_rows(spark, files, (2,))
+    arrive(files, topic, (3,))  # a backlog of a checkpoint that is there is never skipped
+    job.start(text, starting="earliest").awaitTermination()
+    assert counted(job) == valid_rows(spark, files, (2, 3))
+
+
+def test_earliest_then_latest_goes_on_from_the_checkpoint(spark, files, tmp_path):
+    topic = tmp_path / "topic"
+    topic.mkdir()
+    arrive(files, topic, (0,))
+    job = RealtimeCtr(spark, shared_folder(spark, "earliest"), seed_model(spark))
+    text = text_event_stream(spark, str(topic), 1)
+    job.start(text).awaitTermination()
+    arrive(files, topic, (1,))
+    job.start(text, starting="latest").awaitTermination()
+    done = A.admit_clicks(valid_rows_of(spark, files, (0, 1)))
+    assert same(job.buckets(), A.new_buckets(done, None, seed_model(spark)))
+
+
+def test_a_skip_cut_short_is_made_again(spark, files, tmp_path):
+    from clicklens.sources.keyed import Commits
+
+    topic = tmp_path / "topic"
+    topic.mkdir()
+    arrive(files, topic, (0,))
+    job = EvidenceStream(spark, shared_folder(spark, "cut-short"))
+    Commits(spark, f"{job.folder}/checkpoint/begin").put(0, {"starting": "latest"})
+    text = text_event_stream(spark, str(topic), 1)
+    job.start(text, starting="earliest").awaitTermination()  # the choice is kept
+    assert counted(job) == 0
+    with pytest.raises(ValueError, match="starting"):
+        job.start(text, starting="newest")
