@@ -321,6 +321,84 @@ def running_buckets(
     return with_posterior(changed.join(pieces, _PIECE).drop("slot", "piece"), trust)
 
 
+def timed_writes(
+    admission: Admission,
+    start: DataFrame | None,
+    model: Model,
+    trust: Trust = Trust(),
+    interval_ms: int = K.FLUSH_INTERVAL_MS,
+    max_updates: int = K.FLUSH_MAX_UPDATES,
+) -> tuple[DataFrame, DataFrame]:
+    """The writes of coalesced updates, and the interval that each changed bucket leaves open.
+
+    Accepted updates of a bucket are numbered by its counts after them, so no window over a bucket is needed: an
+    interval begins at the least number in it. A bucket is written at every ``max_updates`` of an interval and, with
+    the rest, when a later interval begins. The last interval stays open, as (``flush_window``, ``flush_since``, the
+    number it began at); ``start`` holds those of the batch before, which go on or are written as they were stored.
+    A row carries ``updates`` and stands for ``flushes`` writes (copies of one event share a row). Over a log in order
+    of time the writes are those that ``flush_accounting`` counts, however it is cut into batches.
+    """
+    micros = interval_ms * 1000
+    changed = admission.runs.filter("accepted > 0").select(
+        *_PIECE,
+        F.expr(f"unix_micros(occurred_at) div {micros}").alias("_window"),
+        "impressions_after",
+        "clicks_after",
+        (F.col("impressions_after") + F.col("clicks_after")).alias("_after"),
+        (F.col("impressions_after") + F.col("clicks_after") - F.col("accepted")).alias("_before"),
+    )
+    # An interval may lie in several pieces: its bounds are combined and go back to them, as do the facts of a bucket.
+    inside = changed.groupBy(*_PIECE, "_window").agg(F.min("_before").alias("_from"), F.max("_after").alias("_to"))
+    interval = [*K.BUCKET_KEYS, "_window"]
+    whole = inside.groupBy(*interval).agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    windows = inside.drop("_from", "_to").join(whole, interval)
+    buckets = new_buckets(admission, start, model, trust).select(
+        *K.BUCKET_KEYS, "alpha_prior", "beta_prior", (F.col("impressions") + F.col("clicks")).alias("_last")
+    )
+    none = F.lit(None).cast("bigint")
+    stored = ["_imp0", "_clk0", "_window0", "_since0"]
+    if start is None:
+        buckets = buckets.withColumns({c: none for c in stored})
+    else:
+        old = start.select(*K.BUCKET_KEYS, *[
+            F.col(c).alias(n) for c, n in zip(["impressions", "clicks", "flush_window", "flush_since"], stored)
+        ])
+        buckets = buckets.join(old, K.BUCKET_KEYS, "left")
+    pieces = admission.runs.select(*_PIECE).distinct().join(buckets, K.BUCKET_KEYS)
+    c = F.col
+    stood = F.coalesce(c("_imp0") + c("_clk0"), F.lit(0).cast("bigint"))
+    goes_on = F.coalesce((c("_window") == c("_window0")) & (c("_from") == stood), F.lit(False))
+    rows = (
+        changed.join(pieces, _PIECE)
+        .join(windows, [*_PIECE, "_window"])
+        .withColumn("_since", F.when(goes_on, c("_since0")).otherwise(c("_from")))
+        .withColumn("_full", F.expr(f"(_after - _since) div {max_updates} - (_before - _since) div {max_updates}"))
+        .withColumn("_rest", F.when((c("_after") == c("_to")) & (c("_to") < c("_last")),
+                                    F.expr(f"(_after - _since) % {max_updates}")).otherwise(0))
+        # The first update of the batch writes the interval that was open, unless it goes on in it.
+        .withColumn("_due", F.when((c("_before") == stood) & ~goes_on, (stood - c("_since0")) % max_updates))
+    )
+    due = F.struct(
+        c("_imp0").alias("impressions"),
+        c("_clk0").alias("clicks"),
+        F.coalesce("_due", F.lit(0)).cast("bigint").alias("updates"),
+        F.when(c("_due") > 0, 1).otherwise(0).cast("bigint").alias("flushes"),
+    )
+    own = F.struct(
+        c("impressions_after").alias("impressions"),
+        c("clicks_after").alias("clicks"),
+        (c("_full") * max_updates + c("_rest")).cast("bigint").alias("updates"),
+        (c("_full") + F.when(c("_rest") > 0, 1).otherwise(0)).cast("bigint").alias("flushes"),
+    )
+    writes = rows.select(
+        *K.BUCKET_KEYS, "alpha_prior", "beta_prior", F.inline(F.filter(F.array(due, own), lambda w: w["flushes"] > 0))
+    )
+    left_open = rows.filter("_after = _last").select(
+        *K.BUCKET_KEYS, c("_window").alias("flush_window"), c("_since").alias("flush_since")
+    )
+    return with_posterior(writes, trust), left_open
+
+
 def flush_accounting(
     admission: Admission,
     interval_ms: int = K.FLUSH_INTERVAL_MS,

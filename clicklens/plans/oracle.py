@@ -512,6 +512,7 @@ SELECT '{{"reason":"' || reason || '","event":' || event || '}}' AS value FROM l
   FROM adm WHERE rejected = 0 GROUP BY ALL)
 SELECT {KEYS}, CAST(sum((updates + 2) // 3) AS BIGINT) AS flushes, CAST(sum(updates) AS BIGINT) AS updates_flushed,
   CAST(sum(updates - (updates + 2) // 3) AS BIGINT) AS updates_coalesced FROM per GROUP BY ALL"""
+    sql["stream_timed_writes"] = sql["flush_accounting"]
     state = f"WITH {_seed_state()} "
     sql["state_bootstrap"] = state + f"SELECT {BUCKET_OUT} FROM bk"
     sql["stream_ctr_update"] = sql["stream_restart"] = sql["state_bootstrap"]

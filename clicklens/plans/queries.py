@@ -34,7 +34,7 @@ from clicklens.sources import events as E
 from clicklens.sources import logs
 from clicklens.sources.tables import AppendTable, ModelStore, SnapshotTable, staged
 from clicklens.streaming.evidence import EvidenceStream, Recalibrator
-from clicklens.streaming.realtime import PER_EVENT, RealtimeCtr
+from clicklens.streaming.realtime import PER_EVENT, TIMED, RealtimeCtr
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -780,6 +780,19 @@ def state_sink_coalesced(spark, folder):
     )
 
 
+@query
+def stream_timed_writes(spark, folder):
+    """The stream's own writes, cut by interval and number of updates over four micro-batches."""
+    job = _realtime(spark, folder, flush_mode=TIMED, interval_ms=86_400_000, max_updates=3)
+    job.flush()
+    carried = F.sum("updates")
+    return job.writes().groupBy(*K.BUCKET_KEYS).agg(
+        F.sum("flushes").alias("flushes"),
+        carried.alias("updates_flushed"),
+        (carried - F.sum("flushes")).alias("updates_coalesced"),
+    )
+
+
 @query
 def stream_metrics(spark, folder):
     progress = _realtime(spark, folder).progress()

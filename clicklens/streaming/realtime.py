@@ -14,6 +14,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,12 @@ from clicklens.sources.keyed import Commits, KeyedLog
 from clicklens.sources.tables import read_or_none
 from clicklens.streaming.begin import EARLIEST, begin_at
 
-PER_EVENT, COALESCED = "per_event", "periodic"
+# A write per event; per changed bucket and micro-batch; per bucket and interval or number of updates.
+PER_EVENT, COALESCED, TIMED = "per_event", "periodic", "timed"
 
 # What a micro-batch writes, told apart by ``kind``: dead letters, bucket rows that changed, a row per event.
 LETTER, STATE, WRITE = "letter", "state", "write"
+_OPEN = [T.StructField("flush_window", T.LongType()), T.StructField("flush_since", T.LongType())]
 _EVENT_COLUMNS = ["event_id", "event_type", "occurred_at", "updates"]
 _OUTPUT = T.StructType(
     [
@@ -45,6 +48,8 @@ _OUTPUT = T.StructType(
         T.StructField("event_type", T.StringType()),
         T.StructField("occurred_at", T.TimestampType()),
         T.StructField("updates", T.LongType()),
+        T.StructField("flushes", T.LongType()),
+        *_OPEN,
         T.StructField("_v", T.IntegerType()),
     ]
 )
@@ -79,17 +84,23 @@ class RealtimeCtr:
         slot_seconds: float = A.DEFAULT_SLOT_SECONDS,
         forward_dead_letters: Callable[[DataFrame], None] | None = None,
         parts: int = 16,
+        interval_ms: int = K.FLUSH_INTERVAL_MS,
+        max_updates: int = K.FLUSH_MAX_UPDATES,
     ) -> None:
-        if flush_mode not in (PER_EVENT, COALESCED):
-            raise ValueError("flush mode must be per_event or periodic")
+        if flush_mode not in (PER_EVENT, COALESCED, TIMED):
+            raise ValueError("flush mode must be per_event, periodic or timed")
         self.spark, self.folder, self.model, self.trust = spark, folder.rstrip("/"), model, trust
         self.flush_mode, self.slot_seconds = flush_mode, slot_seconds
         self.forward_dead_letters = forward_dead_letters
-        self.state = KeyedLog(spark, f"{self.folder}/state", BUCKET, K.BUCKET_KEYS, parts=parts)
+        self.interval_ms, self.max_updates = interval_ms, max_updates
+        # With timed writes a bucket also keeps the interval that is open, and the count at which that began.
+        kept = T.StructType([*BUCKET.fields, *(_OPEN if flush_mode == TIMED else [])])
+        self.state = KeyedLog(spark, f"{self.folder}/state", kept, K.BUCKET_KEYS, parts=parts)
         self._metrics = Commits(spark, f"{self.folder}/metrics")
         self._last = time.monotonic()
         if initial is not None and not self.state.versions():  # a restart has newer state
-            self.state.load(initial, run="initial")
+            none = {f.name: F.lit(None).cast(f.dataType) for f in _OPEN}
+            self.state.load(initial.withColumns(none), run="initial")
         self._run = "direct"
 
     def start(
@@ -159,11 +170,45 @@ class RealtimeCtr:
             for rows in kept:
                 rows.unpersist()
 
+    def flush(self, until: datetime | None = None) -> int:
+        """Write the intervals that timed writes left open, all or those that ended by a time; returns their number.
+
+        As a timer would do for buckets without further events. It reads every bucket, and runs between micro-batches.
+        """
+        if self.flush_mode != TIMED or self.state.head is None:
+            return 0
+        version, total = self.state.next_version(), F.col("impressions") + F.col("clicks")
+        rows = self.state.read().withColumn("updates", (total - F.col("flush_since")) % self.max_updates)
+        rows = rows.filter("updates > 0")
+        if until is not None:
+            over = F.timestamp_millis((F.col("flush_window") + 1) * self.interval_ms)
+            rows = rows.filter(over <= F.lit(until))
+        writes = rows.withColumns({"kind": F.lit(WRITE), "flushes": F.lit(1)})
+        settled = rows.drop("updates").withColumns(
+            {"kind": F.lit(STATE), "flush_since": total, "_v": F.lit(version)}
+        )
+        both = writes.drop("flush_window", "flush_since").unionByName(settled, allowMissingColumns=True)
+        seen = self._write(self._as_output(both), version)
+        facts = self._progress({"processed": 0, "impressions": 0, "clicks": 0}, seen)
+        path = f"{self._batch(version)}/kind={STATE}"
+        self.state.commit(version, "flush", version, path, seen["changed"], facts)
+        self._metrics.put(version, facts)
+        return seen["flushes"]
+
     def _outputs(self, parsed: DataFrame, admission: A.Admission, before: DataFrame | None, version: int) -> DataFrame:
         """All rows that the batch writes, in the columns of ``_OUTPUT`` with their kind."""
         letters = A.invalid_dead_letters(invalid_events(parsed)).unionByName(A.rejected_clicks(admission))
         changed = A.new_buckets(admission, before, self.model, self.trust)
-        rows = letters.withColumn("kind", F.lit(LETTER)).unionByName(
+        if self.flush_mode == TIMED:
+            timed = self.model, self.trust, self.interval_ms, self.max_updates
+            writes, left_open = A.timed_writes(admission, before, *timed)
+            letters = letters.withColumn("kind", F.lit(LETTER)).unionByName(
+                writes.withColumn("kind", F.lit(WRITE)), allowMissingColumns=True
+            )
+            changed = changed.join(left_open, K.BUCKET_KEYS, "left")
+        else:
+            letters = letters.withColumn("kind", F.lit(LETTER))
+        rows = letters.unionByName(
             changed.withColumns({"kind": F.lit(STATE), "_v": F.lit(version)}), allowMissingColumns=True
         )
         if self.flush_mode == PER_EVENT:
@@ -172,6 +217,10 @@ class RealtimeCtr:
                 writes.select(*BUCKET.fieldNames(), *_EVENT_COLUMNS, F.lit(WRITE).alias("kind")),
                 allowMissingColumns=True,
             )
+        return self._as_output(rows)
+
+    @staticmethod
+    def _as_output(rows: DataFrame) -> DataFrame:
         there = set(rows.columns)
         columns = [F.col(f.name) if f.name in there else F.lit(None) for f in _OUTPUT.fields]
         typed = [c.cast(f.dataType).alias(f.name) for c, f in zip(columns, _OUTPUT.fields)]
@@ -186,17 +235,23 @@ class RealtimeCtr:
             F.count_if(F.col("kind") == STATE).alias("changed"),
             F.coalesce(F.sum("copies"), zero).alias("letters"),
             F.coalesce(F.sum(rejected), zero).alias("rejected"),
+            F.coalesce(F.sum("flushes"), zero).alias("flushes"),
+            F.coalesce(F.sum(F.when(F.col("flushes") > 0, F.col("updates"))), zero).alias("flushed"),
         )
         observed.write.mode("overwrite").partitionBy("kind").parquet(self._batch(version))
         return seen.get
 
-    def _progress(self, counts: Row, seen: dict) -> dict:
+    def _progress(self, counts: Row | dict, seen: dict) -> dict:
         """The cumulative record after a batch: that of the batch before it, and what this one adds."""
         now = time.monotonic()
         seconds, self._last = now - self._last, now
         before = (self.state.head or {}).get("facts") or {}
         accepted = counts["impressions"] + counts["clicks"] - seen["rejected"]
-        flushes = accepted if self.flush_mode == PER_EVENT else seen["changed"]
+        flushed = accepted
+        if self.flush_mode == TIMED:
+            flushes, flushed = seen["flushes"], seen["flushed"]
+        else:
+            flushes = accepted if self.flush_mode == PER_EVENT else seen["changed"]
         added = {
             "seq": 1,
             "processed_events": counts["processed"],
@@ -205,8 +260,8 @@ class RealtimeCtr:
             "clicks": counts["clicks"] - seen["rejected"],
             "dead_letters": seen["letters"],
             "redis_flushes": flushes,
-            "redis_updates_flushed": accepted,
-            "redis_updates_coalesced": accepted - flushes,
+            "redis_updates_flushed": flushed,
+            "redis_updates_coalesced": flushed - flushes,
             "elapsed_seconds": seconds,
         }
         total = {name: before.get(name, 0) + value for name, value in added.items()}
@@ -235,16 +290,20 @@ class RealtimeCtr:
         return self._read(LETTER, DEAD_LETTER)
 
     def writes(self) -> DataFrame:
-        """Bucket rows in the order of batches: per accepted event with its columns, or per bucket and batch."""
+        """Bucket rows in the order of batches: per accepted event with its columns, per bucket and batch, or per
+        interval and number of updates with the updates they carry and the writes they stand for."""
         if self.flush_mode == COALESCED:
             return self._read(STATE, BUCKET)
+        if self.flush_mode == TIMED:
+            carried = [f for f in _OUTPUT.fields if f.name in ("updates", "flushes")]
+            return self._read(WRITE, T.StructType([*BUCKET.fields, *carried]))
         events = [f for f in _OUTPUT.fields if f.name in _EVENT_COLUMNS]
         return self._read(WRITE, T.StructType([*events, *BUCKET.fields]))
 
     def buckets(self) -> DataFrame:
         """The current bucket rows."""
         rows = self.state.read()
-        return local_rows(self.spark, [], BUCKET) if rows is None else rows
+        return local_rows(self.spark, [], BUCKET) if rows is None else rows.select(*BUCKET.fieldNames())
 
     def progress(self) -> DataFrame:
         """Cumulative progress records, one per micro-batch."""

@@ -14,7 +14,7 @@ from clicklens.sources import adapters as X
 from clicklens.sources.events import parse_events, text_event_stream, valid_events
 from clicklens.sources.tables import AppendTable, ModelStore, SnapshotTable
 from clicklens.streaming.evidence import EvidenceStream, Recalibrator
-from clicklens.streaming.realtime import PER_EVENT, RealtimeCtr
+from clicklens.streaming.realtime import PER_EVENT, TIMED, RealtimeCtr
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -336,3 +336,61 @@ def test_a_skip_cut_short_is_made_again(spark, files, tmp_path):
     assert counted(job) == 0
     with pytest.raises(ValueError, match="starting"):
         job.start(text, starting="newest")
+
+
+def timed_reference(rows, interval, most):
+    """Writes of one bucket by a loop: (impressions, clicks, updates) from (micros, is_click) in order."""
+    shown = clicked = dirty = 0
+    open_at, out = None, []
+    for micros, click in rows:
+        if click and clicked >= shown:
+            continue
+        if open_at is not None and micros // interval != open_at and dirty:
+            out.append((shown, clicked, dirty))
+            dirty = 0
+        open_at = micros // interval
+        shown, clicked, dirty = shown + (not click), clicked + click, dirty + 1
+        if dirty == most:
+            out.append((shown, clicked, dirty))
+            dirty = 0
+    return out, (shown, clicked, dirty)
+
+
+@pytest.mark.parametrize("interval_ms, most", [(86_400_000, 3), (3_600_000, 100), (10 * 86_400_000, 7)])
+def test_timed_writes_follow_a_loop_over_batches(spark, files, interval_ms, most):
+    job = run(spark, files, flush_mode=TIMED, interval_ms=interval_ms, max_updates=most)
+    log = X.valid_event_log(spark, FOLDER).withColumn("micros", F.unix_micros("occurred_at"))
+    histories = {}
+    order = ["occurred_at", "event_id", F.col("event_type").desc()]
+    for r in log.orderBy(*order).collect():
+        key = (r["ad_category"], r["publisher_domain"], r["conversation_category"])
+        histories.setdefault(key, []).append((r["micros"], r["event_type"] == "click"))
+    expected = {k: timed_reference(h, interval_ms * 1000, most) for k, h in histories.items()}
+
+    def written():
+        found = {}
+        for r in job.writes().collect():
+            key = (r["ad_category"], r["publisher_domain"], r["conversation_category"])
+            assert r["flushes"] == 1 and r["ctr"] is not None
+            found.setdefault(key, []).append((r["impressions"], r["clicks"], r["updates"]))
+        return {k: sorted(v) for k, v in found.items()}
+
+    assert written() == {k: sorted(out) for k, (out, _) in expected.items() if out}
+    left = sum(1 for _, (_, _, dirty) in expected.values() if dirty)
+    assert job.flush(datetime(2000, 1, 1, tzinfo=timezone.utc)) == 0
+    assert job.flush() == left and job.flush() == 0
+    full = {k: sorted([*out, rest] if rest[2] else out) for k, (out, rest) in expected.items()}
+    assert written() == {k: v for k, v in full.items() if v}
+    last = job.progress().orderBy(F.col("seq").desc()).first()
+    assert last["redis_updates_flushed"] == last["valid_events"]
+    assert last["redis_flushes"] == sum(len(v) for v in full.values())
+    assert same(job.buckets(), batch_result(spark)[1])
+
+
+def test_copies_of_an_event_share_a_timed_write(spark, files):
+    text = spark.read.text(os.path.join(files, "part-0.txt")).filter("value LIKE '%impression\",%'").limit(1)
+    copies = text.crossJoin(spark.range(250)).select("value")
+    job = RealtimeCtr(spark, shared_folder(spark, "copies"), seed_model(spark), flush_mode=TIMED)
+    job.process(copies, 0)
+    assert [(r["updates"], r["flushes"]) for r in job.writes().collect()] == [(200, 2)]
+    assert job.flush() == 1 and job.writes().agg(F.sum("updates")).first()[0] == 250
