@@ -7,6 +7,9 @@ the response's fields and digests go into the metadata.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,14 @@ from clicklens.functions.plan import evaluated_once
 
 LINE, BLANK = "\r\n", "\r\n\r\n"
 
-# Named character references, the ampersand last.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# The named character references of HTML, by their first letter so that a lookup passes a few names. A no-break
+# space reads as a space.
+REFERENCES: dict[str, dict[str, str]] = {}
+for _name, _value in html5.items():
+    if _name.endswith(";"):
+        REFERENCES.setdefault(_name[0], {})[_name[:-1]] = " " if _name == "nbsp;" else _value
+# Numbers of control characters that mean a character of Windows-1252, where that has one.
+CONTROLS = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 # Elements that end a line of text.
 BLOCKS = """address article aside blockquote br center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 header hr li main nav ol option p pre section table td th title tr ul""".split()
@@ -118,25 +127,37 @@ def html_text(html: Column) -> Column:
 
 
 def _resolved(text: Column) -> Column:
-    """Numeric and the common named character references as characters."""
-    numeric = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+    """Character references as characters, each once: what a reference stands for is not read again.
 
-    def character(x: Column) -> Column:
-        code = F.when(
-            F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, F.lit(2), F.length(x)), 16, 10)
-        ).otherwise(x).cast("long")
+    Knows all names of HTML and decimal and hexadecimal numbers; numbers of no character give U+FFFD. A reference
+    ends with a semicolon; anything else behind an ampersand stays as it is.
+    """
+    named = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string, map<string, string>>")
+    controls = F.from_json(F.lit(json.dumps(CONTROLS)), "map<string, string>")
+
+    def number(name: Column) -> Column:
+        spelled = F.when(
+            F.rlike(name, F.lit(r"\A#[xX][0-9A-Fa-f]{1,6}\z")), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)
+        ).when(F.rlike(name, F.lit(r"\A#[0-9]{1,7}\z")), F.substring(name, F.lit(2), F.length(name)))
+        code = spelled.cast("long")
         code = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
-        return F.when(x.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
-
-    def spelled(t: Column) -> Column:
-        plain, found = F.split(t, numeric, -1), F.regexp_extract_all(t, F.lit(numeric), F.lit(1))
-        pairs = F.zip_with(plain, found, lambda p, x: F.concat(p, character(x)))
-        return F.array_join(pairs, "")
-
-    plain = F.when(F.contains(text, F.lit("&#")), spelled(text)).otherwise(text)
-    for name, value in REFERENCES.items():
-        plain = F.replace(plain, F.lit(name), F.lit(value))
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+        utf = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(spelled.isNotNull(), F.coalesce(controls[code.cast("string")], utf))
+
+    def piece(p: Column) -> Column:
+        name = F.substring_index(p, ";", 1)
+        known = F.when(F.startswith(name, F.lit("#")), number(name)).otherwise(named[F.substring(name, 1, 1)][name])
+        behind = F.substring(p, F.length(name) + 2, F.length(p))
+        whole = F.concat(known, behind)
+        return F.when(F.contains(p, F.lit(";")), whole)
+
+    def resolved(parts: Column) -> Column:
+        tail = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.coalesce(piece(p), F.concat(F.lit("&"), p)))
+        return F.array_join(F.concat(F.slice(parts, 1, 1), tail), "")
+
+    # The lambda takes the pieces as a value, so the text is split once.
+    spelled = F.get(F.transform(F.array(F.split(text, "&", -1)), resolved), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), spelled).otherwise(text)
 
 
 def derivatives(rows: DataFrame) -> DataFrame:
