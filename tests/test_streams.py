@@ -394,3 +394,47 @@ def test_copies_of_an_event_share_a_timed_write(spark, files):
     job.process(copies, 0)
     assert [(r["updates"], r["flushes"]) for r in job.writes().collect()] == [(200, 2)]
     assert job.flush() == 1 and job.writes().agg(F.sum("updates")).first()[0] == 250
+
+
+def timed_totals(job):
+    return job.writes().agg(F.sum("updates").alias("updates"), F.sum("flushes").alias("flushes")).first()
+
+
+def test_timed_writes_go_on_after_a_restart(spark, files):
+    options = {"flush_mode": TIMED, "interval_ms": 10 * 86_400_000, "max_updates": 7}
+    folder = shared_folder(spark, "timed-restart")
+    for half in ((0, 1), (2, 3)):
+        job = RealtimeCtr(spark, folder, seed_model(spark), **options)
+        job._run = f"run-{half[0]}"
+        for i in half:
+            job.process(spark.read.text(os.path.join(files, f"part-{i}.txt")), i)
+    job.flush()
+    needed = A.flush_accounting(batch_result(spark)[0], options["interval_ms"], options["max_updates"])
+    written = job.writes().groupBy("ad_category", "publisher_domain", "conversation_category").agg(
+        F.sum("flushes").alias("flushes"), F.sum("updates").alias("updates_flushed")
+    )
+    assert same(written, needed.drop("updates_coalesced"))
+
+
+def test_timed_writes_of_late_events_lose_no_update(spark, files):
+    job = RealtimeCtr(
+        spark, shared_folder(spark, "timed-late"), seed_model(spark), flush_mode=TIMED, interval_ms=10 * 86_400_000, max_updates=7
+    )
+    for n, i in enumerate((2, 0, 1)):
+        job.process(spark.read.text(os.path.join(files, f"part-{i}.txt")), n)
+    job.flush()
+    accepted = job.progress().agg(F.max("valid_events")).first()[0]
+    assert timed_totals(job).updates == accepted
+    counts = job.buckets().agg(F.sum(F.col("impressions") + F.col("clicks"))).first()[0]
+    assert counts == accepted
+
+
+def test_timed_writes_join_by_keys(spark, model):
+    done = A.admit_clicks(X.valid_event_log(spark, FOLDER))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        writes, _ = A.timed_writes(done, None, model)
+        plan = writes._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
