@@ -96,22 +96,79 @@ def collapse_copies(events: DataFrame) -> DataFrame:
     return events.groupBy(*_EVENT).agg(F.count("*").alias("copies"))
 
 
+def _with_slot(rows: DataFrame, slot_seconds: float) -> DataFrame:
+    """Rows of known buckets and times, with the number of their time slot."""
+    width = int(slot_seconds * 1_000_000)
+    if width <= 0:
+        raise ValueError("slot width must be positive")
+    micros = "unix_micros(occurred_at)"
+    slotted = rows.withColumn(
+        "slot", F.expr(f"{micros} div {width} - if({micros} % {width} < 0, 1, 0)")
+    )
+    # Always true for valid events. Stated once here, because the join of admission would add it to one
+    # of its two readers only, and the shuffle could then not be shared between them.
+    return slotted.filter(" AND ".join(f"{c} IS NOT NULL" for c in _SLOT))
+
+
+def _opened(slots: DataFrame, start: DataFrame | None) -> DataFrame:
+    """Slots or pieces with the stored counts of their bucket."""
+    if start is None:
+        return slots.withColumns(
+            {"_imp0": F.lit(0).cast("bigint"), "_clk0": F.lit(0).cast("bigint")}
+        )
+    counts = start.select(
+        *K.BUCKET_KEYS, F.col("impressions").alias("_imp0"), F.col("clicks").alias("_clk0")
+    )
+    return slots.join(counts, K.BUCKET_KEYS, "left").fillna(0, ["_imp0", "_clk0"])
+
+
+def screened_slots(
+    events: DataFrame, start: DataFrame | None = None, slot_seconds: float = DEFAULT_SLOT_SECONDS
+) -> DataFrame:
+    """One row per bucket and slot: net, shown, events, and whether it is ``quiet``, from counts alone.
+
+    In a quiet slot no click can be rejected, in whatever order its rows come: with all its clicks first the slack
+    stays at or above zero, or above a value that it had at the end of an earlier slot. Only the rows of other
+    slots need their order, see ``admit_clicks``.
+    """
+    slotted = _with_slot(events.select(*K.BUCKET_KEYS, "event_type", "occurred_at"), slot_seconds)
+    slots = slotted.groupBy(*_SLOT).agg(F.count_if(is_impression()).alias("shown"), F.count("*").alias("events"))
+    slots = slots.withColumn("net", F.col("shown") * 2 - F.col("events"))
+    ordered = W.partitionBy(*K.BUCKET_KEYS).orderBy("slot")
+    earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    ended = F.col("_imp0") - F.col("_clk0") + F.sum("net").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
+    clicks = F.col("events") - F.col("shown")
+    return (
+        _opened(slots, start)
+        .withColumn("_ended", ended)
+        .withColumn("_reached", F.least(zero, F.min("_ended").over(earlier)))
+        .select(*_SLOT, "net", "shown", "events", (F.col("_ended") - F.col("net") - clicks >= F.col("_reached")).alias("quiet"))
+    )
+
+
+def in_slots(events: DataFrame, slots: DataFrame, slot_seconds: float = DEFAULT_SLOT_SECONDS) -> DataFrame:
+    """The events that lie in some slots, which are joined by the size check."""
+    return _with_slot(events, slot_seconds).join(slots.select(*_SLOT), _SLOT, "left_semi").drop("slot")
+
+
 def admit_clicks(
     events: DataFrame,
     start: DataFrame | None = None,
     slot_seconds: float = DEFAULT_SLOT_SECONDS,
     distinct_events: bool = False,
     piece_rows: int | None = PIECE_ROWS,
+    quiet: DataFrame | None = None,
 ) -> Admission:
     """Admit impressions and clicks on top of the counts in ``start`` (keys, impressions, clicks).
 
     ``distinct_events`` says that no event occurs twice and saves the shuffle that collapses
     copies. ``slot_seconds`` and ``piece_rows`` bound the piece of a bucket that one task sorts; they never change
     the result. Without ``piece_rows`` a slot is one piece, for inputs known to be small.
+
+    ``quiet`` holds slots of ``screened_slots`` whose rows are not among ``events``: they count in ``slots`` and
+    ``totals``, and the rows of ``runs`` are those of the other slots, which hold every rejected click.
     """
-    width = int(slot_seconds * 1_000_000)
-    if width <= 0:
-        raise ValueError("slot width must be positive")
     runs = (
         events.select(*_EVENT, F.lit(1).cast("bigint").alias("copies"))
         if distinct_events
@@ -122,15 +179,8 @@ def admit_clicks(
     inside = W.partitionBy(*_PIECE).orderBy(*_order())
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = inside.rowsBetween(W.unboundedPreceding, -1)
-    micros = "unix_micros(occurred_at)"
-    slotted = runs.withColumn(
-        "slot", F.expr(f"{micros} div {width} - if({micros} % {width} < 0, 1, 0)")
-    )
-    # Always true for valid events. Stated once here, because the join below would add it to one
-    # of its two readers only, and the shuffle could then not be shared between them.
-    known = " AND ".join(f"{c} IS NOT NULL" for c in _SLOT)
     placed = (
-        _with_pieces(slotted.filter(known), piece_rows)
+        _with_pieces(_with_slot(runs, slot_seconds), piece_rows)
         .withColumn("_slack", F.sum(sign).over(so_far))
         .withColumn("_shown", F.sum(shown).over(so_far))
         .withColumn("_low", F.min("_slack").over(so_far))
@@ -143,15 +193,11 @@ def admit_clicks(
         F.min("_low").alias("low"),
         F.sum("copies").alias("events"),
     )
-    if start is None:
-        opened = slots.withColumns(
-            {"_imp0": F.lit(0).cast("bigint"), "_clk0": F.lit(0).cast("bigint")}
-        )
-    else:
-        counts = start.select(
-            *K.BUCKET_KEYS, F.col("impressions").alias("_imp0"), F.col("clicks").alias("_clk0")
+    if quiet is not None:
+        slots = slots.unionByName(
+            quiet.select(*_SLOT, F.lit(0).alias("piece"), "net", "shown", F.lit(None).cast("bigint").alias("low"), "events")
         )
-        opened = slots.join(counts, K.BUCKET_KEYS, "left").fillna(0, ["_imp0", "_clk0"])
+    opened = _opened(slots, start)
     # One row per piece: the window below is bounded by elapsed time and by events over the rows of a piece.
     ordered = W.partitionBy(*K.BUCKET_KEYS).orderBy("slot", "piece")
     earlier = ordered.rowsBetween(W.unboundedPreceding, -1)
@@ -214,19 +260,26 @@ def admit_clicks(
     return Admission(admitted, scanned, totals)
 
 
-def totals_of(runs: DataFrame, start: DataFrame | None) -> DataFrame:
-    """The totals of an admission pass whose ``runs`` are already at hand."""
+def totals_of(runs: DataFrame, start: DataFrame | None, quiet: DataFrame | None = None) -> DataFrame:
+    """The totals of an admission pass whose ``runs`` are already at hand, with its ``quiet`` slots."""
     zero = F.lit(0).cast("bigint")
-    new = (
-        runs.groupBy(*K.BUCKET_KEYS)
-        .agg(
-            F.coalesce(F.sum(F.when(is_impression(), F.col("accepted"))), zero).alias("impressions"),
-            F.coalesce(F.sum(F.when(is_click(), F.col("accepted"))), zero).alias("clicks"),
-            F.sum("rejected").alias("rejected"),
-            F.sum("accepted").alias("accepted"),
-        )
-        .filter("accepted > 0")
+    new = runs.groupBy(*K.BUCKET_KEYS).agg(
+        F.coalesce(F.sum(F.when(is_impression(), F.col("accepted"))), zero).alias("impressions"),
+        F.coalesce(F.sum(F.when(is_click(), F.col("accepted"))), zero).alias("clicks"),
+        F.sum("rejected").alias("rejected"),
+        F.sum("accepted").alias("accepted"),
     )
+    if quiet is not None:
+        clicks = F.col("events") - F.col("shown")
+        still = quiet.groupBy(*K.BUCKET_KEYS).agg(
+            F.sum("shown").alias("impressions"),
+            F.sum(clicks).alias("clicks"),
+            F.lit(0).cast("bigint").alias("rejected"),
+            F.sum("events").alias("accepted"),
+        )
+        counted = ["impressions", "clicks", "rejected", "accepted"]
+        new = new.unionByName(still).groupBy(*K.BUCKET_KEYS).agg(*[F.sum(c).alias(c) for c in counted])
+    new = new.filter("accepted > 0")
     if start is None:
         return new
     stored = start.select(

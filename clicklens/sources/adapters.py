@@ -100,8 +100,10 @@ def write_topic(spark: SparkSession, log: DataFrame, out: str, batches: int = 4)
     cuts = rows.agg(F.percentile_approx(at, shares)).first()[0] or []
     place = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= at)), F.lit(0))
     files = spark.sparkContext.defaultParallelism
+    # Dealt by the hash of the whole event: without a key Spark would first sort the rows to deal them repeatably.
+    deal = F.xxhash64(*rows.columns)
     for i in range(len(set(cuts)) + 1):
-        event_text(rows.filter(place == i)).repartition(files).write.mode("append").text(out)
+        event_text(rows.filter(place == i).repartition(files, deal)).write.mode("append").text(out)
     return files
 
 

@@ -24,19 +24,19 @@ _MAX_EPOCH = 253402300799.0
 
 
 def _text(field: str) -> Column:
-    return F.try_variant_get("_json", f"$.{field}", "string")
+    return F.try_variant_get("_whole", f"$[0].{field}", "string")
 
 
 def _is_string(field: str) -> Column:
     """Whether the JSON value was a string; its type is looked up only where the text leaves doubt."""
-    kind = F.schema_of_variant(F.try_variant_get("_json", f"$.{field}", "variant"))
+    kind = F.schema_of_variant(F.try_variant_get("_whole", f"$[0].{field}", "variant"))
     return F.when(F.col(field).rlike(_AMBIGUOUS), kind == "STRING").otherwise(
         F.col(field).isNotNull()
     )
 
 
 def _is_absent(field: str) -> Column:
-    value = F.try_variant_get("_json", f"$.{field}", "variant")
+    value = F.try_variant_get("_whole", f"$[0].{field}", "variant")
     return value.isNull() | F.is_variant_null(value)
 
 
@@ -64,7 +64,8 @@ def one_json_object(text: Column) -> Column:
     the hash.
     """
     seal = _seal(text)
-    return _unsealed(_sealed(text, seal), seal)
+    whole = _sealed(text, seal)
+    return F.when(_is_object(text, whole, seal), F.try_variant_get(whole, "$[0]", "variant"))
 
 
 def _seal(text: Column) -> Column:
@@ -75,10 +76,10 @@ def _sealed(text: Column, seal: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
 
 
-def _unsealed(whole: Column, seal: Column) -> Column:
-    value = F.try_variant_get(whole, "$[0]", "variant")
+def _is_object(text: Column, whole: Column, seal: Column) -> Column:
+    """Whether the seal is intact and the one value before it an object, which a look at its first character tells."""
     intact = F.try_variant_get(whole, "$[1]", "string") == seal
-    return F.when(intact & F.schema_of_variant(value).startswith("OBJECT"), value)
+    return F.coalesce(intact & F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{")), F.lit(False))
 
 
 def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -91,10 +92,10 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     text = F.col(column)
     seal = _seal(text)
     sealed = evaluated_once(raw.select(text.alias("raw"), seal.alias("_seal"), _sealed(text, seal).alias("_whole")))
-    parsed = evaluated_once(sealed.select("raw", _unsealed(F.col("_whole"), F.col("_seal")).alias("_json")))
-    texts = parsed.select(
+    texts = sealed.select(
         "raw",
-        "_json",
+        "_whole",
+        _is_object(F.col("raw"), F.col("_whole"), F.col("_seal")).alias("_object"),
         _text("event_type").alias("event_type"),
         _text("occurred_at").alias("_time"),
         *[_text(name).alias(name) for name in _STRICT],
@@ -104,8 +105,11 @@ def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:
     optional_ok = optional_ok | _is_string("impression_event_id")
     fields = {name: F.when(_is_string(name), F.col(name)) for name in _STRICT}
     fields |= {"event_type": F.col("event_type"), "occurred_at": _timestamp(F.col("_time"))}
+    found = F.col("_object")
     typed = texts.select(
-        "raw", *[fields[name].alias(name) for name in _FIELDS], optional_ok.alias("_optional_ok")
+        "raw",
+        *[F.when(found, fields[name]).alias(name) for name in _FIELDS],
+        (found & optional_ok).alias("_optional_ok"),
     )
     return evaluated_once(
         typed.select("raw", *_FIELDS, (checks.valid_event() & F.col("_optional_ok")).alias("valid"))

@@ -27,7 +27,8 @@ from clicklens.operators import admission as A
 from clicklens.operators.counts import is_click, is_impression
 from clicklens.operators.model import Model
 from clicklens.operators.posterior import Trust
-from clicklens.schemas import BUCKET, DEAD_LETTER, PROCESSOR_RECORD
+from clicklens.schemas import BUCKET, DEAD_LETTER, EVENT, PROCESSOR_RECORD
+from clicklens.session import exists, remove
 from clicklens.sources.events import invalid_events, parse_events, valid_events
 from clicklens.sources.keyed import Commits, KeyedLog
 from clicklens.sources.tables import read_or_none
@@ -135,10 +136,12 @@ class RealtimeCtr:
         if self.state.committed(self._run, batch_id):
             return
         version = self.state.next_version()
-        # Parsing is the costly part and feeds several outputs. A lost block is parsed again.
-        parsed = parse_events(batch).persist()
-        kept = [parsed]
+        aside, kept = f"{self.folder}/aside/{version}", []
         try:
+            # Parsing is the costly part and feeds several outputs; files cost far less than cached blocks. The text
+            # is kept where it is invalid.
+            text = F.when(~F.col("valid"), F.col("raw")).alias("raw")
+            parsed = self._aside(parse_events(batch).select(text, *EVENT.fieldNames(), "valid"), f"{aside}/parsed")
             valid = F.col("valid")
             counts = parsed.agg(
                 F.count("*").alias("processed"),
@@ -154,11 +157,18 @@ class RealtimeCtr:
                 kept.append(before)
             # No slot of a small batch can be too large for a piece.
             pieces = None if counts["processed"] <= A.PIECE_ROWS else A.PIECE_ROWS
-            admission = A.admit_clicks(events, before, self.slot_seconds, piece_rows=pieces)
+            quiet = None
+            if pieces is not None and self.flush_mode == COALESCED:
+                # Only changed buckets and rejected clicks are written, so only slots where a click may be rejected
+                # need their rows in order. Their few rows are met by slots whose size is known from their files.
+                slots = A.screened_slots(events, before, self.slot_seconds)
+                quiet, busy = self._aside_by(slots, "quiet", f"{aside}/slots")
+                events = A.in_slots(events, busy, self.slot_seconds)
+            admission = A.admit_clicks(events, before, self.slot_seconds, piece_rows=pieces, quiet=quiet)
             # One admission pass serves the dead letters, the writes and the new state.
             runs = admission.runs.persist()
             kept.append(runs)
-            admission = replace(admission, runs=runs, totals=A.totals_of(runs, before))
+            admission = replace(admission, runs=runs, totals=A.totals_of(runs, before, quiet))
             seen = self._write(self._outputs(parsed, admission, before, version), version)
             if self.forward_dead_letters is not None:
                 self.forward_dead_letters(self._read(LETTER, DEAD_LETTER, version))
@@ -169,6 +179,22 @@ class RealtimeCtr:
         finally:
             for rows in kept:
                 rows.unpersist()
+            remove(self.spark, aside)
+
+    def _aside(self, rows: DataFrame, path: str) -> DataFrame:
+        """Rows of a batch as files that go with it."""
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _aside_by(self, rows: DataFrame, flag: str, path: str) -> tuple[DataFrame, DataFrame]:
+        """The rows whose flag is true and the others, each as files of their own."""
+        rows.write.mode("overwrite").partitionBy(flag).parquet(path)
+        schema = T.StructType([f for f in rows.schema.fields if f.name != flag])
+        halves = [f"{path}/{flag}={value}" for value in ("true", "false")]
+        return tuple(
+            self.spark.read.schema(schema).parquet(half) if exists(self.spark, half) else local_rows(self.spark, [], schema)
+            for half in halves
+        )
 
     def flush(self, until: datetime | None = None) -> int:
         """Write the intervals that timed writes left open, all or those that ended by a time; returns their number.

@@ -148,3 +148,31 @@ def test_a_burst_of_one_bucket_is_more_than_one_task(spark):
     assert sum(sizes) == 200_000 and len(sizes) > 1 and max(sizes) < 160_000
     # Every third event shows, each shows allows one of the two clicks after it.
     assert runs.agg(F.sum("rejected")).first()[0] == 200_000 - 2 * len(range(0, 200_000, 3))
+
+
+def test_quiet_slots_are_settled_by_counts(spark):
+    draw, rows = random.Random(5), []
+    for bucket in range(6):
+        for i in range(400):
+            # Impressions are many in some buckets, and a few slots begin with clicks.
+            kind = "impression" if draw.random() < 0.35 + 0.1 * bucket else "click"
+            at = T0 + timedelta(seconds=draw.randrange(1_200))
+            rows.append((f"e{i % 390}", kind, "finance", f"d{bucket}", "c", at, None))
+    events = spark.createDataFrame(rows, EVENT)
+    stored = spark.createDataFrame(
+        [("finance", "d1", "c", 9, 2)], "ad_category string, publisher_domain string, conversation_category string, impressions long, clicks long"
+    )
+    for start in (None, stored):
+        whole = A.admit_clicks(events, start)
+        slots = A.screened_slots(events, start).cache()
+        quiet, busy = slots.filter("quiet"), slots.filter("NOT quiet")
+        assert quiet.count() > 20 and busy.count() > 5
+        part = A.admit_clicks(A.in_slots(events, busy), start, quiet=quiet)
+        key = lambda frame: sorted(map(str, frame.collect()))
+        letters, seen = key(A.rejected_clicks(whole)), part.runs.agg(F.sum("copies")).first()[0]
+        assert letters and key(A.rejected_clicks(part)) == letters
+        assert key(part.totals) == key(whole.totals) == key(A.totals_of(part.runs, start, quiet).select(*whole.totals.columns))
+        assert seen < len(rows)
+        # Every row that is ordered has the counts that it has when all of them are.
+        shared = [c for c in whole.runs.columns if c != "piece"]
+        assert part.runs.select(*shared).exceptAll(whole.runs.select(*shared)).count() == 0

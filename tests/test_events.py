@@ -111,3 +111,10 @@ def test_text_must_be_one_json_object(spark):
     assert {r["value"] for r in keys if r["k"] == "finance:news.example:gaming"} == {GOOD, f"  {GOOD}\n"}
     odd = GOOD.replace('"finance"', "true").replace('"gaming"', "null")
     assert spark.createDataFrame([(odd,)], "value string").select(raw_bucket_key()).first()[0] == "True:news.example:None"
+
+
+def test_values_are_taken_from_the_one_parsed_text(spark):
+    parsed = parse_events(spark.createDataFrame([(GOOD,)], "value string"))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    # No second variant is cut out of the first, and the schema of a whole text is never made.
+    assert "$[0], VariantType" not in plan and plan.count("parseJson") == 1

@@ -438,3 +438,24 @@ def test_timed_writes_join_by_keys(spark, model):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_large_batches_order_only_slots_that_may_reject(spark, files, monkeypatch):
+    done, expected = batch_result(spark)
+    monkeypatch.setattr(A, "PIECE_ROWS", 64)
+    ordered, admit = [], A.admit_clicks
+
+    def watched(events, *args, **options):
+        ordered.append((events.count(), options["quiet"] is not None))
+        return admit(events, *args, **options)
+
+    monkeypatch.setattr(A, "admit_clicks", watched)
+    job = run(spark, files, slot_seconds=86_400)
+    assert [screened for _, screened in ordered] == [True] * 4
+    assert sum(rows for rows, _ in ordered) < done.runs.count()
+    assert same(job.buckets(), expected)
+    rejected = job.dead_letters().filter(F.col("reason") == "clicks_would_exceed_impressions")
+    assert same(rejected, A.rejected_clicks(done))
+    invalid = job.dead_letters().filter(F.col("reason") != "clicks_would_exceed_impressions")
+    assert invalid.count() > 0 and invalid.filter("event IS NULL OR event = '{}'").count() == 0
+    assert not os.listdir(f"{job.folder}/aside")
