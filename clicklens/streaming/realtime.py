@@ -166,9 +166,15 @@ class RealtimeCtr:
                 events = A.in_slots(events, busy, self.slot_seconds)
             admission = A.admit_clicks(events, before, self.slot_seconds, piece_rows=pieces, quiet=quiet)
             # One admission pass serves the dead letters, the writes and the new state.
-            runs = admission.runs.persist()
-            kept.append(runs)
-            admission = replace(admission, runs=runs, totals=A.totals_of(runs, before, quiet))
+            if pieces is None:
+                runs = admission.runs.persist()
+                kept.append(runs)
+                totals = A.totals_of(runs, before, quiet)
+            else:
+                # The steps that follow read a few columns each, and look the totals of a bucket up several times.
+                runs = self._aside(admission.runs, f"{aside}/runs")
+                totals = self._aside(A.totals_of(runs, before, quiet), f"{aside}/totals")
+            admission = replace(admission, runs=runs, totals=totals)
             seen = self._write(self._outputs(parsed, admission, before, version), version)
             if self.forward_dead_letters is not None:
                 self.forward_dead_letters(self._read(LETTER, DEAD_LETTER, version))

@@ -459,3 +459,20 @@ def test_large_batches_order_only_slots_that_may_reject(spark, files, monkeypatc
     invalid = job.dead_letters().filter(F.col("reason") != "clicks_would_exceed_impressions")
     assert invalid.count() > 0 and invalid.filter("event IS NULL OR event = '{}'").count() == 0
     assert not os.listdir(f"{job.folder}/aside")
+
+
+def test_large_timed_batches_find_totals_in_files(spark, files, monkeypatch):
+    monkeypatch.setattr(A, "PIECE_ROWS", 64)
+    plans, timed = [], A.timed_writes
+
+    def watched(admission, *args):
+        plans.append(admission.totals._jdf.queryExecution().optimizedPlan().toString())
+        return timed(admission, *args)
+
+    monkeypatch.setattr(A, "timed_writes", watched)
+    job = run(spark, files, flush_mode=TIMED, interval_ms=86_400_000, max_updates=3)
+    job.flush()
+    assert len(plans) == 4 and not any("Aggregate" in plan for plan in plans)
+    counted = job.writes().groupBy(*A.K.BUCKET_KEYS).agg(F.sum("flushes").alias("flushes"), F.sum("updates").alias("updates_flushed"))
+    expected = A.flush_accounting(A.admit_clicks(X.valid_event_log(spark, FOLDER)), 86_400_000, 3)
+    assert same(expected, counted)
