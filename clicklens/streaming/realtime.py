@@ -66,7 +66,7 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
 class RealtimeCtr:
     """Outputs below one folder: ``state`` (a log of changes), ``batches`` and ``metrics``.
 
-    A micro-batch runs two jobs: one parses its texts, keeps them and counts them; one admits the clicks and writes
+    A micro-batch parses its texts into files that go with it and counts them; then it admits the clicks and writes
     dead letters, writes and changed buckets together. Its commit names the changed buckets as a delta of the state,
     so what is written follows the batch, not the table. The job holds the newest commit and reads it only at start.
 
